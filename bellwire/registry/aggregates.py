@@ -314,7 +314,7 @@ def _daily_sql(cols: list[str]) -> str:
 
 def _dot(i: int) -> str:
     terms = ", ".join(f"{w}::double" for w in _WEIGHTS[i])
-    return f"greatest(0.0, list_sum(list_transform(range(1, 65), j -> embedding[j]::double * ([{terms}])[j])) + {_BIAS[i]})"
+    return f"greatest(0.0, list_sum([embedding[j]::double * ([{terms}])[j] for j in range(1, 65)]) + {_BIAS[i]})"
 
 
 _LAG = "lag({c}, {k}) over (partition by symbol order by trade_date)"
@@ -395,18 +395,16 @@ ENTRIES = {
     "topn_norms": entry(
         topn_norms,
         f"""with n as (select id, trade_date + cast(label * 40 + id % 400 as integer) as d,
-               sqrt(list_sum(list_transform(embedding, x -> x::double * x::double))) as norm from fx_vectors),
+               sqrt(list_sum([x::double * x::double for x in embedding])) as norm from fx_vectors),
             r as (select *, row_number() over (partition by d order by norm desc, id) as rn from n),
-            s as (select d, rn, norm from r where rn <= 3 union all
-                  select d, g.rn, 0.0 from (select distinct d from r), (select unnest(range(1, 4)) as rn) g
-                  where not exists (select 1 from r where r.d = d and r.rn = g.rn) and false),
+            s as (select d, rn, norm from r where rn <= 3),
             f as (select distinct d from r), a as (select f.d, g.rn from f, (select unnest(range(1, 4)) as rn) g)
             select cast(a.d as varchar) as trade_date, cast(3 - a.rn as integer) as pos, {sql_r6('coalesce(s.norm, 0.0)')} as norm
             from a left join s on s.d = a.d and s.rn = a.rn""",
     ),
     "vector_ops": entry(
         vector_ops,
-        f"""with n as (select *, sqrt(list_sum(list_transform(embedding, x -> x::double * x::double))) as norm from fx_vectors)
+        f"""with n as (select *, sqrt(list_sum([x::double * x::double for x in embedding])) as norm from fx_vectors)
             select id, {sql_r6('norm')} as norm, 64::integer as head_size, {sql_r6('label::double')} as label,
               {sql_r6('id / 1000.0::double')} as scaled_id, {sql_r6('norm')} as head_norm from n""",
     ),

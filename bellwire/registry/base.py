@@ -40,9 +40,13 @@ def plain(df: DataFrame) -> DataFrame:
 
 
 def r6(col: Column | str) -> Column:
-    """Round to 6 digits; adding 0.0 turns a negative zero into zero."""
+    """Round half up to 6 digits, as a double.
+
+    Going through a decimal with 9 digits makes exact halves fall the same way in both engines;
+    adding 0.0 turns a negative zero into zero.
+    """
     col = F.col(col) if isinstance(col, str) else col
-    return F.round(col, 6) + F.lit(0.0)
+    return F.round(col.cast("decimal(38,9)"), 6).cast("double") + F.lit(0.0)
 
 
 def rounded(df: DataFrame, *columns: str) -> DataFrame:
@@ -50,7 +54,7 @@ def rounded(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def sql_r6(expr: str) -> str:
-    return f"(round({expr}, 6) + 0.0)"
+    return f"(cast(round(cast({expr} as decimal(38,9)), 6) as double) + 0.0::double)"
 
 
 def sql_text(value: str) -> str:

@@ -1 +1,160 @@
-ENTRIES = {}
+"""Model fits over the long daily series made from orders."""
+
+from __future__ import annotations
+
+from pyspark.ml.classification import LogisticRegression
+from pyspark.sql import functions as F
+
+from bellwire import fixtures as fx
+from bellwire.functions.replies import source_column
+from bellwire.functions.vectors import dot
+from bellwire.operators import features as ft
+from bellwire.operators import maintenance as mt
+from bellwire.operators.sessions import join_same_date
+from bellwire.operators.stats import classification_report
+from bellwire.plans import day_vectors as dv
+from bellwire.plans import experiments as ex
+from bellwire.plans import models as ml
+from bellwire.registry.base import entry, plain
+from bellwire.session import materialise
+from bellwire.sources import tables as tb
+
+_DATES = {"train": ("1995-01-01", "1999-12-31"), "test": ("2000-01-01", "2001-12-31")}
+_SOURCES = ("1-URGENT", "2-HIGH", "5-LOW")
+# Smaller searches than the library's default grids, so a check of all queries stays short.
+_LR = {"C": [0.01, 1.0], "l1_ratio": [0.0, 1.0]}
+_RF = {"n_estimators": [20], "max_depth": [3, 5], "min_samples_split": [10], "max_features": ["sqrt"]}
+_GBT = {"n_estimators": [10]}
+_GRIDS = {"lr": _LR, "rf": _RF, "gbt": _GBT}
+
+
+def _market(spark, sf):
+    return materialise(fx.market(spark, sf), "market")
+
+
+def _sentiment(variant):
+    if variant == "sources":
+        return [source_column("avg_sentiment", s) for s in _SOURCES]
+    return ["avg_sentiment"] if variant == "consolidated" else []
+
+
+def _fit(spark, sf, family, variant, **kw):
+    options = {"grid": _GRIDS[family], "folds": 3, **_DATES, **kw}
+    return ml.fit_family(_market(spark, sf), family, variant, _sentiment(variant), **options)
+
+
+def _predictions(family, variant):
+    return lambda spark, sf: plain(_fit(spark, sf, family, variant).predict())
+
+
+def ts_grid_search(spark, sf):
+    return _fit(spark, sf, "lr", "baseline").search
+
+
+def coefficients(spark, sf):
+    return _fit(spark, sf, "lr", "consolidated").weights()
+
+
+def top_importances(spark, sf):
+    return _fit(spark, sf, "rf", "sources").top_importances(10)
+
+
+def model_report(spark, sf):
+    preds = _fit(spark, sf, "lr", "sources").predict()
+    return classification_report(preds, "actual_increase", "predicted_label")
+
+
+def predictions_csv(spark, sf):
+    fitted = _fit(spark, sf, "lr", "baseline", grid={"C": [0.1], "l1_ratio": [0.5]})
+    path = fitted.save_predictions(ml.artefact_path(spark, "lr", "baseline", "returns", "predictions"))
+    return plain(tb.read_csv(spark, path, fitted.predict().schema))
+
+
+def model_roundtrip(spark, sf):
+    """Predictions of the saved and reloaded model beside those of the model in memory."""
+    fitted = _fit(spark, sf, "lr", "baseline", grid={"C": [0.1], "l1_ratio": [0.5]})
+    path = fitted.save(ml.artefact_path(spark, "lr", "baseline", "returns", "model"))
+    again = ml.Fitted(ml.load_model(path), fitted.features, fitted.params, fitted.scaling, fitted.frame)
+    mine = fitted.predict().select("trade_date", "predicted_proba")
+    theirs = again.predict().select("trade_date", F.col("predicted_proba").alias("reloaded_proba"))
+    return plain(mine.join(theirs, "trade_date"))
+
+
+def experiment_matrix(spark, sf):
+    """Two scorers, two families, all variants."""
+    daily = _market(spark, sf)
+    other = {c: c.replace("avg_sentiment", "avg_other") for c in daily.columns if c.startswith("avg_sentiment")}
+    daily = materialise(daily.withColumns({new: F.col(old) * F.col(old) for old, new in other.items()}), "market2")
+    scorers = {"mean": "avg_sentiment", "square": "avg_other"}
+    options = {"lr": {"grid": {"C": [0.1], "l1_ratio": [0.5]}}, "rf": {"grid": {"n_estimators": [10], "max_depth": [3]}}}
+    runs = ex.matrix(("lr", "rf"), tuple(scorers))
+    return ex.run_matrix(daily, runs, _SOURCES, scorers, options, **_DATES)
+
+
+def walk_forward(spark, sf):
+    """Refit at each of about ten dates of the test span, trained on everything before."""
+    spec = ft.FeatureSpec(n_lags=2, with_interactions=False, **_DATES)
+    frame, names = ft.feature_frame(_market(spark, sf), spec)
+    frame = materialise(frame, "walk")
+
+    def estimator(weight_sum):
+        return LogisticRegression(labelCol=ml.LABEL, weightCol=ml.WEIGHT, regParam=1.0 / weight_sum, maxIter=50)
+
+    return plain(ml.walk_forward(frame, names, estimator, "1995-01-01", "2000-01-01", "2001-12-31", refit_every=60))
+
+
+def _vector_news(spark, sf):
+    """Every embedding as a headline of some order day, with a sentiment from its label."""
+    days = fx.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), "o_orderdate", F.col("o_totalprice").alias("price"))
+    n = fx.table(spark, sf, "embeddings").select(F.count("*")).scalar()
+    vectors = fx.table(spark, sf, "embeddings").select("vec_id", "embedding", "label")
+    keyed = days.withColumn("vec_id", F.col("id") % n)
+    return keyed.join(vectors, "vec_id").select(
+        "id", "embedding", F.col("o_orderdate").cast("timestamp_ntz").alias("ts"), (F.col("price") / 500000).alias("sentiment")
+    )
+
+
+def _returns(spark, sf):
+    return _market(spark, sf).select("trade_date", "open_price", "close_price", ml.LABEL)
+
+
+def embedding_forest(spark, sf):
+    out = dv.embedding_forest(
+        _vector_news(spark, sf), F.col("ts"), _returns(spark, sf), "embedding", ["sentiment"], 64,
+        _DATES["train"], _DATES["test"], trees=20,
+    )
+    return plain(out)
+
+
+def attention_classifier(spark, sf):
+    """Attention-pooled day vectors and lags into a small network, refitted once a year."""
+    prices = _returns(spark, sf)
+    rows = join_same_date(_vector_news(spark, sf), F.col("ts"), prices.select("trade_date"))
+    rows = mt.drop_incomplete(rows, ["embedding", "sentiment"])
+    weights = F.array(*[F.lit((i % 5 - 2) / 2) for i in range(64)])
+    daily, names = dv.attention_day_features(
+        rows, "trade_date", "embedding", ["sentiment"], 64, [[1.0], [-1.0]], [0.0, 0.5],
+        dot(F.col("embedding"), weights), F.col("_sent")[0] * 2,
+    )
+    frame, features = dv.day_model_frame(prices, daily, names)
+    frame = materialise(frame, "attention")
+    out = ml.walk_forward(
+        frame, features, ml.perceptron(len(features), hidden=8, max_iter=20),
+        "1995-01-01", "2000-01-01", "2001-12-31", refit_every=250, parallelism=2,
+    )
+    return plain(out)
+
+
+ENTRIES = {
+    **{f"{f}_{v}": entry(_predictions(f, v)) for f in ("lr", "rf", "gbt") for v in ("baseline", "consolidated", "sources")},
+    "ts_grid_search": entry(ts_grid_search),
+    "coefficients": entry(coefficients),
+    "top_importances": entry(top_importances),
+    "model_report": entry(model_report),
+    "predictions_csv": entry(predictions_csv),
+    "model_roundtrip": entry(model_roundtrip),
+    "experiment_matrix": entry(experiment_matrix),
+    "walk_forward": entry(walk_forward),
+    "embedding_forest": entry(embedding_forest),
+    "attention_classifier": entry(attention_classifier),
+}
