@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from string import ascii_lowercase, ascii_uppercase
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bellwire.functions.replies import source_column
@@ -26,6 +26,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def url_column() -> Column:
+    """One url per document; every tenth repeats its neighbour's, and a few are missing."""
+    return F.expr(
+        "if(n_chars % 97 = 0, null, concat('https://example.com/', (doc_id div 10) * 9 + least(doc_id % 10, 8)))"
+    )
+
+
 def news(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headlines from documents: id, source, lang, title, ts, published_at, url, score."""
     ts = "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, cast(doc_id * 7919 % 2592000 as decimal(18,6)))"
@@ -39,7 +46,6 @@ def news(spark: SparkSession, sf_dir: str) -> DataFrame:
              when n_chars % 6 = 3 then date_format(ts - interval 5 hours, "yyyy-MM-dd HH:mm:ss'-05:00'")
              when n_chars % 6 = 4 then date_format(ts, "yyyy-MM-dd HH:mm:ss")
              else date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'+00:00'") end"""
-    url = "if(n_chars % 97 = 0, null, concat('https://example.com/', (doc_id div 10) * 9 + least(doc_id % 10, 8)))"
     score = "if(n_chars % 13 = 0, null, (doc_id * 37 % 201 - 100) / 100d)"
     return docs.select(
         F.col("doc_id").alias("id"),
@@ -49,7 +55,7 @@ def news(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("text").alias("title"),
         "ts",
         F.expr(published).alias("published_at"),
-        F.expr(url).alias("url"),
+        url_column().alias("url"),
         F.expr(score).alias("score"),
     )
 

@@ -24,18 +24,20 @@ from pyspark.ml.classification import (
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bellwire.operators.features import FeatureSpec, Scaling, feature_frame, fit_scaling
 from bellwire.operators.sequence import time_series_folds
 from bellwire.operators.stats import auc_by_rank, metrics_binary, predicted_label
-from bellwire.session import work_path
+from bellwire.session import materialise, work_path
 
 SEED = 42
 LABEL, WEIGHT = "increase", "class_weight"
 #: Spark's deepest tree; stands for "no limit".
 MAX_DEPTH = 30
+#: Rows of a model frame per task of a fit.
+ROWS_PER_PARTITION = 50_000
 
 # The parameter grids searched for each family and variant.
 LOGISTIC_GRID = {"C": [0.001, 0.01, 0.1, 1.0], "l1_ratio": [0.0, 0.25, 0.5, 0.75, 1.0]}
@@ -152,37 +154,87 @@ FAMILIES = {
 
 
 # -- fitting ------------------------------------------------------------------------------------
+def class_weight_values(n0: int, n1: int, weighting: str) -> tuple[float, float]:
+    """Weights of a negative and a positive row, from the class counts."""
+    if weighting == "balanced":
+        return (n0 + n1) / (2 * n0), (n0 + n1) / (2 * n1)
+    return 1.0, n0 / n1
+
+
 def weigh(df: DataFrame, weighting: str) -> tuple[DataFrame, float]:
     """Rows with class weights learnt from them, and the weight sum. Both classes must occur."""
     n0, n1 = df.agg(F.count_if(F.col(LABEL) == 0), F.count_if(F.col(LABEL) == 1)).first()
     if n0 == 0 or n1 == 0:
         raise ValueError("training rows hold one class only")
-    n = n0 + n1
-    w0, w1 = (n / (2 * n0), n / (2 * n1)) if weighting == "balanced" else (1.0, n0 / n1)
+    w0, w1 = class_weight_values(n0, n1, weighting)
     weight = F.when(F.col(LABEL) == 1, F.lit(w1)).otherwise(F.lit(w0))
     return df.withColumn(WEIGHT, weight), w0 * n0 + w1 * n1
 
 
-def run_side_by_side(tasks: Sequence[Callable], parallelism: int) -> list:
+def sized(df: DataFrame, rows_per_partition: int = ROWS_PER_PARTITION) -> DataFrame:
+    """Cached rows in as few partitions as their number calls for.
+
+    An iterative fit runs one job per step, so a short daily series spread over many tiny tasks
+    spends its time on scheduling. The partition count grows with the rows.
+    """
+    n = df.count()
+    parts = max(1, math.ceil(n / rows_per_partition))
+    return df.coalesce(parts).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def run_side_by_side(spark: SparkSession, tasks: Sequence[Callable], parallelism: int) -> list:
     """Run Spark jobs from a few driver threads, results in task order."""
     if parallelism <= 1 or len(tasks) <= 1:
         return [t() for t in tasks]
     pool = ThreadPool(min(parallelism, len(tasks)))
     try:
-        return pool.map(lambda t: inheritable_thread_target(t)(), tasks)
+        return pool.map(lambda t: t(), [inheritable_thread_target(spark)(t) for t in tasks])
     finally:
         pool.close()
 
 
 def _auc(model: Model, rows: DataFrame) -> float:
-    """Area under the curve over all thresholds; NaN when the rows hold one class."""
-    lo, hi = rows.agg(F.min(LABEL), F.max(LABEL)).first()
-    if lo is None or lo == hi:
-        return math.nan
+    """Area under the curve over all thresholds."""
     scorer = BinaryClassificationEvaluator(labelCol=LABEL, rawPredictionCol="rawPrediction", numBins=0)
     return scorer.evaluate(model.transform(rows))
 
 
+@dataclass(frozen=True)
+class _Fold:
+    train: DataFrame
+    test: DataFrame
+    weight_sum: float
+    usable: bool
+
+
+def _fold_parts(train: DataFrame, folds: int, weighting: str) -> tuple[DataFrame, list[_Fold]]:
+    """The cached fold rows with class weights, and each fold's parts.
+
+    One aggregate counts the classes of all folds, so the fits need no counts of their own.
+    """
+    placed = time_series_folds(train, "trade_date", folds)
+    counts = {
+        (r["fold"], r["role"]): (r["n0"], r["n1"])
+        for r in placed.groupBy("fold", "role")
+        .agg(F.count_if(F.col(LABEL) == 0).alias("n0"), F.count_if(F.col(LABEL) == 1).alias("n1"))
+        .collect()
+    }
+    weight, sums, usable = F.lit(1.0), {}, {}
+    for k in range(1, folds + 1):
+        n0, n1 = counts.get((k, "train"), (0, 0))
+        usable[k] = n0 > 0 and n1 > 0 and all(n > 0 for n in counts.get((k, "test"), (0, 0)))
+        w0, w1 = class_weight_values(n0, n1, weighting) if usable[k] else (1.0, 1.0)
+        sums[k] = w0 * n0 + w1 * n1
+        mine = F.when(F.col(LABEL) == 1, F.lit(w1)).otherwise(F.lit(w0))
+        weight = F.when(F.col("fold") == k, mine).otherwise(weight)
+    rows = sized(placed.withColumn(WEIGHT, weight))
+
+    def part(k: int, role: str) -> DataFrame:
+        return rows.where((F.col("fold") == k) & (F.col("role") == role))
+
+    return rows, [_Fold(part(k, "train"), part(k, "test"), sums[k], usable[k]) for k in range(1, folds + 1)]
+
+
 def ts_grid_search(
     train: DataFrame,
     build: Callable[[dict, float], Estimator],
@@ -193,26 +245,24 @@ def ts_grid_search(
 ) -> tuple[dict, DataFrame]:
     """Best setting by mean ROC AUC over time-ordered folds, and the score table.
 
-    Each fold trains only on rows before its test rows. The first setting wins ties; a setting
-    whose AUC is undefined on a fold cannot win.
+    Each fold trains only on rows before its test rows. The first setting wins ties. A fold whose
+    train or test rows hold one class has no AUC, and then no setting can be told from another.
     """
     spark = train.sparkSession
-    rows = time_series_folds(train, "trade_date", folds).persist(StorageLevel.MEMORY_AND_DISK)
-
-    def fold_job(fold: int):
-        part = rows.where(F.col("fold") == fold)
-        return (*weigh(part.where("role = 'train'"), weighting), part.where("role = 'test'"))
+    rows, parts = _fold_parts(train, folds, weighting)
 
-    def job(setting: dict, fold: int) -> float:
-        fit_rows, weight_sum, held_out = fold_job(fold)
-        return _auc(build(setting, weight_sum).fit(fit_rows), held_out)
+    def job(setting: dict, fold: _Fold) -> float:
+        if not fold.usable:
+            return math.nan
+        return _auc(build(setting, fold.weight_sum).fit(fold.train), fold.test)
 
-    pairs = [(i, k) for i in range(len(settings)) for k in range(1, folds + 1)]
+    pairs = [(i, k) for i in range(len(settings)) for k in range(folds)]
     try:
-        scores = run_side_by_side([lambda p=p: job(settings[p[0]], p[1]) for p in pairs], parallelism)
+        tasks = [lambda p=p: job(settings[p[0]], parts[p[1]]) for p in pairs]
+        scores = run_side_by_side(spark, tasks, parallelism)
     finally:
         rows.unpersist()
-    table = [(i, str(settings[i]), k, float(s)) for (i, k), s in zip(pairs, scores)]
+    table = [(i, str(settings[i]), k + 1, float(s)) for (i, k), s in zip(pairs, scores)]
     means = [sum(s for j, _, _, s in table if j == i) / folds for i in range(len(settings))]
     best = max(range(len(settings)), key=lambda i: (-math.inf if math.isnan(means[i]) else means[i], -i))
     return settings[best], spark.createDataFrame(table, "setting int, params string, fold int, auc double")
@@ -307,7 +357,7 @@ def fit_family(
     fam = FAMILIES[family]
     options = {**fam.spec[variant], **spec, "sentiment": tuple(sentiment)}
     frame, names = feature_frame(daily, FeatureSpec(**options))
-    frame = frame.persist(StorageLevel.MEMORY_AND_DISK)
+    frame = sized(materialise(frame, "features"))
     scaling = None
     if fam.scale:
         scaling = fit_scaling(frame, names, F.col("split") == "train")
@@ -316,7 +366,6 @@ def fit_family(
         scaled = frame
     assembler, ready = _assembled(scaled, names)
     train = assembler.transform(ready.where("split = 'train'")).select("trade_date", LABEL, "features")
-    train = train.persist(StorageLevel.MEMORY_AND_DISK)
     settings = expand_grid(fam.grids[variant] if grid is None else grid)
     search = None
     params = settings[0] if settings else {}
@@ -351,7 +400,7 @@ def walk_forward(
     refit. Days with fewer than ``min_train`` earlier rows, or with one class only before them, get
     no prediction. Only the refit dates come to the driver.
     """
-    frame = frame.persist(StorageLevel.MEMORY_AND_DISK)
+    frame = sized(frame)
     day = F.col("trade_date")
     start, lo, hi = (F.lit(d).cast("date") for d in (train_start, test_start, test_end))
     test_days = [r[0] for r in frame.where(day.between(lo, hi)).select(day).distinct().orderBy(day).collect()]
@@ -369,7 +418,7 @@ def walk_forward(
             "trade_date", F.col(LABEL).alias("actual_increase"), vector_to_array(F.col("probability"))[1].alias("predicted_proba")
         )
 
-    parts = [p for p in run_side_by_side([lambda b=b: job(b) for b in blocks], parallelism) if p is not None]
+    parts = [p for p in run_side_by_side(frame.sparkSession, [lambda b=b: job(b) for b in blocks], parallelism) if p is not None]
     if not parts:
         raise ValueError("no test day has enough earlier rows")
     out = parts[0]

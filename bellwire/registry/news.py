@@ -305,7 +305,7 @@ _PROBS = """
       length(title_clean) - length(replace(title_clean, ' ', '')) as n_s,
       length(title_clean) - length(replace(title_clean, 'e', '')) as n_e from fx_clean))"""
 
-_LM = """
+LM_SQL = """
   select n.id, coalesce(p, 0) as n_pos, coalesce(q, 0) as n_neg,
     cast(coalesce(round_even((p - q) / nullif(p + q, 0)::double, 4), 0) as double) as lm_sentiment_score
   from fx_news n left join (
@@ -441,11 +441,11 @@ ENTRIES = {
         """select w as word, case when w like '%e' then 1 else -1 end as polarity from fx_vocabulary
            where w like '%e' or w like 'a%'""",
     ),
-    "lm_sentiment": entry(lm_sentiment, _LM),
+    "lm_sentiment": entry(lm_sentiment, LM_SQL),
     "resume_scoring": entry(
         resume_scoring,
         f"""select s.id, case when c.lang = 'en' then 1 else 2 end as run, lm_sentiment_score
-            from ({_LM}) s join fx_clean c on c.id = s.id where c.lang = 'en' or c.title_clean <> ''""",
+            from ({LM_SQL}) s join fx_clean c on c.id = s.id where c.lang = 'en' or c.title_clean <> ''""",
     ),
     "score_batches": entry(
         score_batches,
