@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from bellwire.functions.replies import source_column
 from bellwire.functions.text import tokens
-from bellwire.session import materialise
+from bellwire.session import fill_cores, materialise
 from bellwire.sources.prices import add_returns
 
 HOLIDAYS = ("2024-01-01", "2024-01-15")
@@ -36,7 +36,7 @@ def url_column() -> Column:
 def news(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headlines from documents: id, source, lang, title, ts, published_at, url, score."""
     ts = "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, cast(doc_id * 7919 % 2592000 as decimal(18,6)))"
-    docs = table(spark, sf_dir, "documents").withColumn("ts", F.expr(ts))
+    docs = fill_cores(table(spark, sf_dir, "documents")).withColumn("ts", F.expr(ts))
     published = """
         case when n_chars < 100 then 'date unknown'
              when n_chars < 200 then null

@@ -13,10 +13,11 @@ BLANKS = (
 # Word characters: letters, numbers of any kind, underscore. Java's bare \w is ASCII only.
 WORD = r"\p{L}\p{N}_"
 
-_NOT_WORD_NOR_BLANK = rf"[^{WORD}{BLANKS}]"
-_BLANK_RUN = rf"[{BLANKS}]+"
+# A cheap ASCII class is tested first, so plain letters skip the long Unicode lists; the set of
+# matching characters stays the same.
+_NOT_WORD_NOR_BLANK = rf"[[^\w ]&&[^{WORD}{BLANKS}]]"
 _EDGE_BLANKS = rf"\A[{BLANKS}]+|[{BLANKS}]+\z"
-_TOKEN = rf"[{WORD}]+"
+_TOKEN = rf"[\w[{WORD}]]+"
 
 # Printable ASCII plus tab, line feed, vertical tab, form feed, carriage return.
 _ALL_PRINTABLE = r"\A[\x20-\x7E\t\n\x0B\f\r]*\z"
@@ -33,9 +34,13 @@ def strip(col: Column | str) -> Column:
 
 
 def clean_title(col: Column | str) -> Column:
-    """Drop punctuation, collapse blanks, trim, lower. NULL stays NULL."""
+    """Drop punctuation, collapse blanks, trim, lower. NULL stays NULL.
+
+    Without punctuation only words and blanks are left, so joining the words by one space both
+    collapses and trims, and runs several times faster than replacing blank runs.
+    """
     kept = F.regexp_replace(_col(col), _NOT_WORD_NOR_BLANK, "")
-    return F.lower(F.trim(F.regexp_replace(kept, _BLANK_RUN, " ")))
+    return F.lower(F.array_join(F.regexp_extract_all(kept, F.lit(_TOKEN), F.lit(0)), " "))
 
 
 def tokens(col: Column | str) -> Column:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import product
+from itertools import combinations_with_replacement, product
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
@@ -17,26 +17,38 @@ from bellwire.operators.sequence import running_sums
 EPSILON = 2.220446049250313e-16
 
 
-def _pearson(x: Column, y: Column) -> Column:
-    """Pearson r over rows where both are set; NULL for a constant side."""
-    both = x.isNotNull() & y.isNotNull()
-    xs, ys = F.when(both, x), F.when(both, y)
-    return ratio(F.covar_pop(xs, ys), F.stddev_pop(xs) * F.stddev_pop(ys))
+def corr_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Pairwise-complete Pearson correlations, long form (col_a, col_b, corr), in one pass.
+
+    Each row is laid out once per column pair and aggregated by pair: three small aggregates
+    compile to a tight loop, where one aggregate over all pairs is too large to. Partial
+    aggregation leaves one row per pair and task to shuffle. A constant column gives NULL.
+    """
+    names = [f"_x{i}" for i in range(len(columns))]
+    pairs = list(combinations_with_replacement(range(len(columns)), 2))
+    values = df.select(*[numeric(c).alias(n) for c, n in zip(columns, names)])
+    cells = F.array(
+        *[
+            F.struct(F.lit(k).alias("pair"), F.col(names[i]).alias("x"), F.col(names[j]).alias("y"))
+            for k, (i, j) in enumerate(pairs)
+        ]
+    )
+    both = F.col("x").isNotNull() & F.col("y").isNotNull()
+    laid_out = values.select(F.explode(cells).alias("_c")).select("_c.*")
+    joint = laid_out.select("pair", F.when(both, F.col("x")).alias("x"), F.when(both, F.col("y")).alias("y"))
+    r = joint.groupBy("pair").agg(
+        ratio(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y")).alias("corr")
+    )
 
+    def cell(a: str, b: str) -> Column:
+        return F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"))
 
-def corr_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pairwise-complete Pearson correlations, long form (col_a, col_b, corr), in one aggregate."""
-    index = {c: i for i, c in enumerate(columns)}
-    cells, wanted = {}, []
-    for a, b in product(columns, columns):
-        i, j = sorted((index[a], index[b]))
-        cells[(i, j)] = _pearson(F.col(f"_x{i}"), F.col(f"_x{j}")).alias(f"_r{i}_{j}")
-        wanted.append(
-            F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col(f"_r{i}_{j}").alias("corr"))
-        )
-    values = df.select(*[numeric(c).alias(f"_x{i}") for c, i in index.items()])
-    one_row = values.agg(*cells.values())
-    return one_row.select(F.explode(F.array(*wanted)).alias("_c")).select("_c.*")
+    # Both (a, b) and (b, a) come out of one pair; the diagonal once.
+    places = F.array(
+        *[F.array(*[cell(columns[a], columns[b]) for a, b in sorted({(i, j), (j, i)})]) for i, j in pairs]
+    )
+    placed = r.select(F.explode(F.element_at(places, F.col("pair") + 1)).alias("_p"), "corr")
+    return placed.select("_p.*", "corr")
 
 
 def linregress(df: DataFrame, x: str, y: str) -> DataFrame:

@@ -36,8 +36,12 @@ _SCORES = T.StructType(
 
 def stream_score(spark, sf):
     lexicon = fx.lexicon(spark)
-    docs = _stream(spark, sf, "documents").select(F.col("doc_id").alias("id"), clean_title("text").alias("title_clean"))
-    return jobs.stream_score(docs, lambda df: sc.score_lexicon(df, lexicon), _SCORES)
+    docs = _stream(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("title"))
+
+    def score(fresh):
+        return sc.score_lexicon(fresh.withColumn("title_clean", clean_title("title")), lexicon)
+
+    return jobs.stream_score(docs, score, _SCORES)
 
 
 def stream_dedup(spark, sf):

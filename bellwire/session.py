@@ -88,3 +88,13 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> Dat
     if df.limit(max_rows + 1).count() > max_rows:
         return df
     return F.broadcast(df)
+
+
+def fill_cores(scan: DataFrame) -> DataFrame:
+    """Spread a scan with fewer splits than the cluster has cores, ahead of work heavy per row.
+
+    A large table has more splits than cores and is left as it is, so nothing is shuffled there.
+    Only for plain scans: it asks for the number of splits.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
