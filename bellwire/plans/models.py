@@ -227,7 +227,7 @@ def _fold_parts(train: DataFrame, folds: int, weighting: str) -> tuple[DataFrame
         sums[k] = w0 * n0 + w1 * n1
         mine = F.when(F.col(LABEL) == 1, F.lit(w1)).otherwise(F.lit(w0))
         weight = F.when(F.col("fold") == k, mine).otherwise(weight)
-    rows = sized(placed.withColumn(WEIGHT, weight))
+    rows = sized(placed.drop("row_no").withColumn(WEIGHT, weight))
 
     def part(k: int, role: str) -> DataFrame:
         return rows.where((F.col("fold") == k) & (F.col("role") == role))
@@ -365,7 +365,7 @@ def fit_family(
     else:
         scaled = frame
     assembler, ready = _assembled(scaled, names)
-    train = assembler.transform(ready.where("split = 'train'")).select("trade_date", LABEL, "features")
+    train = sized(assembler.transform(ready.where("split = 'train'")).select("trade_date", LABEL, "features"))
     settings = expand_grid(fam.grids[variant] if grid is None else grid)
     search = None
     params = settings[0] if settings else {}
