@@ -99,16 +99,15 @@ def net_sentiment(df: DataFrame, prefix: str = "finbert_sentiment") -> DataFrame
     )
 
 
-class ScoreRequestError(Exception):
-    """Raised by a client for a request that may succeed when tried again."""
-
-
 def length_client() -> Callable[[str], str]:
     """Offline stand-in for a remote model: the reply depends on the prompt length only."""
 
     def ask(prompt: str) -> str:
         n = len(prompt)
-        return "not sure" if n % 10 == 0 else f"{(n * 13) % 301 - 150}e-2" if n % 10 == 1 else f"{((n * 13) % 301 - 150) / 100:.2f}"
+        value = n * 13 % 301 - 150
+        if n % 10 == 0:
+            return "not sure"
+        return f"{value}e-2" if n % 10 == 1 else f"{value / 100:.2f}"
 
     return ask
 
