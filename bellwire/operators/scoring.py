@@ -121,18 +121,22 @@ def score_remote(
     max_retries: int = 5,
     backoff: float = 2.0,
     requests_per_minute: float | None = None,
+    workers: int | None = None,
 ) -> DataFrame:
     """(id, raw, score, error) from a remote model called once per row.
 
     The client is built once per task from ``make_client``. Failed calls are retried with doubling
-    waits. A rate cap is shared evenly by the partitions, so the whole job stays under it.
+    waits. A rate cap is shared evenly by ``workers`` partitions (default: the cluster's cores), so
+    the whole job stays under it.
     """
     if prompt not in PROMPTS:
         raise ValueError(f"unknown prompt {prompt!r}")
     asked = news.select(F.col(id_col).alias("id"), format_prompt(text, prompt).alias("_prompt"))
     pause = 0.0
     if requests_per_minute:
-        pause = 60.0 * asked.rdd.getNumPartitions() / requests_per_minute
+        workers = workers or asked.sparkSession.sparkContext.defaultParallelism
+        asked = asked.repartition(workers)
+        pause = 60.0 * workers / requests_per_minute
 
     def call(ask: Callable[[str], str], message: str) -> tuple[str | None, str | None]:
         for attempt in range(1, max_retries + 1):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -57,6 +59,10 @@ def session_windows(calendar: DataFrame, zone: str = NEW_YORK) -> DataFrame:
     )
 
 
+def _ntz(moment: datetime) -> Column:
+    return F.lit(moment.isoformat(sep=" ")).cast("timestamp_ntz")
+
+
 def interval_join(
     points: DataFrame,
     at: Column,
@@ -69,15 +75,21 @@ def interval_join(
 
     A bare range condition plans as a nested loop over all pairs. Each window is instead listed
     once per UTC date it touches, which gives an equality on the date; the range stays as residual.
-    A point has one date, so it meets each window at most once.
+    A point has one date, so it meets each window at most once. The windows are counted first: up to
+    ``max_broadcast_rows`` they are broadcast, beyond that both sides shuffle on the date.
     """
     by_day = windows.withColumn(
         "_day", F.explode(F.sequence(F.to_date("window_start"), F.to_date("window_end")))
     )
+    listed, first, last = by_day.agg(F.count("*"), F.min("window_start"), F.max("window_end")).first()
+    if listed and how in ("inner", "left_semi"):
+        # Points outside all windows cannot match; on a stored column this prunes the scan.
+        points = points.where((at >= _ntz(first)) & (at <= _ntz(last)))
     keyed = points.withColumn("_at", at).withColumn("_at_day", F.to_date("_at"))
     upper = F.col("_at") <= F.col("window_end") if closed_end else F.col("_at") < F.col("window_end")
     match = (F.col("_at_day") == F.col("_day")) & (F.col("_at") >= F.col("window_start")) & upper
-    joined = keyed.join(broadcast_if_small(by_day, max_broadcast_rows), match, how)
+    side = F.broadcast(by_day) if listed <= max_broadcast_rows else by_day
+    joined = keyed.join(side, match, how)
     return joined.drop("_at", "_at_day", "_day")
 
 

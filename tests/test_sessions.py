@@ -112,3 +112,15 @@ def test_large_calendar_takes_the_shuffle_join_with_the_same_rows(spark, sf_dir)
 def test_broadcast_needs_a_counted_bound(spark):
     assert "isBroadcast" not in str(broadcast_if_small(spark.range(11), 10)._jdf.queryExecution().logical())
     assert "broadcast" in str(broadcast_if_small(spark.range(10), 10)._jdf.queryExecution().logical()).lower()
+
+
+def test_windows_prune_the_scan(spark, sf_dir):
+    """Only points between the first window's start and the last one's end are read on."""
+    text = plan(ss.session_gap_join(fx.news_large(spark, sf_dir), F.col("ts"), fx.days(spark, sf_dir)))
+    scan = text[text.index("FileScan") :]
+    assert "GreaterThanOrEqual(ts" in scan and "LessThanOrEqual(ts" in scan
+
+
+def test_no_windows_match_nothing(spark):
+    news = at_new_york(spark, "2024-01-05 08:00:00")
+    assert ids(ss.session_gap_join(news, F.col("ts"), calendar(spark, "2024-01-05"))) == []
