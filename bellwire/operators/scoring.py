@@ -22,26 +22,26 @@ CLASSES = ("pos", "neutral", "neg")
 
 
 def lexicon_hits(news: DataFrame, lexicon: DataFrame, id_col: str, text: str) -> DataFrame:
-    """(id, n_pos, n_neg): tokens found in the lexicon, repeats counted.
+    """(id, n_pos, n_neg) for every headline: tokens found in the lexicon, repeats counted.
 
     Only id and token travel. A headline's tokens leave one task, so the partial sums already
-    shrink to one row per headline before the shuffle.
+    shrink to one row per headline before the only shuffle; the outer explode and join keep
+    headlines without hits in the same pass.
     """
-    exploded = news.select(id_col, F.explode(tokens(text)).alias("_token"))
+    exploded = news.select(id_col, F.explode_outer(tokens(text)).alias("_token"))
     words = broadcast_if_small(positive_first(lexicon))
-    hits = exploded.join(words, F.col("_token") == F.col("word"))
-    return hits.groupBy(id_col).agg(
+    looked_up = exploded.join(words, F.col("_token") == F.col("word"), "left")
+    return looked_up.groupBy(id_col).agg(
         F.count_if(F.col("polarity") > 0).alias("n_pos"), F.count_if(F.col("polarity") < 0).alias("n_neg")
     )
 
 
 def score_lexicon(news: DataFrame, lexicon: DataFrame, id_col: str = "id", text: str = "title_clean") -> DataFrame:
     """(id, n_pos, n_neg, score): (pos - neg) / (pos + neg), 0 without hits, 4 decimals half to even."""
-    scored = news.select(id_col).join(lexicon_hits(news, lexicon, id_col, text), id_col, "left")
-    pos, neg = F.coalesce("n_pos", F.lit(0)), F.coalesce("n_neg", F.lit(0))
+    pos, neg = F.col("n_pos"), F.col("n_neg")
     raw = F.coalesce(ratio(pos - neg, pos + neg), F.lit(0.0))
-    return scored.select(
-        id_col, pos.alias("n_pos"), neg.alias("n_neg"), F.bround(raw, 4).alias("lm_sentiment_score")
+    return lexicon_hits(news, lexicon, id_col, text).select(
+        id_col, pos, neg, F.bround(raw, 4).alias("lm_sentiment_score")
     )
 
 

@@ -6,10 +6,9 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from bellwire.operators.features import select_source_columns
-from bellwire.plans.models import Fitted, fit_family
+from bellwire.plans.models import Fitted, fit_family, run_side_by_side
 
 # The sentiment columns the runs are made for, by scorer.
 SCORERS = {
@@ -49,27 +48,21 @@ def run_matrix(
     sources: Sequence[str],
     scorers: dict[str, str] = SCORERS,
     options: dict[str, dict] | None = None,
+    parallel_runs: int = 4,
     **common,
 ) -> DataFrame:
     """Metrics of every run: family, variant, scorer, n, accuracy, log_loss, auc.
 
-    ``options`` holds extra settings per family, such as a grid.
+    ``options`` holds extra settings per family, such as a grid. Runs are independent Spark jobs and
+    go side by side; each hands back one row.
     """
-    parts = []
-    for run in runs:
+
+    def job(run: Run) -> tuple:
         fitted = run_one(daily, run, sources, scorers, **{**common, **(options or {}).get(run.family, {})})
-        parts.append(
-            fitted.metrics().select(
-                F.lit(run.family).alias("family"),
-                F.lit(run.variant).alias("variant"),
-                F.lit(run.scorer).alias("scorer"),
-                "n",
-                "accuracy",
-                "log_loss",
-                "auc",
-            )
-        )
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+        m = fitted.metrics().first()
+        fitted.release()
+        return (run.family, run.variant, run.scorer, m["n"], m["accuracy"], m["log_loss"], m["auc"])
+
+    rows = run_side_by_side(daily.sparkSession, [lambda r=r: job(r) for r in runs], parallel_runs)
+    schema = "family string, variant string, scorer string, n long, accuracy double, log_loss double, auc double"
+    return daily.sparkSession.createDataFrame(rows, schema)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from datetime import date
 from itertools import product
 from multiprocessing.pool import ThreadPool
@@ -282,7 +282,8 @@ class Fitted:
     params: dict
     scaling: Scaling | None
     frame: DataFrame
-    search: DataFrame | None = field(default=None)
+    search: DataFrame | None = None
+    cached: DataFrame | None = None
 
     @property
     def model(self) -> Model:
@@ -322,6 +323,11 @@ class Fitted:
         auc = auc_by_rank(preds, "actual_increase", "predicted_proba").select("auc").scalar()
         return basic.withColumn("auc", auc)
 
+    def release(self) -> None:
+        """Drop the cached frame once results are out."""
+        if self.cached is not None:
+            self.cached.unpersist()
+
     def save(self, path: str) -> str:
         self.pipeline.write().overwrite().save(path)
         return path
@@ -378,7 +384,8 @@ def fit_family(
         params, search = ts_grid_search(train, fam.build, settings, folds, fam.weighting, parallelism)
     fit_rows, weight_sum = weigh(train, fam.weighting)
     model = fam.build(params, weight_sum).fit(fit_rows)
-    return Fitted(PipelineModel([assembler, model]), list(names), params, scaling, ready, search)
+    train.unpersist()
+    return Fitted(PipelineModel([assembler, model]), list(names), params, scaling, ready, search, frame)
 
 
 # -- walk-forward and day-vector models -----------------------------------------------------------
@@ -412,23 +419,28 @@ def walk_forward(
     blocks = [test_days[i : i + refit_every] for i in range(0, len(test_days), refit_every)]
     usable = frame.where(day >= start)
 
-    def job(block):
+    sink = work_path(frame.sparkSession, "walk-forward")
+
+    def job(number: int, block: list[date]) -> bool:
         past = usable.where(day < F.lit(block[0]))
         n, lo_label, hi_label = past.agg(F.count("*"), F.min(LABEL), F.max(LABEL)).first()
         if n < min_train or lo_label == hi_label:
-            return None
+            return False
         model = fit_rows_model(past, names, estimator)
         rows = _assembled(frame.where(day.between(F.lit(block[0]), F.lit(block[-1]))), names)[1]
-        return model.transform(rows).select(
-            "trade_date", F.col(LABEL).alias("actual_increase"), vector_to_array(F.col("probability"))[1].alias("predicted_proba")
-        )
-
-    parts = [p for p in run_side_by_side(frame.sparkSession, [lambda b=b: job(b) for b in blocks], parallelism) if p is not None]
-    if not parts:
+        proba = vector_to_array(F.col("probability"))[1]
+        model.transform(rows).select(
+            "trade_date", F.col(LABEL).alias("actual_increase"), proba.alias("predicted_proba")
+        ).write.parquet(f"{sink}/block={number}")
+        return True
+
+    tasks = [lambda i=i, b=b: job(i, b) for i, b in enumerate(blocks)]
+    # Blocks meet in stored files: a union of hundreds of model plans would be costly to plan.
+    if not any(run_side_by_side(frame.sparkSession, tasks, parallelism)):
         raise ValueError("no test day has enough earlier rows")
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
+    label_type = frame.schema[LABEL].dataType.simpleString()
+    schema = f"trade_date date, actual_increase {label_type}, predicted_proba double, block int"
+    out = frame.sparkSession.read.schema(schema).parquet(sink).drop("block")
     return out.withColumn("predicted_label", predicted_label(F.col("predicted_proba"), "round"))
 
 

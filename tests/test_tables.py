@@ -75,6 +75,18 @@ def test_merge_not_in_sql_mode_equals_not_in(spark, target, sources):
         assert sorted(r.id for r in got.collect()) == sqlite_merge(target, [rows])
 
 
+def test_merge_with_a_hot_url_and_many_nulls_equals_not_in(spark):
+    """A third of the rows share one url and a third have none."""
+    def make(start, n, offset):
+        return [(start + i, ["hot", None, f"u{(i * 7 + offset) % 500}"][i % 3]) for i in range(n)]
+
+    target = [(i, f"u{i}") for i in range(50)]
+    sources = [make(1000, 900, 0), make(5000, 900, 3), make(9000, 900, 11)]
+    named = {f"s{i}": table(spark, rows).repartition(6) for i, rows in enumerate(sources)}
+    got = dedup.merge_sources(table(spark, target), dedup.tag_sources(named, ["id", "url"]), null_mode="sql")
+    assert sorted(r.id for r in got.collect()) == sqlite_merge(target, sources)
+
+
 def test_merge_safe_mode_keeps_null_urls_and_first_source_wins(spark):
     tagged = dedup.tag_sources(
         {"x": table(spark, [(10, "b"), (11, "b"), (12, None)]), "y": table(spark, [(20, "b"), (21, "c"), (22, "a")])}, ["id", "url"]
