@@ -57,8 +57,3 @@ def pick_by_label(values: Column, id2label: dict[int, str], label: str) -> Colum
     """Element of ``values`` at the index whose label matches, ignoring case."""
     index = {name.lower(): i for i, name in id2label.items()}[label.lower()]
     return F.element_at(values, index + 1)
-
-
-def scalars_to_rows(vec: Column) -> Column:
-    """Explode helper: (pos, value) rows."""
-    return F.posexplode(vec)
