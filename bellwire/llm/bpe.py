@@ -32,7 +32,6 @@ import struct
 import sys
 import unicodedata
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +39,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bellwire.llm.state import per_worker
+
 _NO_RANK = 1 << 30
 #: Characters of one stretch of text.
 STRETCH = 1 << 16
@@ -69,9 +70,12 @@ def byte_alphabet() -> list[str]:
     return out
 
 
-@lru_cache(maxsize=1)
 def joining() -> frozenset[str]:
     """Characters that may compose with the one before them: second halves, and Hangul vowels and finals."""
+    return per_worker("joining", _joining)
+
+
+def _joining() -> frozenset[str]:
     halves = (unicodedata.decomposition(chr(c)).split() for c in range(sys.maxunicode + 1))
     return frozenset(chr(int(h[1], 16)) for h in halves if len(h) == 2 and h[0][0] != "<") | {chr(c) for c in range(0x1160, 0x1200)}
 
@@ -375,10 +379,9 @@ class BpeDecoder:
         return self.machine.decode(b"", True)
 
 
-@lru_cache(maxsize=2)
 def codec(path: str) -> BpeCodec:
     """The codec of a file on this worker; loaded once per Python process."""
-    return BpeCodec.from_file(path)
+    return per_worker(("codec", path), lambda: BpeCodec.from_file(path))
 
 
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:

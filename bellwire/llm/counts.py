@@ -13,13 +13,13 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bellwire.llm.bpe import KNOWN_WORDS, LONG_WORD, BpeCodec, stretches
+from bellwire.llm.state import per_worker
 
 #: Bytes that go to the library at once.
 BATCH_BYTES = 1 << 18
@@ -95,9 +95,8 @@ class TokenCounter:
         return total
 
 
-@lru_cache(maxsize=2)
 def counter(path: str) -> TokenCounter:
-    return TokenCounter(path)
+    return per_worker(("counter", path), lambda: TokenCounter(path))
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -38,7 +38,7 @@ from bellwire.llm.bpe import codec
 from bellwire.session import work_path
 
 MAGIC = b"RPG1"
-_HEAD = struct.Struct("<4s5I")
+_HEAD = "<4s5I"
 #: Ids per shard, about; one document is never cut.
 SHARD_IDS = 1 << 20
 #: Symbols whose pairs are counted in a round, and pairs replaced in a round at most.
@@ -150,7 +150,7 @@ def pack_shard(doc_ids: list[int | None], texts_ids: list[np.ndarray], end_id: i
     lengths = np.array([len(t) + 1 for t in texts_ids], np.int64)
     reached = np.concatenate([[0], np.cumsum(grammar.sizes(grammar.sequence))])
     starts = np.searchsorted(reached, np.cumsum(lengths) - lengths).astype("<u4")
-    head = _HEAD.pack(MAGIC, end_id, grammar.base, len(grammar.rules), len(grammar.sequence), len(doc_ids))
+    head = struct.pack(_HEAD, MAGIC, end_id, grammar.base, len(grammar.rules), len(grammar.sequence), len(doc_ids))
     return b"".join([
         head, grammar.rules.astype("<u4").tobytes(), grammar.lengths.astype("<u4").tobytes(), grammar.sequence.astype("<u4").tobytes(),
         np.array([d or 0 for d in doc_ids], "<i8").tobytes(), np.array([d is None for d in doc_ids], "u1").tobytes(), starts.tobytes(),
@@ -161,10 +161,10 @@ class Shard:
     """Reads a packed shard; ``ids(k)`` decodes one document only."""
 
     def __init__(self, data: bytes):
-        magic, self.end_id, base, n_rules, n_seq, n_docs = _HEAD.unpack_from(data)
+        magic, self.end_id, base, n_rules, n_seq, n_docs = struct.unpack_from(_HEAD, data)
         if magic != MAGIC:
             raise ValueError("not a shard of this format")
-        at = _HEAD.size
+        at = struct.calcsize(_HEAD)
 
         def take(kind: str, n: int) -> np.ndarray:
             nonlocal at

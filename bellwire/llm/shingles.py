@@ -7,6 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+from bellwire.llm.state import per_worker
+
 _U = np.uint64
 _ODD = _U(0x9E3779B97F4A7C15)
 _PRIME = 0x100000001B3
@@ -29,18 +31,17 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number and of its inverse modulo 2**64, for places 0..n."""
-    if len(_powers[0]) <= n:
-        size = max(n + 1, BLOCK_BYTES + 4096)
+def _power_tables(n: int) -> list[np.ndarray]:
+    """Powers of an odd number and of its inverse modulo 2**64, for places 0..n at least."""
+    held = per_worker("powers", lambda: [np.ones(1, np.uint64)] * 2)
+    if len(held[0]) <= n:
         for i, base in enumerate((_PRIME, pow(_PRIME, -1, 1 << 64))):
-            steps = np.full(size, base, np.uint64)
+            steps = np.full(max(n + 1, BLOCK_BYTES + 4096), base, np.uint64)
             steps[0] = 1
-            _powers[i] = np.multiply.accumulate(steps)
-    return _powers[0], _powers[1]
+            held[i] = np.multiply.accumulate(steps)
+    return held
 
 
 def text_blocks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
