@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bellwire.llm import bpe, counts, neardup, repair
+from bellwire.llm import bpe, counts, hilbert, language, neardup, repair, toxicity
 from bellwire.registry.base import entry
 
 
@@ -35,7 +35,22 @@ def op7_neardup(spark, sf_dir):
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=3)
 
 
+def op2_toxicity(spark, sf_dir):
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_language(spark, sf_dir):
+    return language.predict(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op9_hilbert(spark, sf_dir):
+    return hilbert.nearest(table(spark, sf_dir, "embeddings"))
+
+
 ENTRIES = {
+    "op2_toxicity": entry(op2_toxicity),
+    "op5_language": entry(op5_language),
+    "op9_hilbert": entry(op9_hilbert),
     "op1_bpe": entry(op1_bpe),
     "op4_repair": entry(op4_repair),
     "op6_counts": entry(op6_counts),
