@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bellwire.llm.sample import remainder, sample_ids
+from bellwire.llm.sample import carried, remainder, sample_ids
 from bellwire.llm.state import per_worker
 
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -49,21 +49,29 @@ class PieceModel:
     def __init__(self, pieces: dict[str, int], languages: list[str], probs: np.ndarray):
         self.pieces, self.languages, self.probs = pieces, languages, probs
         self.longest = max(map(len, pieces), default=1)
+        # Every beginning of a piece, with the number of the piece or -1.
+        self.beginnings = {p[:n]: -1 for p in pieces for n in range(1, len(p))} | pieces
         self.numbers: dict[str, int] = {}
         self.table = np.zeros((1024, len(languages)))
 
     def _grid(self, words: list[str], size: int) -> np.ndarray:
         """Piece number of every stretch (end, length - 1, word); -1 where there is none."""
-        get, span = self.pieces.get, min(self.longest, size)
-        grid = np.full((size + 1, span, len(words)), -1, np.int32)
+        get = self.beginnings.get
+        ends, lengths, owners, numbers = [], [], [], []
         for w, word in enumerate(words):
-            for end in range(1, size + 1):
-                for length in range(1, min(span, end) + 1):
-                    p = get(word[end - length : end], -1)
+            for start in range(size):
+                for end in range(start + 1, size + 1):
+                    p = get(word[start:end])
+                    if p is None:
+                        break
                     if p >= 0:
-                        grid[end, length - 1, w] = p
-                if grid[end, 0, w] < 0:
-                    grid[end, 0, w] = 0
+                        ends.append(end)
+                        lengths.append(end - start - 1)
+                        owners.append(w)
+                        numbers.append(p)
+        grid = np.full((size + 1, min(self.longest, size), len(words)), -1, np.int32)
+        grid[ends, lengths, owners] = numbers
+        grid[1:, 0] = np.maximum(grid[1:, 0], 0)
         return grid
 
     def forward(self, grid: np.ndarray) -> np.ndarray:
@@ -116,17 +124,15 @@ class PieceModel:
                 np.add.at(out, [i for i, _ in some], np.log(total))
         return out
 
-    def text(self, text: str | None) -> np.ndarray | None:
-        """Summed log probabilities, or None without a letter."""
-        words = LETTERS.findall((text or "").lower())
-        if not words:
-            return None
+    def texts(self, texts: list[str | None]) -> list[np.ndarray | None]:
+        """Summed log probabilities of each text, or None for one without a letter."""
+        words = [LETTERS.findall((t or "").lower()) for t in texts]
         try:
-            rows = list(map(self.numbers.__getitem__, words))
+            rows = [list(map(self.numbers.__getitem__, w)) for w in words]
         except KeyError:
-            self._learn(words)
-            rows = list(map(self.numbers.__getitem__, words))
-        return self.table[rows].sum(axis=0)
+            self._learn([x for w in words for x in w])
+            rows = [list(map(self.numbers.__getitem__, w)) for w in words]
+        return [self.table[r].sum(axis=0) if r else None for r in rows]
 
     def _learn(self, words: list[str]) -> None:
         new = [w for w in dict.fromkeys(words) if w not in self.numbers]
@@ -141,6 +147,20 @@ class PieceModel:
         self.numbers.update(zip(new, range(at, at + len(new))))
 
 
+def groups_by_size(texts: list[str | None], limit: int = 1 << 20) -> Iterator[list[str | None]]:
+    """Runs of texts of about ``limit`` characters, so that new words are met many at a time."""
+    held: list[str | None] = []
+    size = 0
+    for text in texts:
+        held.append(text)
+        size += len(text or "")
+        if size >= limit:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def fit(counts: dict[str, dict[str, int]], pieces: dict[str, int], rounds: int = ROUNDS) -> PieceModel:
     """Expectation maximisation from equal probabilities; ``counts``: language -> word -> times."""
     languages = sorted(counts)
@@ -180,8 +200,12 @@ def predict(
     text_col: str = "text",
     per_language: int = PER_LANGUAGE,
     most_languages: int = MOST_LANGUAGES,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Per row: id, ``held_out`` (crc32 of the id modulo 3 is 1), ``lang_pred`` and its posterior ``score``."""
+    """Per row: id, ``held_out`` (crc32 of the id modulo 3 is 1), ``lang_pred`` and its posterior ``score``.
+
+    ``carry`` adds these columns unchanged, as ``_x0``, ``_x1``, ...
+    """
     counts = training_words(docs, lang_col, id_col, text_col, per_language, most_languages)
     model = fit(counts, vocabulary(vocabulary_path))
     languages = model.languages
@@ -198,16 +222,19 @@ def predict(
         own = per_worker(key, load)
         for batch in batches:
             langs, scores = [], []
-            for text in batch.column(2):
-                total = own.text(text.as_py()) if languages else None
-                if total is None:
+            totals = [x for group in groups_by_size(batch.column(2).to_pylist()) for x in own.texts(group)]
+            for total in totals:
+                if total is None or not languages:
                     langs.append("und")
                     scores.append(0.0)
                 else:
                     best = int(total.argmax())
                     langs.append(languages[best])
                     scores.append(float(1.0 / np.exp(total - total[best]).sum()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[id_col, "held_out", "lang_pred", "score"])
+            more = batch.columns[3:]
+            names = [id_col, "held_out", "lang_pred", "score", *(f"_x{i}" for i in range(len(more)))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), *more], names=names)
 
-    rows = docs.select(F.col(id_col).cast("bigint").alias(id_col), (remainder(id_col, 3) == 1).alias("held_out"), F.col(text_col).cast("string").alias(text_col))
-    return rows.mapInArrow(run, f"{id_col} bigint, held_out boolean, lang_pred string, score double")
+    more, more_schema = carried(docs, list(carry))
+    rows = docs.select(F.col(id_col).cast("bigint").alias(id_col), (remainder(id_col, 3) == 1).alias("held_out"), F.col(text_col).cast("string").alias(text_col), *more)
+    return rows.mapInArrow(run, f"{id_col} bigint, held_out boolean, lang_pred string, score double{more_schema}")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bellwire.llm import bpe, counts, hilbert, language, neardup, repair, toxicity
+from bellwire.llm import bpe, counts, hilbert, language, mixing, neardup, pages, quality, repair, toxicity
 from bellwire.registry.base import entry
 
 
@@ -47,7 +47,22 @@ def op9_hilbert(spark, sf_dir):
     return hilbert.nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op3_html(spark, sf_dir):
+    return pages.extract(table(spark, sf_dir, "pages"))
+
+
+def op8_quality(spark, sf_dir):
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_mixing(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 ENTRIES = {
+    "op3_html": entry(op3_html),
+    "op8_quality": entry(op8_quality),
+    "op10_mixing": entry(op10_mixing),
     "op2_toxicity": entry(op2_toxicity),
     "op5_language": entry(op5_language),
     "op9_hilbert": entry(op9_hilbert),

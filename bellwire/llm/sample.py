@@ -12,6 +12,16 @@ def remainder(id_col: str, parts: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % parts
 
 
+def carried(docs: DataFrame, columns: list[str]) -> tuple[list[Column], str]:
+    """Columns to carry through a function in Arrow, under names of their own, and their part of its schema."""
+    fields = docs.select(*[F.col(f"`{c}`") for c in columns]).schema.fields
+    return [F.col(f"`{c}`").alias(f"_x{i}") for i, c in enumerate(columns)], "".join(f", _x{i} {f.dataType.simpleString()}" for i, f in enumerate(fields))
+
+
+def restored(columns: list[str]) -> list[Column]:
+    return [F.col(f"_x{i}").alias(c) for i, c in enumerate(columns)]
+
+
 def sample_ids(labelled: DataFrame, label: str, per_label: int, most_labels: int, id_col: str = "doc_id") -> DataFrame:
     """(id, label) of the ``per_label`` rows of each label with the smallest hash; labels by number of rows.
 

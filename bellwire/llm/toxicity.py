@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from bellwire.llm.bpe import Known
 from bellwire.llm.language import LETTERS
-from bellwire.llm.sample import remainder, sample_ids
+from bellwire.llm.sample import carried, remainder, sample_ids
 
 PER_CLASS, MARKS, VOTERS = 4000, 160, 12
 _STEMS = (4, 5)
@@ -175,8 +175,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return Scorer(marks, weights, bias)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """Per row: id, ``held_out``, ``score`` (0 to 1) and ``predicted`` (1 from 0.5 on)."""
+def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), **options) -> DataFrame:
+    """Per row: id, ``held_out``, ``score`` (0 to 1) and ``predicted`` (1 from 0.5 on).
+
+    ``carry`` adds these columns unchanged, as ``_x0``, ``_x1``, ...
+    """
     trained = train(docs, labels, id_col, text_col, **options)
     marks, weights, bias = trained.marks, trained.weights, trained.bias
 
@@ -184,8 +187,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         own = Scorer(marks, weights, bias)
         for batch in batches:
             scores = pa.array([own.score(t.as_py()) for t in batch.column(2)], pa.float64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), scores], names=[id_col, "held_out", "score"])
+            more = batch.columns[3:]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), scores, *more], names=[id_col, "held_out", "score", *(f"_x{i}" for i in range(len(more)))])
 
-    rows = docs.select(F.col(id_col).cast("bigint").alias(id_col), (remainder(id_col, 5) == 0).alias("held_out"), F.col(text_col).cast("string").alias(text_col))
-    scored = rows.mapInArrow(run, f"{id_col} bigint, held_out boolean, score double")
+    more, more_schema = carried(docs, list(carry))
+    rows = docs.select(F.col(id_col).cast("bigint").alias(id_col), (remainder(id_col, 5) == 0).alias("held_out"), F.col(text_col).cast("string").alias(text_col), *more)
+    scored = rows.mapInArrow(run, f"{id_col} bigint, held_out boolean, score double{more_schema}")
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
