@@ -6,8 +6,8 @@
   and offers the value ``j + u`` to the slot at that place. Ranks of one element are thus spread over
   different slots, which lowers the variance. A text stops at the first level below which all its
   slots are filled: later levels can only offer more.
-* **Banding.** ``BANDS`` bands of ``ROWS`` slots. A pair at 0.85 shares no band with probability
-  (1 - 0.85**8)**32 = 4e-5. The classes of a bucket are linked to its smallest member only, and the
+* **Banding.** Bands of as many slots as keep the chance that a pair at the threshold shares no band
+  below ``MISS``: 32 bands of 8 at 0.85 (4e-5), 42 bands of 6 at 0.8 (3e-6). The classes of a bucket are linked to its smallest member only, and the
   components of these unverified links are the *candidate clusters*.
 * **Verification.** The classes of a cluster are ordered by set size and cut into bounded blocks. A task
   holds two blocks with their full sets, counts all intersections, and returns a spanning forest of
@@ -34,8 +34,7 @@ from bellwire.llm.components import components
 from bellwire.llm.shingles import _U, mix, shingle_sets
 from bellwire.session import materialise
 
-SLOTS, BANDS = 256, 32
-ROWS = SLOTS // BANDS
+SLOTS, MISS = 256, 1e-4
 #: Shingles handled at once while signatures are drawn, and shingle hashes held by one block.
 _DRAW, BLOCK_SHINGLES, BLOCK_ROWS = 1 << 14, 1 << 19, 256
 #: At most so many ids are broadcast to pick the texts to verify (8 bytes each).
@@ -80,16 +79,22 @@ def _draw(sets: list[np.ndarray], slots: int) -> np.ndarray:
     return best.reshape(-1, slots)
 
 
-def band_keys(signatures: np.ndarray, bands: int = BANDS) -> np.ndarray:
+def band_rows(similarity: float, slots: int = SLOTS, miss: float = MISS) -> int:
+    """The most slots per band that lose a pair at ``similarity`` with at most the chance ``miss``."""
+    return max((r for r in range(1, 33) if (1 - similarity**r) ** (slots // r) <= miss), default=1)
+
+
+def band_keys(signatures: np.ndarray, rows: int) -> np.ndarray:
     """One 64-bit key per row and band."""
-    parts = signatures.reshape(len(signatures), bands, -1)
+    bands = signatures.shape[1] // rows
+    parts = signatures[:, : bands * rows].reshape(len(signatures), bands, rows)
     keys = np.zeros(parts.shape[:2], np.uint64)
     for i in range(parts.shape[2]):
         keys = mix(keys * _U(0x100000001B3) + parts[:, :, i])
     return keys.view(np.int64)
 
 
-def signature_table(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
+def signature_table(docs: DataFrame, width: int, per_band: int, id_col: str, text_col: str) -> DataFrame:
     """Per row: id, number of shingles, a 128-bit fingerprint of the set, and its band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,7 +103,7 @@ def signature_table(docs: DataFrame, width: int, id_col: str, text_col: str) ->
             full = [i for i, s in enumerate(sets) if len(s)]
             keys: list = [None] * len(sets)
             if full:
-                for i, row in zip(full, band_keys(super_minhash([sets[i] for i in full]))):
+                for i, row in zip(full, band_keys(super_minhash([sets[i] for i in full]), per_band)):
                     keys[i] = row
             prints = [[int(mix(s ^ _U(salt)).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0 for s in sets] for salt in (0, 0x5851F42D4C957F2D)]
             yield pa.RecordBatch.from_arrays(
@@ -171,7 +176,7 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, width: int =
 
     Documents link when ``den * |A and B| >= num * |A or B|`` on their full shingle sets.
     """
-    table = materialise(signature_table(docs, width, id_col, text_col), "signatures")
+    table = materialise(signature_table(docs, width, band_rows(num / den), id_col, text_col), "signatures")
     full = table.where("n > 0 and id is not null")
     classes = materialise(full.groupBy("n", "f1", "f2").agg(F.min("id").alias("rep"), F.first("bands").alias("bands")), "classes")
     verified = _verified_links(docs, classes, num, den, width, id_col, text_col)
