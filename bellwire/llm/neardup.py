@@ -27,11 +27,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from bellwire.llm.components import components
 from bellwire.llm.shingles import _U, mix, shingle_sets
+from bellwire.operators.sequence import number_rows
 from bellwire.session import materialise
 
 SLOTS, MISS = 256, 1e-4
@@ -224,7 +224,7 @@ def _verified_links(docs: DataFrame, classes: DataFrame, num: int, den: int, wid
     left = sets.select("rep", "cluster", "n").join(known, F.col("rep") == F.col("node"), "left")
     left = left.select("rep", "cluster", "n", F.coalesce("component", "rep").alias("comp"))
     open_clusters = left.groupBy("cluster").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("k")).where(f"x < y and k > {BLOCK_ROWS // 4}")
-    placed = materialise(_blocks(left.join(open_clusters.select("cluster"), "cluster"), by_component=True), "blocks")
+    placed = _blocks(left.join(open_clusters.select("cluster"), "cluster"), by_component=True)
     spans = _spans(placed)
     other = spans.select("cluster", F.col("block").alias("j"), F.col("low").alias("low_j"), F.col("high").alias("high_j"), F.col("c0").alias("d0"), F.col("c1").alias("d1"))
     pairs = spans.join(other, "cluster").where("i0 <= j").where("not (c0 = c1 and d0 = d1 and c0 = d0)")
@@ -240,14 +240,14 @@ def _with_sets(placed: DataFrame, sets: DataFrame) -> DataFrame:
 def _blocks(rows: DataFrame, by_component: bool = False) -> DataFrame:
     """``block`` within the cluster: bounded in rows and, by the largest set of the cluster, in shingles.
 
-    Rows are ranked inside size classes first, so no single sort sees a whole large cluster.
+    Places come from one range-partitioned numbering of all rows, so a large cluster spans tasks.
     """
-    per = rows.groupBy("cluster").agg(F.max("n").alias("most"))
-    rows = rows.join(per, "cluster")
+    order = ["cluster", *(["comp"] if by_component else []), "n", "rep"]
+    numbered = number_rows(rows, order, out="_g", start=0)
+    per = numbered.groupBy("cluster").agg(F.max("n").alias("most"), F.min("_g").alias("first"))
     room = F.least(F.lit(BLOCK_ROWS), F.greatest(F.lit(4), F.floor(F.lit(BLOCK_SHINGLES) / F.col("most"))))
-    order = (["comp", "n", "rep"] if by_component else ["n", "rep"])
-    place = F.row_number().over(W.partitionBy("cluster").orderBy(*order)) - 1
-    return rows.withColumn("block", F.floor(place / room).cast("int")).drop("most")
+    placed = numbered.join(per, "cluster").withColumn("block", F.floor((F.col("_g") - F.col("first")) / room).cast("int"))
+    return materialise(placed.select("cluster", "block", "rep", "comp", "n"), "blocks")
 
 
 def _spans(placed: DataFrame) -> DataFrame:

@@ -42,7 +42,7 @@ _HEAD = "<4s5I"
 #: Ids per shard, about; one document is never cut.
 SHARD_IDS = 1 << 20
 #: Symbols whose pairs are counted in a round, and pairs replaced in a round at most.
-_WIDE, _PAIRS = 1024, 192
+_WIDE, _PAIRS = 1024, 384
 
 
 class Grammar:
@@ -73,7 +73,7 @@ class Grammar:
             seq = out
 
 
-def compress(ids: np.ndarray, end_id: int, rounds: int = 16, min_count: int = 24) -> Grammar:
+def compress(ids: np.ndarray, end_id: int, rounds: int = 8, min_count: int = 24) -> Grammar:
     """Re-Pair until no pair occurs ``min_count`` times, or for ``rounds`` rounds."""
     seq = np.asarray(ids, np.uint32)
     base = int(seq.max(initial=end_id)) + 1

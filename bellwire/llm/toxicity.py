@@ -5,7 +5,7 @@
    document counts. Partial counts are summed in the tasks; only marks with enough support come back.
 2. **Voters.** Each lexicon voter holds a share of the marks and fires on a text that has one; pattern
    voters fire on repeated or dense marks, shouting, and exclamation. The given label is one more
-   voter, trusted but not certain.
+   voter, trusted but not certain, and never discounted.
 3. **Label model.** Votes are independent given the hidden class but for pairwise correlations.
    Expectation maximisation estimates how often each voter fires in either class; the correlations
    of what is left over discount voters that repeat each other.
@@ -93,12 +93,16 @@ def label_model(fired: np.ndarray, rounds: int = 25) -> tuple[np.ndarray, dict[s
         prior = np.clip(post.mean(), 1e-3, 1 - 1e-3)
         one = np.clip((post @ fired + 0.5) / (post.sum() + 1.0), 1e-3, 1 - 1e-3)
         zero = np.clip(((1 - post) @ fired + 0.5) / ((1 - post).sum() + 1.0), 1e-3, 1 - 1e-3)
-        # What the class leaves unexplained: correlated leftovers share their say.
-        left = fired - post[:, None] * one - (1 - post[:, None]) * zero
+        # What the likelier class leaves unexplained: correlated leftovers share their say.
+        hard = (post > 0.5).astype(float)
+        mean_one = hard @ fired / max(hard.sum(), 1.0)
+        mean_zero = (1 - hard) @ fired / max((1 - hard).sum(), 1.0)
+        left = fired - hard[:, None] * mean_one - (1 - hard[:, None]) * mean_zero
         cov = left.T @ left / n
         scale = np.sqrt(np.maximum(np.diag(cov), 1e-9))
         corr = cov / scale[:, None] / scale[None, :]
         discount = 1.0 / np.maximum(corr.clip(0) ** 2 @ np.ones(m), 1.0)
+        discount[-1] = 1.0
         # A voter that fires more often in the other class has lost its meaning.
         useful = one > zero
         on = np.where(useful, np.log(one / zero), 0.0) * discount
