@@ -25,9 +25,13 @@ def restored(columns: list[str]) -> list[Column]:
 def sample_ids(labelled: DataFrame, label: str, per_label: int, most_labels: int, id_col: str = "doc_id") -> DataFrame:
     """(id, label) of the ``per_label`` rows of each label with the smallest hash; labels by number of rows.
 
-    Narrow rows only: the ranking keeps ``per_label`` rows per label and task before it shuffles.
+    The count of a label bounds how small those hashes are, so about four times ``per_label`` narrow
+    rows per label are ranked, whatever the size of the table or the share of one label.
     """
-    labels = labelled.groupBy(label).count().orderBy(F.desc("count"), label).limit(most_labels).select(label)
-    ranked = W.partitionBy(label).orderBy(F.xxhash64(F.col(id_col)), id_col)
-    few = labelled.join(F.broadcast(labels), label).withColumn("_nth", F.row_number().over(ranked)).where(f"_nth <= {per_label}")
+    span = 1 << 30
+    drawn = F.pmod(F.xxhash64(F.col(id_col)), F.lit(span))
+    labels = labelled.groupBy(label).count().orderBy(F.desc("count"), label).limit(most_labels)
+    labels = labels.select(label, (F.lit(4.0 * per_label * span) / F.col("count")).alias("_limit"))
+    near = labelled.join(F.broadcast(labels), label).where(drawn <= F.col("_limit"))
+    few = near.withColumn("_nth", F.row_number().over(W.partitionBy(label).orderBy(drawn, id_col))).where(f"_nth <= {per_label}")
     return few.select(id_col, label).dropDuplicates([id_col])
