@@ -45,7 +45,7 @@ _NO_RANK = 1 << 30
 #: Characters of one stretch of text.
 STRETCH = 1 << 16
 #: Words kept per generation of the dictionary.
-KNOWN_WORDS = 1 << 18
+KNOWN_WORDS = 1 << 19
 #: A word longer than this is streamed and not remembered.
 LONG_WORD = 2048
 
