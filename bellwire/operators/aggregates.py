@@ -17,9 +17,6 @@ from bellwire.operators.sequence import number_rows
 from bellwire.operators.sessions import session_gap_join
 from bellwire.session import broadcast_if_small, materialise
 
-#: More sources than this would mean one output column per data value.
-MAX_SOURCE_COLUMNS = 1_000
-
 
 def distinct_sources(scored: DataFrame, source: str = "source") -> DataFrame:
     return scored.select(source).where(F.col(source).isNotNull()).distinct()
@@ -43,33 +40,41 @@ def daily_partials(
     return matched.groupBy(day, source).agg(*aggs)
 
 
-def source_values(partials: DataFrame, source: str = "source") -> list[str]:
-    """Distinct non-null sources, for use as column names; refuses an unbounded list."""
-    rows = distinct_sources(partials, source).orderBy(source).limit(MAX_SOURCE_COLUMNS + 1).collect()
-    if len(rows) > MAX_SOURCE_COLUMNS:
-        raise ValueError(f"more than {MAX_SOURCE_COLUMNS} sources; pass the list to aggregate")
-    return [r[0] for r in rows]
+def scored_sources(scored: DataFrame, scores: Sequence[str], source: str = "source") -> dict[str, list[str]]:
+    """For each score column, the sources that have a row with that score; one row per source is collected.
+
+    A stored text counts as a score even if it is no number; NaN counts as NULL.
+    """
+    real = [s for s, kind in scored.select(*scores).dtypes if kind in ("double", "float")]
+    set_rows = [F.count(numeric(s) if s in real else F.col(s)).alias(s) for s in scores]
+    counts = scored.where(F.col(source).isNotNull()).groupBy(source).agg(*set_rows)
+    rows = counts.orderBy(source).collect()
+    return {s: [r[source] for r in rows if r[s]] for s in scores}
 
 
 def daily_columns(
     partials: DataFrame,
     labels: dict[str, str],
-    sources: Sequence[str] = (),
+    sources: Sequence[str] | dict[str, list[str]] = (),
     day: str = "trade_date",
     source: str = "source",
 ) -> DataFrame:
     """Means per day, and per day and source as columns, from the partial sums.
 
-    ``labels`` maps score column to output column. Rows with a NULL source count in the day mean.
+    ``labels`` maps score column to output column; ``sources`` is one list for all scores or a list
+    per score. Sources whose column names coincide share that column. Rows with a NULL source count
+    in the day mean.
     """
     out: list[Column] = []
     for score, base in labels.items():
         total, n = F.col(f"_sum_{score}"), F.col(f"_cnt_{score}")
         out.append(ratio(F.sum(total), F.sum(n)).alias(base))
-        for s in sources:
-            mine = F.col(source) == F.lit(s)
-            mean = ratio(F.sum(F.when(mine, total)), F.sum(F.when(mine, n)))
-            out.append(mean.alias(source_column(base, s)))
+        named: dict[str, list[str]] = {}
+        for s in sources[score] if isinstance(sources, dict) else sources:
+            named.setdefault(source_column(base, s), []).append(s)
+        for name, same in named.items():
+            mine = F.col(source).isin(same)
+            out.append(ratio(F.sum(F.when(mine, total)), F.sum(F.when(mine, n))).alias(name))
     return partials.groupBy(day).agg(*out)
 
 
@@ -83,14 +88,13 @@ def aggregate_daily(
 ) -> DataFrame:
     """Attach mean sentiment of the gap before each open, for all score columns in one join.
 
-    ``sources=None`` finds the sources in the partial sums, which are stored for it; columns then
-    exist for each source with a matched headline.
+    ``sources=None`` takes, for each score, the sources of the rows that have that score, matched or
+    not; a source without a match then has a column of NULLs.
     """
     matched = session_gap_join(news, at, prices)
     partials = daily_partials(matched, list(labels))
     if by_source and sources is None:
-        partials = materialise(partials, "daily-partials")
-        sources = source_values(partials)
+        sources = scored_sources(news, list(labels))
     daily = daily_columns(partials, labels, sources or ())
     return prices.join(daily, "trade_date", "left")
 
@@ -147,9 +151,10 @@ def top_norms(df: DataFrame, group: str, id_col: str, vec: str, n: int = 3) -> D
 def softmax_weights(df: DataFrame, group: str, score: str, out: str = "weight") -> DataFrame:
     """Softmax of ``score`` within each group, shifted by the group maximum.
 
-    Both group statistics are pre-aggregated and joined back; no group is gathered in one task.
+    Both group statistics are pre-aggregated and joined back; no group is gathered in one task. Rows whose
+    score is NULL or NaN take no part.
     """
-    rows = df.where(F.col(score).isNotNull())
+    rows = df.withColumn(score, numeric(score)).where(F.col(score).isNotNull())
     tops = broadcast_if_small(
         materialise(rows.groupBy(F.col(group).alias("_g")).agg(F.max(score).alias("_top")), "softmax-max")
     )
@@ -171,7 +176,7 @@ def attention_pool(df: DataFrame, group: str, score: str, vec: str) -> DataFrame
 
     Only present rows take part; there is no padding to attract weight.
     """
-    rows = df.where(F.col(score).isNotNull() & F.col(vec).isNotNull())
+    rows = df.withColumn(score, numeric(score)).where(F.col(score).isNotNull() & F.col(vec).isNotNull())
     tops = broadcast_if_small(
         materialise(rows.groupBy(F.col(group).alias("_g")).agg(F.max(score).alias("_top")), "attention-max")
     )

@@ -31,15 +31,18 @@ def ensure_column(df: DataFrame, name: str, dtype: str = "double") -> DataFrame:
 
 
 def keyed_update(
-    table: DataFrame, updates: DataFrame, key: str, columns: Sequence[str]
+    table: DataFrame, updates: DataFrame, key: str, columns: Sequence[str], order: str | None = None
 ) -> DataFrame:
     """Set ``columns`` from ``updates`` where the key matches; other rows stay.
 
-    ``updates`` holds each key at most once. A matched NULL overwrites, as an UPDATE would.
+    Of several updates for one key the one with the largest ``order`` counts, ties and a missing
+    ``order`` being settled by the largest values, so no row is ever repeated. A matched NULL
+    overwrites, as an UPDATE would.
     """
-    new = updates.select(
-        F.col(key).alias("_key"), F.lit(True).alias("_hit"), *[F.col(c).alias(f"_new_{c}") for c in columns]
-    )
+    values = F.struct(*columns)
+    last = values if order is None else F.struct(F.col(order), values)
+    one = updates.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.max_by(values, last).alias("_v"))
+    new = one.select("_key", F.lit(True).alias("_hit"), *[F.col(f"_v.{c}").alias(f"_new_{c}") for c in columns])
     joined = ensure_all(table, updates, columns).join(new, F.col(key) == F.col("_key"), "left")
     changed = {c: F.when(F.col("_hit"), F.col(f"_new_{c}")).otherwise(F.col(c)) for c in columns}
     return joined.withColumns(changed).drop("_key", "_hit", *[f"_new_{c}" for c in columns])

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from bellwire.functions.numbers import numeric, ratio
 from bellwire.operators.sequence import running_sums
+from bellwire.session import broadcast_if_small
 
 #: Fixed value: double precision epsilon, the bound log loss clips probabilities to.
 EPSILON = 2.220446049250313e-16
@@ -107,9 +108,9 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
 
 
 def with_class_weights(df: DataFrame, label: str, out: str = "class_weight") -> DataFrame:
-    """Rows with the weight of their label; the weight table has one row per class."""
+    """Rows with the weight of their label; the weight table is broadcast only if it is counted small."""
     weights = class_weights(df, label).select(F.col(label).alias("_label"), F.col("weight").alias(out))
-    return df.join(F.broadcast(weights), F.col(label) == F.col("_label"), "left").drop("_label")
+    return df.join(broadcast_if_small(weights), F.col(label) == F.col("_label"), "left").drop("_label")
 
 
 def class_ratio(df: DataFrame, label: str) -> DataFrame:

@@ -45,11 +45,11 @@ def scan_parse_dates(spark, sf):
 
 
 def table_info(spark, sf):
-    """Column names and types of the scored headlines, with each column's null count."""
+    """Position, name and type of the columns of the scored headlines, with each column's null count."""
     df = fx.news(spark, sf)
     nulls = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in df.columns])
     long = nulls.unpivot([], df.columns, "name", "n_nulls")
-    return mt.table_info(df).select("name").join(F.broadcast(long), "name")
+    return mt.table_info(df).join(F.broadcast(long), "name")
 
 
 def row_id_resolve(spark, sf):
@@ -197,7 +197,10 @@ ENTRIES = {
     "table_info": entry(
         table_info,
         " union all ".join(
-            f"select '{c}' as name, count(*) filter (where {c} is null) as n_nulls from fx_news" for c in _NULLS
+            f"""select {i} as cid, '{c}' as name, count(*) filter (where {c} is null) as n_nulls,
+                  case any_value(typeof({c})) when 'BIGINT' then 'bigint' when 'VARCHAR' then 'string' when 'DOUBLE' then 'double'
+                    when 'TIMESTAMP' then 'timestamp_ntz' end as type from fx_news"""
+            for i, c in enumerate(_NULLS)
         ),
     ),
     "row_id_resolve": entry(

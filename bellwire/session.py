@@ -84,19 +84,9 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """Hint a broadcast only after counting that ``df`` has at most ``max_rows`` rows.
 
-    The count stops at ``max_rows + 1``. A larger side keeps no hint: the join then shuffles on
+    The count sends one row per task. A larger side keeps no hint: the join then shuffles on
     its keys and adaptive execution splits the skewed partitions.
     """
-    if df.limit(max_rows + 1).count() > max_rows:
+    if df.count() > max_rows:
         return df
     return F.broadcast(df)
-
-
-def fill_cores(scan: DataFrame) -> DataFrame:
-    """Spread a scan with fewer splits than the cluster has cores, ahead of work heavy per row.
-
-    A large table has more splits than cores and is left as it is, so nothing is shuffled there.
-    Only for plain scans: it asks for the number of splits.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

@@ -150,3 +150,19 @@ def test_feature_frame_checks_columns_and_order(spark, sf_dir):
     frame, names = ft.feature_frame(market, spec)
     assert len(names) == 1 + 3 + 3 + 3
     assert frame.where(" or ".join(f"`{n}` is null" for n in names)).count() == 0
+
+
+def test_sources_come_from_scored_rows_of_each_label(spark):
+    days = spark.createDataFrame([(day(d), 1.0) for d in (2, 3)], "trade_date date, x double")
+    rows = [("2024-01-03 12:00:00", "a-b", 1.0, None), ("2024-01-03 12:00:00", "a.b", 3.0, None), ("2020-01-01 00:00:00", "far", 2.0, None), ("2024-01-03 12:00:00", "none", None, 5.0)]
+    scored = spark.createDataFrame(rows, "at string, source string, s double, t double").withColumn("at", F.to_timestamp_ntz("at"))
+    out = ag.aggregate_daily(days, scored, F.col("at"), {"s": "m", "t": "n"})
+    assert set(out.columns) == {"trade_date", "x", "m", "m_a_b", "m_far", "n", "n_none"}
+    third = out.where(F.col("trade_date") == F.lit(day(3))).first()
+    assert (third.m, third.m_a_b, third.m_far, third.n_none) == (2.0, 2.0, None, 5.0)
+
+
+def test_nan_scores_take_no_part(spark):
+    rows = spark.createDataFrame([("g", 0.0, [1.0, 3.0]), ("g", float("nan"), [9.0, 9.0]), ("g", 0.0, [3.0, 1.0])], "g string, s double, v array<double>")
+    assert ag.attention_pool(rows, "g", "s", "v").first().pooled == [2.0, 2.0]
+    assert [r.weight for r in ag.softmax_weights(rows, "g", "s").collect()] == [0.5, 0.5]

@@ -181,3 +181,10 @@ def test_pending_rules_differ_by_scorer(spark):
     df = spark.createDataFrame([(1, "t", None), (2, "", None), (3, None, None), (4, "t", 0.5)], "id long, title string, s double")
     assert sorted(r.id for r in mt.pending(df, "title", "s").collect()) == [1]
     assert sorted(r.id for r in mt.pending(df, "title", "s", skip_blank_text=False).collect()) == [1, 2, 3]
+
+
+def test_keyed_update_never_repeats_a_row(spark):
+    table = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c")], "id int, v string")
+    updates = spark.createDataFrame([(1, "x", 2), (1, "y", 1), (2, None, 1), (None, "z", 1)], "id int, v string, at int")
+    assert sorted(mt.keyed_update(table, updates, "id", ["v"], order="at").collect(), key=str) == [(1, "x"), (2, None), (None, "c")]
+    assert mt.keyed_update(table, updates, "id", ["v"]).count() == 3
