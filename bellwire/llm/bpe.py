@@ -45,7 +45,7 @@ _NO_RANK = 1 << 30
 #: Characters of one stretch of text.
 STRETCH = 1 << 16
 #: Words kept per generation of the dictionary.
-KNOWN_WORDS = 1 << 19
+KNOWN_WORDS = 1 << 18
 #: A word longer than this is streamed and not remembered.
 LONG_WORD = 2048
 
@@ -381,7 +381,7 @@ class BpeDecoder:
 
 def codec(path: str) -> BpeCodec:
     """The codec of a file on this worker; loaded once per Python process."""
-    return per_worker(("codec", path), lambda: BpeCodec.from_file(path))
+    return per_worker(("codec", path), lambda: BpeCodec.from_file(path), "tables")
 
 
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:

@@ -96,7 +96,7 @@ class TokenCounter:
 
 
 def counter(path: str) -> TokenCounter:
-    return per_worker(("counter", path), lambda: TokenCounter(path))
+    return per_worker(("counter", path), lambda: TokenCounter(path), "tables")
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

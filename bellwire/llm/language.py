@@ -29,7 +29,7 @@ from bellwire.llm.state import per_worker
 
 LETTERS = re.compile(r"[^\W\d_]+")
 PER_LANGUAGE, MOST_LANGUAGES, ROUNDS = 150, 200, 4
-LONGEST, KNOWN = 40, 1 << 19
+LONGEST, KNOWN = 40, 1 << 18
 _START = "▁"
 
 
@@ -219,7 +219,7 @@ def predict(
     key = ("language", shared.id if hasattr(shared, "id") else id(shared), tuple(languages), float(model.probs.sum()), float((model.probs**2).sum()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = per_worker(key, load)
+        own = per_worker(key, load, "tables")
         for batch in batches:
             langs, scores = [], []
             totals = [x for group in groups_by_size(batch.column(2).to_pylist()) for x in own.texts(group)]

@@ -15,9 +15,15 @@ from typing import TypeVar
 T = TypeVar("T")
 
 
-def per_worker(key: Hashable, make: Callable[[], T]) -> T:
-    """The value made first for ``key`` in this process."""
+def per_worker(key: Hashable, make: Callable[[], T], slot: str | None = None) -> T:
+    """The value made first for ``key`` in this process.
+
+    A slot holds one value: asking for another key of the same slot lets go of the last one, so
+    large tables do not pile up over the stages and runs that share a worker.
+    """
     held = sys.modules.setdefault("_bellwire_worker_state", types.ModuleType("_bellwire_worker_state")).__dict__
-    if key not in held:
-        held[key] = make()
-    return held[key]
+    slot = slot or str(key)
+    if slot not in held or held[slot][0] != key:
+        held.pop(slot, None)
+        held[slot] = (key, make())
+    return held[slot][1]

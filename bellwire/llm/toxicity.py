@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from bellwire.llm.bpe import Known
 from bellwire.llm.language import LETTERS
 from bellwire.llm.sample import carried, remainder, sample_ids
+from bellwire.llm.state import per_worker
 
 PER_CLASS, MARKS, VOTERS = 4000, 160, 12
 _STEMS = (4, 5)
@@ -52,7 +53,7 @@ class Scorer:
     def __init__(self, marks: list[str], weights: np.ndarray | None = None, bias: float = 0.0):
         self.marks, self.weights, self.bias = marks, weights, bias
         place = {m: i for i, m in enumerate(marks)}
-        self._hits = Known(lambda w: tuple(place[m] for m in marks_of(w) if m in place), 1 << 19)
+        self._hits = Known(lambda w: tuple(place[m] for m in marks_of(w) if m in place), 1 << 17)
 
     def features(self, text: str | None) -> np.ndarray:
         text = text or ""
@@ -188,7 +189,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     marks, weights, bias = trained.marks, trained.weights, trained.bias
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Scorer(marks, weights, bias)
+        own = per_worker(("toxicity", tuple(marks), float(bias)), lambda: Scorer(marks, weights, bias), "tables")
         for batch in batches:
             scores = pa.array([own.score(t.as_py()) for t in batch.column(2)], pa.float64())
             more = batch.columns[3:]
