@@ -117,7 +117,8 @@ def test_repair_round_trip_and_windows():
         assert (shard.ids(k) == np.append(t, 2)).all()
     for start in (0, 7, 500, 4000):
         assert (shard.window(start, 50) == whole[start : start + 50]).all()
-    assert len(shard.grammar.sequence) < len(whole) / 2
+    # One symbol in six is the end id, which rules never cross, so random ids shrink to about 0.55.
+    assert len(shard.grammar.sequence) < 0.6 * len(whole)
     with pytest.raises(ValueError):
         repair.Shard(b"no" * 20)
     assert repair.Shard(repair.pack_shard([], [], 2)).doc_ids == []
