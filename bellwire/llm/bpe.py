@@ -206,7 +206,7 @@ class PieceRun:
 class BpeCodec:
     """Encoder and decoder of one tokenizer file."""
 
-    def __init__(self, spec: dict, library=None):
+    def __init__(self, spec: dict, library=None, library_merges: bool = False):
         model = spec["model"]
         kinds = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
         splits = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
@@ -226,18 +226,22 @@ class BpeCodec:
         self.special_at = regex.compile("|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True))) or "(?!)")
         self.token_text = {i: t for t, i in {**model["vocab"], **self.specials}.items()}
         self.bytewise = (spec.get("decoder") or {}).get("type") == "ByteLevel"
-        self.pieces = Known(lambda symbols: packed_ids(self.transducer.piece(symbols)))
+        if library_merges:
+            tokenize = library.model.tokenize
+            self.pieces = Known(lambda symbols: packed_ids([t.id for t in tokenize(symbols)]))
+        else:
+            self.pieces = Known(lambda symbols: packed_ids(self.transducer.piece(symbols)))
         self.words = Known(self._word)
         self.latin = {b: c for b, c in enumerate(self.bytes) if chr(b) != c}
         self.spelling = self._spellings()
         self.library = library
 
     @classmethod
-    def from_file(cls, path: str) -> BpeCodec:
+    def from_file(cls, path: str, library_merges: bool = False) -> BpeCodec:
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
-            return cls(json.load(f), Tokenizer.from_file(path))
+            return cls(json.load(f), Tokenizer.from_file(path), library_merges)
 
     # Encoding
 
@@ -334,7 +338,7 @@ class BpeCodec:
             yield list(map(self.words.__getitem__, words))
 
     def encode(self, text: str | None) -> np.ndarray:
-        return np.frombuffer(b"".join(b for c in self.chunks(text or "") for b in c), "<u4")
+        return np.frombuffer(b"".join([b"".join(c) for c in self.chunks(text or "")]), "<u4")
 
     # Decoding
 
@@ -379,9 +383,13 @@ class BpeDecoder:
         return self.machine.decode(b"", True)
 
 
-def codec(path: str) -> BpeCodec:
-    """The codec of a file on this worker; loaded once per Python process."""
-    return per_worker(("codec", path), lambda: BpeCodec.from_file(path), "tables")
+def codec(path: str, library_merges: bool = False) -> BpeCodec:
+    """The codec of a file on this worker; loaded once per Python process.
+
+    With ``library_merges`` the library's model merges the pieces of words up to ``LONG_WORD``
+    characters; the transducer still streams longer words.
+    """
+    return per_worker(("codec", path, library_merges), lambda: BpeCodec.from_file(path, library_merges), "tables")
 
 
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:

@@ -43,6 +43,7 @@ _HEAD = "<4s5I"
 SHARD_IDS = 1 << 20
 #: Symbols whose pairs are counted in a round, and pairs replaced in a round at most.
 _WIDE, _PAIRS = 1024, 384
+_STRIDE = _WIDE + 1
 
 
 class Grammar:
@@ -82,18 +83,15 @@ def compress(ids: np.ndarray, end_id: int, rounds: int = 8, min_count: int = 24)
     for _ in range(rounds):
         if len(seq) < 2:
             break
-        chosen, number, codes = _frequent_pairs(seq, end_id, min_count)
+        chosen, codes = _frequent_pairs(seq, end_id, min_count)
         if not chosen:
             break
-        new = np.zeros(_WIDE * _WIDE, np.uint32)
+        new = np.zeros(_STRIDE * _STRIDE, np.uint32)
         for left, right, code in chosen:
             new[code] = base + len(rules)
             rules.append((left, right))
         lengths = np.concatenate([lengths, [lengths[a] + lengths[b] for a, b, _ in chosen]])
-        hit = number[:-1] >= 0
-        hit &= number[1:] >= 0
-        to = np.zeros(len(seq) - 1, np.uint32)
-        to[hit] = new[codes]
+        to = new[codes]
         hit = to > 0
         same = hit & (seq[:-1] == seq[1:])
         if same.any():
@@ -112,22 +110,24 @@ def compress(ids: np.ndarray, end_id: int, rounds: int = 8, min_count: int = 24)
 
 
 def _frequent_pairs(seq: np.ndarray, end_id: int, min_count: int):
+    """Pairs to replace now, as (left, right, code), and the code of the pair at every place."""
     counts = np.bincount(seq)
     counts[end_id] = 0
     top = np.argpartition(counts, -_WIDE)[-_WIDE:] if len(counts) > _WIDE else np.arange(len(counts))
     top = top[counts[top] >= min_count]
-    place = np.full(len(counts), -1, np.int32)
-    place[top] = np.arange(len(top), dtype=np.int32)
+    # Symbols that are not counted share the last number.
+    place = np.full(len(counts), _WIDE, np.int64)
+    place[top] = np.arange(len(top))
     number = place[seq]
-    both = (number[:-1] >= 0) & (number[1:] >= 0)
-    codes = number[:-1][both] * _WIDE + number[1:][both]
-    found = np.bincount(codes, minlength=_WIDE * _WIDE)
-    best = np.argpartition(found, -4 * _PAIRS)[-4 * _PAIRS :]
-    best = best[found[best] >= min_count]
-    best = best[np.lexsort((best, -found[best]))]
+    codes = number[:-1] * _STRIDE + number[1:]
+    found = np.bincount(codes, minlength=_STRIDE * _STRIDE)
+    found[_WIDE * _STRIDE :] = 0
+    found[_WIDE::_STRIDE] = 0
+    best = np.flatnonzero(found >= min_count)
+    best = best[np.lexsort((best, -found[best]))][: 4 * _PAIRS]
     chosen, lefts, rights = [], set(), set()
     for code in best.tolist():
-        left, right = int(top[code // _WIDE]), int(top[code % _WIDE])
+        left, right = int(top[code // _STRIDE]), int(top[code % _STRIDE])
         if left == right:
             free = left not in lefts and left not in rights
         else:
@@ -138,7 +138,7 @@ def _frequent_pairs(seq: np.ndarray, end_id: int, min_count: int):
             rights.add(right)
             if len(chosen) == _PAIRS:
                 break
-    return chosen, number, codes
+    return chosen, codes
 
 
 def pack_shard(doc_ids: list[int | None], texts_ids: list[np.ndarray], end_id: int) -> bytes:
@@ -201,7 +201,7 @@ def write_token_shards(docs: DataFrame, tokenizer: str, path: str, end_id: int =
     spark = docs.sparkSession
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, part, shard, start = codec(tokenizer), TaskContext.get().partitionId(), 0, 0
+        own, part, shard, start = codec(tokenizer, library_merges=True), TaskContext.get().partitionId(), 0, 0
         ids, texts, size = [], [], 0
 
         def flush() -> pa.RecordBatch:
