@@ -22,26 +22,32 @@ CLASSES = ("pos", "neutral", "neg")
 
 
 def lexicon_hits(news: DataFrame, lexicon: DataFrame, id_col: str, text: str) -> DataFrame:
-    """(id, n_pos, n_neg) for every headline: tokens found in the lexicon, repeats counted.
+    """(id, n_pos, n_neg, blank) for every headline: tokens found in the lexicon, repeats counted.
 
     Only id and token travel. A headline's tokens leave one task, so the partial sums already
     shrink to one row per headline before the only shuffle; the outer explode and join keep
     headlines without hits in the same pass.
     """
-    exploded = news.select(id_col, F.explode_outer(tokens(text)).alias("_token"))
+    blank = F.coalesce(F.length(F.trim(F.col(text))), F.lit(0)) == 0
+    exploded = news.select(id_col, blank.alias("_blank"), F.explode_outer(tokens(text)).alias("_token"))
     words = broadcast_if_small(positive_first(lexicon))
     looked_up = exploded.join(words, F.col("_token") == F.col("word"), "left")
     return looked_up.groupBy(id_col).agg(
-        F.count_if(F.col("polarity") > 0).alias("n_pos"), F.count_if(F.col("polarity") < 0).alias("n_neg")
+        F.count_if(F.col("polarity") > 0).alias("n_pos"),
+        F.count_if(F.col("polarity") < 0).alias("n_neg"),
+        F.bool_and("_blank").alias("blank"),
     )
 
 
 def score_lexicon(news: DataFrame, lexicon: DataFrame, id_col: str = "id", text: str = "title_clean") -> DataFrame:
-    """(id, n_pos, n_neg, score): (pos - neg) / (pos + neg), 0 without hits, 4 decimals half to even."""
+    """(id, n_pos, n_neg, score): (pos - neg) / (pos + neg), 0 without hits, 4 decimals half to even.
+
+    A NULL or blank headline has a NULL score, so it stays out of day means.
+    """
     pos, neg = F.col("n_pos"), F.col("n_neg")
     raw = F.coalesce(ratio(pos - neg, pos + neg), F.lit(0.0))
     return lexicon_hits(news, lexicon, id_col, text).select(
-        id_col, pos, neg, F.bround(raw, 4).alias("lm_sentiment_score")
+        id_col, pos, neg, F.when(~F.col("blank"), F.bround(raw, 4)).alias("lm_sentiment_score")
     )
 
 

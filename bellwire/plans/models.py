@@ -14,7 +14,7 @@ from itertools import product
 from multiprocessing.pool import ThreadPool
 
 from pyspark import StorageLevel, inheritable_thread_target
-from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
+from pyspark.ml import Estimator, Model, Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import (
     GBTClassifier,
     LogisticRegression,
@@ -22,7 +22,7 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -354,6 +354,23 @@ def _assembled(df: DataFrame, names: Sequence[str]) -> tuple[VectorAssembler, Da
     return VectorAssembler(inputCols=plain, outputCol="features"), renamed
 
 
+def _inputs(names: Sequence[str], scaling: Scaling | None) -> list[Transformer]:
+    """Stages from named feature columns to the vector: scaling as literals, then assembly.
+
+    They are saved with the model, so a loaded pipeline takes unscaled feature rows.
+    """
+    plain = [f"f{i}" for i in range(len(names))]
+    parts = []
+    for short, name in zip(plain, names):
+        value = "cast(`" + name.replace("`", "``") + "` as double)"
+        if scaling is not None:
+            mean, spread = scaling.stats[name]
+            value = f"({value} - ({float(mean)!r}D)) / {float(spread)!r}D"
+        parts.append(f"{value} AS {short}")
+    statement = f"SELECT *, {', '.join(parts)} FROM __THIS__"
+    return [SQLTransformer(statement=statement), VectorAssembler(inputCols=plain, outputCol="features")]
+
+
 def fit_family(
     daily: DataFrame,
     family: str,
@@ -369,14 +386,10 @@ def fit_family(
     options = {**fam.spec[variant], **spec, "sentiment": tuple(sentiment)}
     frame, names = feature_frame(daily, FeatureSpec(**options))
     frame = sized(materialise(frame, "features"))
-    scaling = None
-    if fam.scale:
-        scaling = fit_scaling(frame, names, F.col("split") == "train")
-        scaled = scaling.transform(frame)
-    else:
-        scaled = frame
-    assembler, ready = _assembled(scaled, names)
-    train = sized(assembler.transform(ready.where("split = 'train'")).select("trade_date", LABEL, "features"))
+    scaling = fit_scaling(frame, names, F.col("split") == "train") if fam.scale else None
+    inputs = _inputs(names, scaling)
+    train = PipelineModel(inputs).transform(frame.where("split = 'train'")).select("trade_date", LABEL, "features")
+    train = sized(train)
     settings = expand_grid(fam.grids[variant] if grid is None else grid)
     search = None
     params = settings[0] if settings else {}
@@ -385,7 +398,7 @@ def fit_family(
     fit_rows, weight_sum = weigh(train, fam.weighting)
     model = fam.build(params, weight_sum).fit(fit_rows)
     train.unpersist()
-    return Fitted(PipelineModel([assembler, model]), list(names), params, scaling, ready, search, frame)
+    return Fitted(PipelineModel([*inputs, model]), list(names), params, scaling, frame, search, frame)
 
 
 # -- walk-forward and day-vector models -----------------------------------------------------------

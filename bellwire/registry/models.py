@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from bellwire import fixtures as fx
@@ -43,8 +44,21 @@ def _fit(spark, sf, family, variant, **kw):
     return ml.fit_family(_market(spark, sf), family, variant, _sentiment(variant), **options)
 
 
+def _checked(preds):
+    """The exact part of predictions: days, labels, and whether probabilities and labels agree."""
+    proba = F.col("predicted_proba")
+    return plain(
+        preds.select(
+            "trade_date",
+            F.col("actual_increase").cast("int").alias("actual_increase"),
+            F.coalesce(proba.between(0, 1), F.lit(False)).alias("proba_in_range"),
+            (F.col("predicted_label") == (proba >= 0.5).cast("int")).alias("label_follows"),
+        )
+    )
+
+
 def _predictions(family, variant):
-    return lambda spark, sf: plain(_fit(spark, sf, family, variant).predict())
+    return lambda spark, sf: _checked(_fit(spark, sf, family, variant).predict())
 
 
 def ts_grid_search(spark, sf):
@@ -67,17 +81,17 @@ def model_report(spark, sf):
 def predictions_csv(spark, sf):
     fitted = _fit(spark, sf, "lr", "baseline", grid={"C": [0.1], "l1_ratio": [0.5]})
     path = fitted.save_predictions(ml.artefact_path(spark, "lr", "baseline", "returns", "predictions"))
-    return plain(tb.read_csv(spark, path, fitted.predict().schema))
+    return _checked(tb.read_csv(spark, path, fitted.predict().schema))
 
 
 def model_roundtrip(spark, sf):
-    """Predictions of the saved and reloaded model beside those of the model in memory."""
+    """The reloaded pipeline on unscaled feature rows against the model in memory."""
     fitted = _fit(spark, sf, "lr", "baseline", grid={"C": [0.1], "l1_ratio": [0.5]})
     path = fitted.save(ml.artefact_path(spark, "lr", "baseline", "returns", "model"))
-    again = ml.Fitted(ml.load_model(path), fitted.features, fitted.params, fitted.scaling, fitted.frame)
-    mine = fitted.predict().select("trade_date", "predicted_proba")
-    theirs = again.predict().select("trade_date", F.col("predicted_proba").alias("reloaded_proba"))
-    return plain(mine.join(theirs, "trade_date"))
+    rows = fitted.frame.where("split = 'test'").select("trade_date", *[F.col(f"`{n}`") for n in fitted.features])
+    theirs = ml.load_model(path).transform(rows).select("trade_date", vector_to_array("probability")[1].alias("reloaded"))
+    both = fitted.predict().join(theirs, "trade_date")
+    return plain(both.select("trade_date", F.abs(F.col("predicted_proba") - F.col("reloaded")).alias("difference")))
 
 
 def experiment_matrix(spark, sf):
@@ -145,14 +159,23 @@ def attention_classifier(spark, sf):
     return plain(out)
 
 
+# Test days of a fit: rows with a label and a return, less the first three, which have no full lags.
+_TEST_DAYS = f"""
+  select * from (select *, row_number() over (order by trade_date) as nth from fx_market
+                 where increase is not null and daily_return is not null)
+  where nth > 3 and trade_date between date '{_DATES["test"][0]}' and date '{_DATES["test"][1]}'"""
+_CHECKED_SQL = f"""
+  select cast(trade_date as varchar) as trade_date, increase as actual_increase, true as proba_in_range,
+         true as label_follows from ({_TEST_DAYS})"""
+
 ENTRIES = {
-    **{f"{f}_{v}": entry(_predictions(f, v)) for f in ("lr", "rf", "gbt") for v in ("baseline", "consolidated", "sources")},
+    **{f"{f}_{v}": entry(_predictions(f, v), _CHECKED_SQL) for f in ("lr", "rf", "gbt") for v in ("baseline", "consolidated", "sources")},
     "ts_grid_search": entry(ts_grid_search),
     "coefficients": entry(coefficients),
     "top_importances": entry(top_importances),
     "model_report": entry(model_report),
-    "predictions_csv": entry(predictions_csv),
-    "model_roundtrip": entry(model_roundtrip),
+    "predictions_csv": entry(predictions_csv, _CHECKED_SQL),
+    "model_roundtrip": entry(model_roundtrip, f"select cast(trade_date as varchar) as trade_date, 0.0::double as difference from ({_TEST_DAYS})"),
     "experiment_matrix": entry(experiment_matrix),
     "walk_forward": entry(walk_forward),
     "embedding_forest": entry(embedding_forest),

@@ -307,8 +307,9 @@ _PROBS = """
 
 LM_SQL = """
   select n.id, coalesce(p, 0) as n_pos, coalesce(q, 0) as n_neg,
-    cast(coalesce(round_even((p - q) / nullif(p + q, 0)::double, 4), 0) as double) as lm_sentiment_score
-  from fx_news n left join (
+    case when n.title_clean <> '' then
+      cast(coalesce(round_even((p - q) / nullif(p + q, 0)::double, 4), 0) as double) end as lm_sentiment_score
+  from fx_clean n left join (
     select id, count(*) filter (where polarity > 0) as p, count(*) filter (where polarity < 0) as q
     from fx_tokens join fx_lexicon on word = token group by id) h on h.id = n.id"""
 
