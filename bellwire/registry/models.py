@@ -7,6 +7,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from bellwire import fixtures as fx
+from bellwire.fixtures import PRIORITIES
 from bellwire.functions.replies import source_column
 from bellwire.functions.vectors import dot
 from bellwire.operators import features as ft
@@ -21,12 +22,10 @@ from bellwire.session import materialise
 from bellwire.sources import tables as tb
 
 _DATES = {"train": ("1995-01-01", "1999-12-31"), "test": ("2000-01-01", "2001-12-31")}
-_SOURCES = ("1-URGENT", "2-HIGH", "5-LOW")
-# Smaller searches than the library's default grids, so a check of all queries stays short.
-_LR = {"C": [0.01, 1.0], "l1_ratio": [0.0, 1.0]}
+_SOURCES = PRIORITIES
+# The forests search a smaller grid than the library's default, so a check of all queries stays short.
 _RF = {"n_estimators": [20], "max_depth": [3, 5], "min_samples_split": [10], "max_features": ["sqrt"]}
-_GBT = {"n_estimators": [10]}
-_GRIDS = {"lr": _LR, "rf": _RF, "gbt": _GBT}
+_GRIDS = {"rf": _RF}
 
 
 def _market(spark, sf):
@@ -40,7 +39,7 @@ def _sentiment(variant):
 
 
 def _fit(spark, sf, family, variant, **kw):
-    options = {"grid": _GRIDS[family], "folds": 3, **_DATES, **kw}
+    options = {"grid": _GRIDS.get(family), **_DATES, **kw}
     return ml.fit_family(_market(spark, sf), family, variant, _sentiment(variant), **options)
 
 
