@@ -28,7 +28,7 @@ def lexicon_hits(news: DataFrame, lexicon: DataFrame, id_col: str, text: str) ->
     shrink to one row per headline before the only shuffle; the outer explode and join keep
     headlines without hits in the same pass.
     """
-    blank = F.coalesce(F.length(F.trim(F.col(text))), F.lit(0)) == 0
+    blank = F.coalesce(F.col(text), F.lit("")) == ""
     exploded = news.select(id_col, blank.alias("_blank"), F.explode_outer(tokens(text)).alias("_token"))
     words = broadcast_if_small(positive_first(lexicon))
     looked_up = exploded.join(words, F.col("_token") == F.col("word"), "left")
@@ -42,7 +42,7 @@ def lexicon_hits(news: DataFrame, lexicon: DataFrame, id_col: str, text: str) ->
 def score_lexicon(news: DataFrame, lexicon: DataFrame, id_col: str = "id", text: str = "title_clean") -> DataFrame:
     """(id, n_pos, n_neg, score): (pos - neg) / (pos + neg), 0 without hits, 4 decimals half to even.
 
-    A NULL or blank headline has a NULL score, so it stays out of day means.
+    A NULL or empty headline has a NULL score, so it stays out of day means.
     """
     pos, neg = F.col("n_pos"), F.col("n_neg")
     raw = F.coalesce(ratio(pos - neg, pos + neg), F.lit(0.0))

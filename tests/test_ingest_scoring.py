@@ -83,7 +83,7 @@ def test_lexicon_scores(spark):
     got = {r.id: r for r in sc.score_lexicon(df, words).collect()}
     for i, t in enumerate(texts):
         assert (got[i].n_pos, got[i].n_neg) == lexicon_score(t, {"good", "both"}, {"bad"})
-    assert [got[i].lm_sentiment_score for i in range(6)] == [0.3333, -1.0, 0.0, 0.0, 1.0, 0.3333]
+    assert [got[i].lm_sentiment_score for i in range(6)] == [0.3333, -1.0, 0.0, None, 1.0, 0.3333]
 
 
 def test_lexicon_score_rounds_half_to_even(spark):
