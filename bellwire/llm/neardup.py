@@ -219,11 +219,13 @@ def _verified_links(docs: DataFrame, classes: DataFrame, num: int, den: int, wid
     near = spans.select("cluster", F.col("block").alias("i"), F.explode(F.array(F.col("block"), F.col("block") + 1)).alias("j"), "blocks").where("j < blocks")
     first = materialise(_verify(_with_sets(placed, sets), near.select("cluster", "i", "j"), num, den), "links")
 
-    # Second pass: rows ordered by component; blocks of one component need not meet.
+    # Second pass, where the first left pairs of blocks unmet: rows ordered by component; blocks of one
+    # component need not meet.
     known = components(first)
     left = sets.select("rep", "cluster", "n").join(known, F.col("rep") == F.col("node"), "left")
     left = left.select("rep", "cluster", "n", F.coalesce("component", "rep").alias("comp"))
-    open_clusters = left.groupBy("cluster").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("k")).where(f"x < y and k > {BLOCK_ROWS // 4}")
+    unmet = spans.where("block = 0 and blocks > 2").select("cluster")
+    open_clusters = left.join(unmet, "cluster").groupBy("cluster").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y")
     placed = _blocks(left.join(open_clusters.select("cluster"), "cluster"), by_component=True)
     spans = _spans(placed)
     other = spans.select("cluster", F.col("block").alias("j"), F.col("low").alias("low_j"), F.col("high").alias("high_j"), F.col("c0").alias("d0"), F.col("c1").alias("d1"))

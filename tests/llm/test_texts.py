@@ -59,6 +59,23 @@ def test_near_duplicates_equal_brute_force(spark):
     assert len(set(want.values())) > 8
 
 
+@pytest.mark.parametrize("half", [6, 8, 32])
+def test_near_duplicates_in_small_clusters_of_many_blocks(spark, monkeypatch, half):
+    """Text k is near only to text k + half, blocks away, and all are alike enough for one cluster."""
+    rng = np.random.default_rng(7)
+    text, rows = [f"w{i}" for i in range(400)], []
+    for k in range(half):
+        mine = list(text)
+        for at in rng.choice(400, 7, replace=False):
+            mine[at] = f"v{k}x{at}"
+        rows += [(k, " ".join(mine), "en"), (k + half, " ".join([*mine[:-1], f"u{k}"]), "en")]
+    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", 1600)
+    want = groups({r[0]: word_set(r[1]) for r in rows}, 85, 100)
+    assert want == {k: k % half for k in range(2 * half)}
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(frame(spark, rows), width=3).collect()}
+    assert got == want
+
+
 def test_near_duplicates_of_nothing_and_null_ids(spark):
     assert neardup.near_duplicates(frame(spark, [])).count() == 0
     got = neardup.near_duplicates(frame(spark, [(None, "a b c d e f", "en"), (9, "a b c d e f", "en"), (9, "a b c d e f", "en")])).collect()
