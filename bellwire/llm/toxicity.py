@@ -43,7 +43,7 @@ def marks_of(word: str) -> list[str]:
 def patterns(text: str) -> list[float]:
     """Signs of tone that need no word list, each between 0 and 1."""
     n = max(len(text), 1)
-    upper = sum(map(str.isupper, text)) / n if n < 1 << 20 else 0.0
+    upper = sum(map(str.isupper, text)) / n
     return [float(upper > 0.3), float(text.count("!") * 50 > n), float(text.count("?") * 50 > n)]
 
 

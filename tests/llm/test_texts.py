@@ -188,6 +188,14 @@ def test_toxicity_learns_from_rows_that_are_not_held_out(spark):
     assert {r.score for r in none} == {0.0}
 
 
+def test_capitals_count_at_every_length():
+    for n in (100, (1 << 20) - 1, 1 << 20, (1 << 20) + 1):
+        assert toxicity.patterns("A" * n)[0] == 1.0 and toxicity.patterns("a" * n)[0] == 0.0
+    text = "SHOUTED WORDS " * (1 << 17)
+    scorer = toxicity.Scorer([], np.array([0.0, 0.0, 0.0, 3.0, 0.0, 0.0]), -1.0)
+    assert len(text) > 1 << 20 and scorer.score(text) == scorer.score(text[:1400]) > 0.5
+
+
 def test_label_model_discounts_voters_that_repeat_each_other():
     rng = np.random.default_rng(2)
     y = rng.random(4000) < 0.3
