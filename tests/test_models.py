@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from bellwire.operators.features import FeatureSpec, feature_frame
 from bellwire.plans import experiments as ex, models as ml
+from bellwire.registry import models as registry
 from bellwire.sources.prices import add_returns
 
 DATES = {"train": ("2020-01-01", "2020-06-30"), "test": ("2020-07-01", "2020-12-31")}
@@ -84,3 +85,38 @@ def test_experiment_matrix_rows(daily):
     assert [(r.variant, r.scorer) for r in runs] == [("baseline", ""), ("consolidated", "s"), ("sources", "s")]
     out = ex.run_matrix(daily, runs, ["x"], {"s": "avg_sentiment"}, {"lr": {"grid": {"C": [1.0], "l1_ratio": [0.0]}}}, **DATES).collect()
     assert len(out) == 3 and len({r.variant for r in out}) == 3
+
+
+class Stopped(Exception):
+    pass
+
+
+@pytest.mark.parametrize(
+    "name, where",
+    [(q, "fit_family") for q in ("rf_baseline", "rf_consolidated", "rf_sources", "top_importances", "predictions_csv", "model_roundtrip")]
+    + [("experiment_matrix", "run_matrix"), ("walk_forward", "walk_forward"), ("attention_classifier", "walk_forward"), ("embedding_forest", "embedding_forest")],
+)
+def test_registered_model_queries_cut_nothing(spark, sf_dir, monkeypatch, name, where):
+    """Grids, trees, refits, hidden units and iterations are the library's defaults."""
+    seen, sizes = [], []
+
+    def stop(*args, **kw):
+        seen.append((args, kw))
+        raise Stopped
+
+    build = ml.perceptron
+    monkeypatch.setattr(registry.ml, "perceptron", lambda *a, **kw: sizes.append((len(a), kw)) or build(*a, **kw))
+    for module in (registry.ml, registry.ex, registry.dv):
+        if hasattr(module, where):
+            monkeypatch.setattr(module, where, stop)
+    with pytest.raises(Stopped):
+        registry.ENTRIES[name].run(spark, sf_dir)
+    (args, kw), = seen
+    assert not {"grid", "folds", "refit_every", "trees", "options", "scorers"} & set(kw)
+    assert sizes == ([(1, {})] if name == "attention_classifier" else [])
+    if name == "experiment_matrix":
+        daily, runs, sources = args
+        assert runs == ex.matrix() and len(runs) == 33
+        for r in runs:
+            assert r.variant == "baseline" or ex.SCORERS[r.scorer] in daily.columns
+            assert r.variant != "sources" or len(registry.ft.select_source_columns(daily.columns, ex.SCORERS[r.scorer], sources)) == 5
