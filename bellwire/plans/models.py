@@ -36,8 +36,6 @@ SEED = 42
 LABEL, WEIGHT = "increase", "class_weight"
 #: Spark's deepest tree; stands for "no limit".
 MAX_DEPTH = 30
-#: Solver tolerance while settings are compared; the chosen one is refitted to full precision.
-SEARCH_TOLERANCE = 1e-4
 #: Rows of a model frame per task of a fit.
 ROWS_PER_PARTITION = 50_000
 
@@ -126,7 +124,7 @@ FAMILIES = {
         "balanced",
         True,
         {v: LOGISTIC_GRID for v in ("baseline", "consolidated", "sources")},
-        {v: {"lags_from": "returns"} for v in ("baseline", "consolidated", "sources")},
+        {v: {"lags_from": "returns", "n_lags": 5} for v in ("baseline", "consolidated", "sources")},
     ),
     "rf": Family(
         "rf",
@@ -256,10 +254,7 @@ def ts_grid_search(
     def job(setting: dict, fold: _Fold) -> float:
         if not fold.usable:
             return math.nan
-        estimator = build(setting, fold.weight_sum)
-        if estimator.hasParam("tol"):
-            estimator = estimator.copy({estimator.getParam("tol"): SEARCH_TOLERANCE})
-        return _auc(estimator.fit(fold.train), fold.test)
+        return _auc(build(setting, fold.weight_sum).fit(fold.train), fold.test)
 
     pairs = [(i, k) for i in range(len(settings)) for k in range(folds)]
     try:

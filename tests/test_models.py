@@ -57,6 +57,27 @@ def test_reloaded_model_predicts_the_same_from_unscaled_rows(daily, tmp_path):
     assert len(a) > 40 and a == b
 
 
+def test_logistic_runs_use_five_lags_and_one_tolerance(daily, monkeypatch):
+    used = []
+
+    class Seen(LogisticRegression):
+        def _fit(self, rows):
+            used.append(self.getTol())
+            return super()._fit(rows)
+
+    def build(params, weight_sum):
+        return Seen(labelCol=ml.LABEL, weightCol=ml.WEIGHT, regParam=params["C"])
+
+    train = feature_frame(daily, FeatureSpec(sentiment=("avg_sentiment",), n_lags=1, with_interactions=False, **DATES))
+    ready = ml._assembled(train[0].where("split = 'train'"), train[1])
+    ml.ts_grid_search(ready[0].transform(ready[1]), build, [{"C": 0.1}, {"C": 1.0}], folds=2)
+    assert used and set(used) == {LogisticRegression().getTol()}
+    for variant, spec in ml.FAMILIES["lr"].spec.items():
+        names = feature_frame(daily, FeatureSpec(**{**spec, "sentiment": ("avg_sentiment",), **DATES}))[1]
+        lags = ["5" in n for n in names]
+        assert sum(lags) >= 2 and spec["n_lags"] == 5, variant
+
+
 def test_one_class_training_is_refused(daily):
     with pytest.raises(ValueError):
         ml.weigh(daily.where("increase = 1"), "balanced")
