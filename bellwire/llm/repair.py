@@ -5,11 +5,11 @@ frequent pairs of ids are replaced by new symbols again and again, and the shard
 the length of every symbol's expansion, and the shortened sequence. Because lengths are stored,
 any document, or any range of ids, is decoded without expanding what stands before it.
 
-One round counts pairs exactly among the most frequent symbols. A pair is never more frequent than
-its rarer symbol, so every pair above the count of the first symbol left out is seen. A round
-replaces many pairs at once, but only such that no symbol ends one pair and starts another: their
-occurrences cannot overlap, so the order among them does not matter. Runs of one symbol are paired
-from the left. Rules never cross the end id of a document.
+One round counts all pairs of the shard exactly, and rounds go on until no pair occurs twice. A round
+replaces the pairs at least half as frequent as the most frequent one at once, but only such that no
+symbol ends one pair and starts another: their occurrences cannot overlap, so the order among them
+does not matter. Runs of one symbol are paired from the left. Rules never cross the end id of a
+document.
 
 Shard layout, little-endian: magic ``RPG1``; uint32 end id, first new symbol, number of rules,
 length of the sequence, number of documents; uint32 rules (left, right); uint32 expansion lengths;
@@ -41,9 +41,8 @@ MAGIC = b"RPG1"
 _HEAD = "<4s5I"
 #: Ids per shard, about; one document is never cut.
 SHARD_IDS = 1 << 20
-#: Symbols whose pairs are counted in a round, and pairs replaced in a round at most.
-_WIDE, _PAIRS = 1024, 384
-_STRIDE = _WIDE + 1
+#: A round replaces pairs that occur at least this part as often as the most frequent one.
+_SHARE = 2
 
 
 class Grammar:
@@ -74,71 +73,76 @@ class Grammar:
             seq = out
 
 
-def compress(ids: np.ndarray, end_id: int, rounds: int = 8, min_count: int = 24) -> Grammar:
-    """Re-Pair until no pair occurs ``min_count`` times, or for ``rounds`` rounds."""
+def compress(ids: np.ndarray, end_id: int, min_count: int = 2) -> Grammar:
+    """Re-Pair until no pair occurs ``min_count`` times."""
     seq = np.asarray(ids, np.uint32)
     base = int(seq.max(initial=end_id)) + 1
-    lengths = np.ones(base, np.int64)
-    rules: list[tuple[int, int]] = []
-    for _ in range(rounds):
-        if len(seq) < 2:
+    rules, lengths, n = [np.zeros((0, 2), np.uint32)], np.ones(base, np.int64), 0
+    while len(seq) > 1:
+        pairs = _frequent_pairs(seq, end_id, min_count, base + n)
+        if not len(pairs):
             break
-        chosen, codes = _frequent_pairs(seq, end_id, min_count)
-        if not chosen:
-            break
-        new = np.zeros(_STRIDE * _STRIDE, np.uint32)
-        for left, right, code in chosen:
-            new[code] = base + len(rules)
-            rules.append((left, right))
-        lengths = np.concatenate([lengths, [lengths[a] + lengths[b] for a, b, _ in chosen]])
-        to = new[codes]
-        hit = to > 0
-        same = hit & (seq[:-1] == seq[1:])
-        if same.any():
-            # Within a run a, a, a, ... only the pairs that start at even places count.
-            starts = np.flatnonzero(same & ~np.concatenate([[False], same[:-1]]))
-            where = np.flatnonzero(same)
-            odd = (where - starts[np.searchsorted(starts, where, "right") - 1]) % 2 == 1
-            hit[where[odd]] = False
-        at = np.flatnonzero(hit)
+        left, right = pairs[:, 0], pairs[:, 1]
+        rules.append(pairs)
+        lengths = np.concatenate([lengths, lengths[left] + lengths[right]])
+        starts, ends = np.zeros(base + n, bool), np.zeros(base + n, bool)
+        starts[left], ends[right] = True, True
+        at = np.flatnonzero(starts[seq[:-1]] & ends[seq[1:]])
+        order = np.argsort(_codes(left, right))
+        known = _codes(left, right)[order]
+        mine = _codes(seq[at], seq[at + 1])
+        place = np.minimum(np.searchsorted(known, mine), len(known) - 1)
+        hit = known[place] == mine
+        at, place = at[hit], place[hit]
+        even = ~_odd(seq)[at]
+        at, place = at[even], place[even]
         seq = seq.copy()
-        seq[at] = to[at]
+        seq[at] = (base + n + order[place]).astype(np.uint32)
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
         seq = seq[keep]
-    return Grammar(base, np.array(rules, np.uint32).reshape(-1, 2), lengths[base:].astype(np.uint32), seq)
-
-
-def _frequent_pairs(seq: np.ndarray, end_id: int, min_count: int):
-    """Pairs to replace now, as (left, right, code), and the code of the pair at every place."""
-    counts = np.bincount(seq)
-    counts[end_id] = 0
-    top = np.argpartition(counts, -_WIDE)[-_WIDE:] if len(counts) > _WIDE else np.arange(len(counts))
-    top = top[counts[top] >= min_count]
-    # Symbols that are not counted share the last number.
-    place = np.full(len(counts), _WIDE, np.int64)
-    place[top] = np.arange(len(top))
-    number = place[seq]
-    codes = number[:-1] * _STRIDE + number[1:]
-    found = np.bincount(codes, minlength=_STRIDE * _STRIDE)
-    found[_WIDE * _STRIDE :] = 0
-    found[_WIDE::_STRIDE] = 0
-    best = np.flatnonzero(found >= min_count)
-    best = best[np.lexsort((best, -found[best]))][: 4 * _PAIRS]
-    chosen, lefts, rights = [], set(), set()
-    for code in best.tolist():
-        left, right = int(top[code // _STRIDE]), int(top[code % _STRIDE])
+        n += len(pairs)
+    return Grammar(base, np.concatenate(rules), lengths[base:].astype(np.uint32), seq)
+
+
+def _codes(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return left.astype(np.uint64) << np.uint64(32) | right
+
+
+def _odd(seq: np.ndarray) -> np.ndarray:
+    """Places where a pair within a run a, a, a, ... overlaps the one counted before it."""
+    out = np.zeros(len(seq), bool)
+    same = seq[:-1] == seq[1:]
+    where = np.flatnonzero(same)
+    if len(where):
+        starts = np.flatnonzero(same & ~np.concatenate([[False], same[:-1]]))
+        out[where] = (where - starts[np.searchsorted(starts, where, "right") - 1]) % 2 == 1
+    return out
+
+
+def _frequent_pairs(seq: np.ndarray, end_id: int, min_count: int, symbols: int) -> np.ndarray:
+    """Pairs to replace now, the most frequent first; all pairs are counted."""
+    inner = seq != end_id
+    codes = np.sort(_codes(seq[:-1], seq[1:])[inner[:-1] & inner[1:] & ~_odd(seq)[:-1]])
+    first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]])) if len(codes) else np.zeros(0, np.int64)
+    found = np.diff(np.append(first, len(codes)))
+    if not len(found) or found.max() < min_count:
+        return np.zeros((0, 2), np.uint32)
+    often = np.flatnonzero(found >= max(min_count, -(-int(found.max()) // _SHARE)))
+    often = often[np.argsort(-found[often], kind="stable")]
+    best = codes[first[often]]
+    # What a symbol is in this round: 1 starts pairs, 2 ends pairs, 3 is paired with itself.
+    role, chosen = bytearray(symbols), []
+    for k, (left, right) in enumerate(zip((best >> np.uint64(32)).tolist(), (best & np.uint64(0xFFFFFFFF)).tolist())):
         if left == right:
-            free = left not in lefts and left not in rights
-        else:
-            free = left not in rights and right not in lefts
-        if free:
-            chosen.append((left, right, code))
-            lefts.add(left)
-            rights.add(right)
-            if len(chosen) == _PAIRS:
-                break
-    return chosen, codes
+            if not role[left]:
+                role[left] = 3
+                chosen.append(k)
+        elif role[left] < 2 and role[right] in (0, 2):
+            role[left], role[right] = 1, 2
+            chosen.append(k)
+    best = best[chosen]
+    return np.stack([best >> np.uint64(32), best & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)
 
 
 def pack_shard(doc_ids: list[int | None], texts_ids: list[np.ndarray], end_id: int) -> bytes:

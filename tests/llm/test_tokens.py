@@ -124,6 +124,26 @@ def test_repair_round_trip_and_windows():
     assert repair.Shard(repair.pack_shard([], [], 2)).doc_ids == []
 
 
+def test_repair_leaves_no_pair_twice():
+    rng = np.random.default_rng(3)
+    passage = rng.permutation(np.arange(3, 45003))[:40000]
+    often = np.concatenate([np.append(p, rng.integers(3, 2000)) for p in [rng.integers(3, 2000, 2)] * 3000])
+    texts = [passage, rng.integers(3, 2000, 30000), often, passage, passage[5000:5600], np.full(4097, 7)]
+    texts = [t.astype(np.uint32) for t in texts]
+    shard = repair.Shard(repair.pack_shard(list(range(len(texts))), texts, 2))
+    for k, t in enumerate(texts):
+        assert (shard.ids(k) == np.append(t, 2)).all()
+    seen = {}
+    seq = shard.grammar.sequence.tolist()
+    for at, pair in enumerate(zip(seq, seq[1:])):
+        if 2 not in pair:
+            assert at - seen.setdefault(pair, at) < 2
+    # The second copy and the part of it are a few symbols each, however rare their ids are.
+    starts = shard.starts
+    assert starts[4] - starts[3] == 2 and starts[5] - starts[4] < 60
+    assert shard.grammar.lengths.max() >= 40000
+
+
 def test_token_shards(spark, library):
     rows = [(i * 7 % 31, t) for i, t in enumerate(CASES + ["shared words again and again"] * 12)]
     got = repair.token_shards(frame(spark, rows), PATH, shard_ids=2000, partitions=3).collect()
