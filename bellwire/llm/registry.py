@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bellwire.llm import bpe, counts, hilbert, language, mixing, neardup, pages, quality, repair, toxicity
+from bellwire.llm import bpe, counts, hilbert, language, mixing, neardup, packing, pages, quality, repair, toxicity, whitening
 from bellwire.registry.base import entry
 
 
@@ -59,7 +59,17 @@ def op10_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_packing(spark, sf_dir):
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op13_whitening(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 ENTRIES = {
+    "op12_packing": entry(op12_packing),
+    "op13_whitening": entry(op13_whitening),
     "op3_html": entry(op3_html),
     "op8_quality": entry(op8_quality),
     "op10_mixing": entry(op10_mixing),
