@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bellwire.llm import bpe, counts, hilbert, language, mixing, neardup, packing, pages, quality, repair, toxicity, whitening
+from bellwire.llm import bpe, counts, hilbert, language, lexical, mixing, neardup, packing, pages, quality, repair, toxicity, whitening
 from bellwire.registry.base import entry
 
 
@@ -59,6 +59,10 @@ def op10_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_lexical(spark, sf_dir):
+    return lexical.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -68,6 +72,7 @@ def op13_whitening(spark, sf_dir):
 
 
 ENTRIES = {
+    "op11_lexical": entry(op11_lexical, lexical.SQL),
     "op12_packing": entry(op12_packing),
     "op13_whitening": entry(op13_whitening),
     "op3_html": entry(op3_html),
