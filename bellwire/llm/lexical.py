@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from bellwire.session import work_path
 
-SHARD_BYTES = 32 << 20
+SHARD_BYTES = 16 << 20
 #: Documents of a posting block, and documents looked at together in a search.
 BLOCK, WINDOW = 128, 4096
 #: Bytes of a text that are cut into terms at once.
