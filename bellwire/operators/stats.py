@@ -8,6 +8,7 @@ from itertools import combinations_with_replacement, product
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from bellwire.functions.numbers import numeric, ratio
@@ -141,6 +142,17 @@ def auc_by_rank(df: DataFrame, label: str, proba: str) -> DataFrame:
     )
 
 
+def auc_per_group(df: DataFrame, group: str, label: str, proba: str) -> DataFrame:
+    """Exact ROC AUC of each group, ties half, over counts per distinct score."""
+    rows = df.where(F.col(label).isNotNull() & F.col(proba).isNotNull())
+    counts = rows.groupBy(group, proba).agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg"))
+    below = W.partitionBy(group).orderBy(proba).rowsBetween(W.unboundedPreceding, -1)
+    placed = counts.withColumn("neg_below", F.coalesce(F.sum("neg").over(below), F.lit(0)))
+    pos, neg = F.sum("pos"), F.sum("neg")
+    wins = F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2.0))
+    return placed.groupBy(group).agg(ratio(wins, pos.cast("double") * neg).alias("auc"))
+
+
 def predicted_label(proba: Column, rule: str = "threshold") -> Column:
     """1 when the probability is at least 0.5; ``rule="round"`` rounds half to even, so 0.5 is 0."""
     return F.when(proba > 0.5 if rule == "round" else proba >= 0.5, 1).otherwise(0)

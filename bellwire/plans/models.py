@@ -1,15 +1,17 @@
 """Classifiers over the daily table on ``pyspark.ml``: search, fit, evaluate, save.
 
 The daily table has one row per trading day, so it is prepared once, cached, and many small fits
-run on it side by side as Spark jobs.
+run on it side by side. Logistic searches and refits share their passes (``logistic``), forest searches
+their grown trees (``forests``), network refits one job (``networks``).
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
-from datetime import date
+from datetime import date, timedelta
 from itertools import product
 from multiprocessing.pool import ThreadPool
 
@@ -28,8 +30,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bellwire.operators.features import FeatureSpec, Scaling, feature_frame, fit_scaling
-from bellwire.operators.sequence import time_series_folds
-from bellwire.operators.stats import auc_by_rank, metrics_binary, predicted_label
+from bellwire.operators.sequence import number_rows, time_series_folds
+from bellwire.operators.stats import auc_by_rank, auc_per_group, metrics_binary, predicted_label
+from bellwire.plans import forests
+from bellwire.plans.logistic import Problem, fit_many, positioned, scores
+from bellwire.plans.networks import Network, refit_scores
 from bellwire.session import materialise, work_path
 
 SEED = 42
@@ -259,15 +264,53 @@ def ts_grid_search(
     pairs = [(i, k) for i in range(len(settings)) for k in range(folds)]
     try:
         tasks = [lambda p=p: job(settings[p[0]], parts[p[1]]) for p in pairs]
-        scores = run_side_by_side(spark, tasks, parallelism)
+        found = run_side_by_side(spark, tasks, parallelism)
     finally:
         rows.unpersist()
-    table = [(i, str(settings[i]), k + 1, float(s)) for (i, k), s in zip(pairs, scores)]
-    means = [sum(s for j, _, _, s in table if j == i) / folds for i in range(len(settings))]
+    table = [(i, str(settings[i]), k + 1, float(s)) for (i, k), s in zip(pairs, found)]
+    return _best(settings, table, folds, spark)
+
+
+def _best(settings: Sequence[dict], table: list[tuple], folds: int, spark: SparkSession) -> tuple[dict, DataFrame]:
+    means = [sum(r[3] for r in table if r[0] == i) / folds for i in range(len(settings))]
     best = max(range(len(settings)), key=lambda i: (-math.inf if math.isnan(means[i]) else means[i], -i))
     return settings[best], spark.createDataFrame(table, "setting int, params string, fold int, auc double")
 
 
+def logistic_search(train: DataFrame, width: int, settings: Sequence[dict], folds: int = 5, weighting: str = "balanced") -> tuple[dict, DataFrame]:
+    """``ts_grid_search`` for elastic-net logistic models, all settings and folds in shared passes."""
+    spark = train.sparkSession
+    numbered = sized(number_rows(train, ["trade_date"], out="_row"))
+    n = numbered.count()
+    rows = positioned(numbered, F.col("_row") - 1, LABEL)
+    bounds = forests.fold_bounds(n, folds)
+    edges = sorted({e for b in bounds for e in b})
+    part = sum((F.when(F.col("at") >= e, 1).otherwise(0) for e in edges), F.lit(0))
+    found = {r[0]: r for r in rows.groupBy(part.alias("p")).agg(F.sum("y").alias("n1"), F.count("*").alias("n")).collect()}
+
+    def classes(low: int, high: int) -> tuple[int, int]:
+        inside = [r for p, r in found.items() if (edges[p - 1] if p else 0) >= low and (edges[p] if p < len(edges) else n) <= high]
+        n1 = int(sum(r.n1 for r in inside))
+        return sum(r.n for r in inside) - n1, n1
+
+    cells, problems = [], []
+    for k, (first, end) in enumerate(bounds):
+        n0, n1 = classes(0, first)
+        if min(n0, n1, *classes(first, end)) == 0:
+            continue
+        weights = class_weight_values(n0, n1, weighting)
+        for i, s in enumerate(settings):
+            cells.append((i, k))
+            problems.append(Problem(first, *weights, s["C"], s["l1_ratio"]))
+    aucs = {}
+    if problems:
+        coefficients = fit_many(rows, width, problems)
+        scored = scores(rows, width, coefficients, [bounds[k] for _, k in cells])
+        aucs = {cells[r.problem]: r.auc for r in auc_per_group(scored, "problem", "y", "proba").collect()}
+    numbered.unpersist()
+    return _best(settings, [(i, str(s), k + 1, float(aucs.get((i, k), math.nan))) for i, s in enumerate(settings) for k in range(folds)], folds, spark)
+
+
 @dataclass
 class Fitted:
     """A trained model with what is needed to apply and explain it."""
@@ -388,10 +431,18 @@ def fit_family(
     settings = expand_grid(fam.grids[variant] if grid is None else grid)
     search = None
     params = settings[0] if settings else {}
+    nested = fam.name == "rf" and forests.fits_in_tasks(train, len(names))
+    rows = forests.collect_rows(train, LABEL) if nested else None
     if len(settings) > 1:
-        params, search = ts_grid_search(train, fam.build, settings, folds, fam.weighting, parallelism)
+        if nested:
+            params, search = forests.nested_search(daily.sparkSession, rows, settings, folds, SEED)
+        elif fam.name == "lr":
+            params, search = logistic_search(train, len(names), settings, folds, fam.weighting)
+        else:
+            params, search = ts_grid_search(train, fam.build, settings, folds, fam.weighting, parallelism)
     fit_rows, weight_sum = weigh(train, fam.weighting)
-    model = fam.build(params, weight_sum).fit(fit_rows)
+    estimator = fam.build(params, weight_sum)
+    model = forests.fit_forest(daily.sparkSession, rows, params, SEED, estimator, fit_rows) if nested else estimator.fit(fit_rows)
     train.unpersist()
     return Fitted(PipelineModel([*inputs, model]), list(names), params, scaling, frame, search, frame)
 
@@ -452,6 +503,93 @@ def walk_forward(
     return out.withColumn("predicted_label", predicted_label(F.col("predicted_proba"), "round"))
 
 
+def _refits(frame: DataFrame, train_start, test_start, test_end, refit_every: int, min_train: int) -> list[tuple]:
+    """(first scored day, day behind the last, class weights before it) of every refit with enough rows of both classes.
+
+    What comes to the driver is one row per trading day.
+    """
+    ordinal = F.datediff(F.col("trade_date"), F.lit("1970-01-01").cast("date"))
+    per_day = frame.groupBy(ordinal.alias("day")).agg(F.count(LABEL).alias("n"), F.sum(LABEL).cast("long").alias("n1")).orderBy("day").collect()
+    start, low, high = ((date.fromisoformat(str(d)) - date(1970, 1, 1)).days for d in (train_start, test_start, test_end))
+    days = [r.day for r in per_day if low <= r.day <= high]
+    blocks = [days[i : i + refit_every] for i in range(0, len(days), refit_every)]
+    out, n, n1, at = [], 0, 0, 0
+    for block in blocks:
+        while per_day[at].day < block[0]:
+            if per_day[at].day >= start:
+                n, n1 = n + per_day[at].n, n1 + (per_day[at].n1 or 0)
+            at += 1
+        if n >= min_train and 0 < n1 < n:
+            out.append((block[0], block[-1] + 1, class_weight_values(n - n1, n1, "balanced")))
+    if not out:
+        raise ValueError("no test day has enough earlier rows")
+    return out
+
+
+def walk_forward_logistic(
+    frame: DataFrame,
+    names: Sequence[str],
+    train_start: str | date,
+    test_start: str | date,
+    test_end: str | date,
+    c: float = 1.0,
+    l1_ratio: float = 0.0,
+    refit_every: int = 1,
+    min_train: int = 10,
+) -> DataFrame:
+    """``walk_forward`` with elastic-net logistic models, the refits of all days in shared passes."""
+    frame = sized(frame)
+    ordinal = F.datediff(F.col("trade_date"), F.lit("1970-01-01").cast("date"))
+    refits = _refits(frame, train_start, test_start, test_end, refit_every, min_train)
+    usable = positioned(frame.where(F.col("trade_date") >= F.lit(train_start).cast("date")), ordinal, LABEL, names)
+    coefficients = fit_many(usable, len(names), [Problem(first, *weights, c, l1_ratio) for first, _, weights in refits])
+    scored = scores(positioned(frame, ordinal, LABEL, names), len(names), coefficients, [(first, end) for first, end, _ in refits])
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.col("at").cast("int"))
+    return scored.select(
+        day.alias("trade_date"),
+        F.col("y").cast(frame.schema[LABEL].dataType).alias("actual_increase"),
+        F.col("proba").alias("predicted_proba"),
+        predicted_label(F.col("proba"), "round").alias("predicted_label"),
+    )
+
+
+def walk_forward_network(
+    frame: DataFrame,
+    names: Sequence[str],
+    train_start: str | date,
+    test_start: str | date,
+    test_end: str | date,
+    network: Network = Network(),
+    refit_every: int = 1,
+    min_train: int = 10,
+) -> DataFrame:
+    """``walk_forward`` with a network trained afresh at every refit, all refits in one job.
+
+    A frame too large to go to every task is refused; ``walk_forward`` with ``perceptron`` takes those.
+    """
+    spark = frame.sparkSession
+    assembler, ready = _assembled(frame, names)
+    ready = sized(assembler.transform(ready).select("trade_date", LABEL, "features"))
+    if not forests.fits_in_tasks(ready, len(names)):
+        raise ValueError("too many rows to send to every task: use walk_forward with perceptron")
+    rows = forests.collect_rows(ready, LABEL)
+    days = sorted((r[0] - date(1970, 1, 1)).days for r in ready.select("trade_date").collect())
+    start = bisect_left(days, (date.fromisoformat(str(train_start)) - date(1970, 1, 1)).days)
+    refits = [
+        (start, bisect_left(days, first), bisect_left(days, first), bisect_left(days, end))
+        for first, end, _ in _refits(ready, train_start, test_start, test_end, refit_every, min_train)
+    ]
+    scored = refit_scores(spark, rows, refits, network)
+    # Rows of one day share its place; the frame has one row per day.
+    dated = spark.createDataFrame([(i, date(1970, 1, 1) + timedelta(d), int(y)) for i, (d, y) in enumerate(zip(days, rows.y))], "row long, trade_date date, actual_increase int")
+    return scored.join(F.broadcast(dated), "row").select(
+        "trade_date",
+        F.col("actual_increase").cast(frame.schema[LABEL].dataType).alias("actual_increase"),
+        F.col("proba").alias("predicted_proba"),
+        predicted_label(F.col("proba"), "round").alias("predicted_label"),
+    )
+
+
 def perceptron(n_inputs: int, hidden: int = 64, max_iter: int = 100) -> Callable[[float], Estimator]:
     """Two-layer network classifier; it has no weight column."""
 

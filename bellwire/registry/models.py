@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -100,14 +99,10 @@ def experiment_matrix(spark, sf):
 
 def walk_forward(spark, sf):
     """Refit at each day of the test span, trained on everything before."""
-    spec = ft.FeatureSpec(n_lags=2, with_interactions=False, **_DATES)
+    spec = ft.FeatureSpec(n_lags=3, with_interactions=False, **_DATES)
     frame, names = ft.feature_frame(_market(spark, sf), spec)
     frame = materialise(frame, "walk")
-
-    def estimator(weight_sum):
-        return LogisticRegression(labelCol=ml.LABEL, weightCol=ml.WEIGHT, regParam=1.0 / weight_sum, maxIter=1000)
-
-    return plain(ml.walk_forward(frame, names, estimator, "1995-01-01", "2000-01-01", "2001-12-31"))
+    return plain(ml.walk_forward_logistic(frame, names, "1995-01-01", "2000-01-01", "2001-12-31"))
 
 
 def _vector_news(spark, sf):
@@ -145,11 +140,7 @@ def attention_classifier(spark, sf):
     )
     frame, features = dv.day_model_frame(prices, daily, names)
     frame = materialise(frame, "attention")
-    out = ml.walk_forward(
-        frame, features, ml.perceptron(len(features)),
-        "1995-01-01", "2000-01-01", "2001-12-31", parallelism=2,
-    )
-    return plain(out)
+    return plain(ml.walk_forward_network(frame, features, "1995-01-01", "2000-01-01", "2001-12-31"))
 
 
 # Test days of a fit: rows with a label and a return, less the first three, which have no full lags.
