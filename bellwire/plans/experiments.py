@@ -48,7 +48,7 @@ def run_matrix(
     sources: Sequence[str],
     scorers: dict[str, str] = SCORERS,
     options: dict[str, dict] | None = None,
-    parallel_runs: int = 4,
+    parallel_runs: int = 8,
     **common,
 ) -> DataFrame:
     """Metrics of every run: family, variant, scorer, n, accuracy, log_loss, auc.

@@ -47,12 +47,12 @@ class Rows:
     y: np.ndarray
 
     def weights(self, upto: int) -> np.ndarray:
-        """Balanced class weights of the first ``upto`` rows; none where they hold one class only."""
+        """Balanced weights of both classes over the first ``upto`` rows."""
         n1 = int(self.y[:upto].sum())
         n0 = upto - n1
         if not n0 or not n1:
             raise ValueError("training rows hold one class only")
-        return np.where(self.y[:upto] == 1, upto / (2 * n1), upto / (2 * n0))
+        return np.array([upto / (2 * n0), upto / (2 * n1)])
 
 
 def fits_in_tasks(train: DataFrame, width: int, most: int = MOST_CELLS) -> bool:
@@ -102,7 +102,10 @@ def features_per_split(rule: str, width: int) -> int:
 
 
 def grow(x: np.ndarray, y: np.ndarray, w: np.ndarray, trees: Sequence[int], rule: str, seed: int, max_depth: int = MAX_DEPTH, min_split: int = 2) -> Trees:
-    """The trees with the given numbers, on bootstrap samples of the rows."""
+    """The trees with the given numbers, on bootstrap samples of the rows; ``w`` weighs the two classes.
+
+    Sums run over counts, which are exact, so a tree is the same whatever trees are grown beside it.
+    """
     n, width = x.shape
     drawn = features_per_split(rule, width)
     values = [np.unique(x[:, f]) for f in range(width)]
@@ -115,15 +118,16 @@ def grow(x: np.ndarray, y: np.ndarray, w: np.ndarray, trees: Sequence[int], rule
         row_of.append(at)
         times.append(counts[at])
     node, row = np.concatenate(tree_of), np.concatenate(row_of)
-    weight = np.concatenate(times) * w[row]
-    weight = np.stack([weight * (y[row] == 0), weight * (y[row] == 1)], axis=1)
+    times = np.concatenate(times).astype(float)
+    weight = np.stack([times * (y[row] == 0), times * (y[row] == 1)], axis=1)
     key = _mix(np.array(trees, np.uint64) + _mix(np.array([seed + 1], np.uint64)))
     out: dict[str, list] = {c: [] for c in ("feature", "threshold", "left", "right", "rows", "class_weight", "gain", "tree")}
     owner, made = np.arange(len(trees)), len(trees)
     for depth in range(max_depth + 1):
         open_nodes = len(key)
         rows = np.bincount(node, minlength=open_nodes)
-        sums = np.stack([np.bincount(node, weight[:, c], open_nodes) for c in (0, 1)], axis=1)
+        counts = np.stack([np.bincount(node, weight[:, c], open_nodes) for c in (0, 1)], axis=1)
+        sums = counts * w
         growing = (sums.min(axis=1) > 0) & (rows >= max(2, min_split)) & (depth < max_depth)
         with np.errstate(over="ignore"):
             lots = _mix(key[:, None] + np.arange(1, width + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -142,7 +146,7 @@ def grow(x: np.ndarray, y: np.ndarray, w: np.ndarray, trees: Sequence[int], rule
             before = np.zeros((open_nodes, 2))
             before[by[first]] = run[first] - weight[order][first]
             left = run - before[by]
-            right = sums[by] - left
+            left, right = left * w, (counts[by] - left) * w
             parted = np.append((by[1:] == by[:-1]) & (r[1:] != r[:-1]), False)
             with np.errstate(divide="ignore", invalid="ignore"):
                 score = (left**2).sum(axis=1) / left.sum(axis=1) + (right**2).sum(axis=1) / right.sum(axis=1)
