@@ -4,14 +4,15 @@ Each language has a probability for every piece of one fixed public vocabulary.
 probability is the sum over all ways to cut it into pieces of the product of their probabilities
 (forward algorithm); a text's is the product over its words. The piece probabilities are fitted by
 expectation maximisation with the same sums forwards and backwards, on the words of a bounded
-sample of labelled rows: at most ``PER_LANGUAGE`` rows of each of ``MOST_LANGUAGES`` languages.
+sample of labelled rows: at most ``PER_LANGUAGE`` rows of each language.
 
 Words are lower-cased runs of letters with the word-start mark of the vocabulary in front. Single
 characters outside the vocabulary are pieces too: one shared class per language. Stretches of more than
 ``LONGEST`` characters are cut, so sums stay in range.
 
 Null texts and texts without a letter are ``und`` with score 0. Without labelled rows every text
-is ``und``. Ties go to the language that sorts first. Other columns are not read.
+is ``und``. Ties go to the language that sorts first. Repeated rows give repeated results, very long texts are
+scored whole, an empty table gives no rows. Other columns are not read; those carried along get names of their own.
 """
 
 from __future__ import annotations
@@ -26,11 +27,15 @@ from pyspark.sql import functions as F
 
 from bellwire.llm.sample import carried, remainder, sample_ids
 from bellwire.llm.state import per_worker
+from bellwire.session import broadcast_if_small
 
 LETTERS = re.compile(r"[^\W\d_]+")
-PER_LANGUAGE, MOST_LANGUAGES, ROUNDS = 150, 200, 4
+PER_LANGUAGE, ROUNDS = 150, 4
 LONGEST, KNOWN = 40, 1 << 18
 _START = "▁"
+#: Sums are kept times this to the power of the characters behind them: a stretch of LONGEST rare characters
+#: stays above the smallest double, and one long piece below the largest.
+_LIFT = 2.0**20
 
 
 def vocabulary(path: str) -> dict[str, int]:
@@ -75,7 +80,7 @@ class PieceModel:
         return grid
 
     def forward(self, grid: np.ndarray) -> np.ndarray:
-        """(size + 1, words, languages): summed probability of each beginning."""
+        """(size + 1, words, languages): summed probability of each beginning, lifted by its length."""
         ends, span, n = grid.shape
         out = np.zeros((ends, n, len(self.languages)))
         out[0] = 1.0
@@ -84,7 +89,7 @@ class PieceModel:
                 at = grid[end, length - 1]
                 has = np.flatnonzero(at >= 0)
                 if len(has):
-                    out[end, has] += out[end - length, has] * self.probs[at[has]]
+                    out[end, has] += out[end - length, has] * (self.probs[at[has]] * _LIFT**length)
         return out
 
     def expected(self, grid: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -98,7 +103,7 @@ class PieceModel:
                 at = grid[end, length - 1]
                 has = np.flatnonzero(at >= 0)
                 if len(has):
-                    back[end - length, has] += back[end, has] * self.probs[at[has]]
+                    back[end - length, has] += back[end, has] * (self.probs[at[has]] * _LIFT**length)
         share = weight / ahead[-1]
         out = np.zeros_like(self.probs)
         for end in range(1, ends):
@@ -106,7 +111,7 @@ class PieceModel:
                 at = grid[end, length - 1]
                 has = np.flatnonzero(at >= 0)
                 if len(has):
-                    np.add.at(out, at[has], ahead[end - length, has] * self.probs[at[has]] * back[end, has] * share[has])
+                    np.add.at(out, at[has], ahead[end - length, has] * (self.probs[at[has]] * _LIFT**length) * back[end, has] * share[has])
         return out
 
     def log_probs(self, words: list[str]) -> np.ndarray:
@@ -121,7 +126,7 @@ class PieceModel:
             for lo in range(0, len(held), 4096):
                 some = held[lo : lo + 4096]
                 total = self.forward(self._grid([p for _, p in some], size))[-1]
-                np.add.at(out, [i for i, _ in some], np.log(total))
+                np.add.at(out, [i for i, _ in some], np.log(total) - size * np.log(_LIFT))
         return out
 
     def texts(self, texts: list[str | None]) -> list[np.ndarray | None]:
@@ -179,12 +184,12 @@ def fit(counts: dict[str, dict[str, int]], pieces: dict[str, int], rounds: int =
     return model
 
 
-def training_words(docs: DataFrame, lang_col: str, id_col: str, text_col: str, per_language: int, most_languages: int) -> dict[str, dict[str, int]]:
+def training_words(docs: DataFrame, lang_col: str, id_col: str, text_col: str, per_language: int) -> dict[str, dict[str, int]]:
     """Word counts per language of the bounded sample; rows with remainder 1 of 3 are never read here."""
     labelled = docs.where(F.col(lang_col).isNotNull() & (remainder(id_col, 3) != 1))
-    ids = sample_ids(labelled.select(id_col, lang_col), lang_col, per_language, most_languages, id_col)
-    # At most per_language x most_languages ids.
-    rows = labelled.join(F.broadcast(ids.select(id_col)), id_col).select(F.col(lang_col).alias("lang"), F.lower(F.col(text_col)).alias("t"))
+    ids = sample_ids(labelled.select(id_col, lang_col), lang_col, per_language, None, id_col)
+    # At most per_language ids of each language.
+    rows = labelled.join(broadcast_if_small(ids.select(id_col)), id_col).select(F.col(lang_col).alias("lang"), F.lower(F.col(text_col)).alias("t"))
     words = rows.select("lang", F.explode(F.regexp_extract_all("t", F.lit(r"(\p{L}+)"), F.lit(1))).alias("w"))
     out: dict[str, dict[str, int]] = {}
     for lang, word, n in words.groupBy("lang", "w").count().toLocalIterator():
@@ -199,14 +204,13 @@ def predict(
     id_col: str = "doc_id",
     text_col: str = "text",
     per_language: int = PER_LANGUAGE,
-    most_languages: int = MOST_LANGUAGES,
     carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """Per row: id, ``held_out`` (crc32 of the id modulo 3 is 1), ``lang_pred`` and its posterior ``score``.
 
     ``carry`` adds these columns unchanged, as ``_x0``, ``_x1``, ...
     """
-    counts = training_words(docs, lang_col, id_col, text_col, per_language, most_languages)
+    counts = training_words(docs, lang_col, id_col, text_col, per_language)
     model = fit(counts, vocabulary(vocabulary_path))
     languages = model.languages
     # Only pieces seen in some language differ from the rest; the model travels as one small array.

@@ -1,7 +1,7 @@
 """Mixing to target weights with soft membership, in DataFrame functions only.
 
 * **Classifier.** Multinomial naive Bayes over hashed words, fitted on a bounded sample of the labelled rows
-  (at most ``PER_DOMAIN`` rows of each of ``MOST_DOMAINS`` domains). Every row gets a posterior per domain;
+  (at most ``PER_DOMAIN`` rows of each domain). Every row gets a posterior per domain;
   its own label is no input.
 * **Rates.** With ``m[d, k] = tokens[d] * posterior[d, k]`` the rates ``r >= 0`` minimise
   ``sum_k (sum_d r[d] m[d, k] - target[k])**2 / (2 mass[k]) + ridge / 2 * sum_d tokens[d] (r[d] - 1)**2``
@@ -13,21 +13,26 @@
 
 Tokens are words between blanks. Null or blank texts have no tokens; their posterior is the prior and
 they follow the common rate. Null labels teach nothing. With fewer than two domains every rate is one.
+Repeated rows are rows of their own with the same rate; a very long text is one row of buckets. Columns carried
+along get names that no column of the table can meet. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
+
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bellwire.llm.quality import literal_array, words_of
-from bellwire.llm.sample import sample_ids
-from bellwire.session import materialise
+from bellwire.llm.sample import carried, sample_ids
+from bellwire.session import broadcast_if_small, materialise
 
-BUCKETS, PER_DOMAIN, MOST_DOMAINS = 1 << 13, 2000, 32
-RIDGE, ROUNDS, CLOSE = 1e-3, 25, 1e-4
+BUCKETS, PER_DOMAIN = 1 << 13, 2000
+RIDGE, ROUNDS, CLOSE, MISSED = 1e-3, 25, 1e-4, 0.01
 #: Words whose evidence counts in full; longer texts are scaled down to it.
 EVIDENCE = 50
 
@@ -36,12 +41,12 @@ def _buckets(text: Column, buckets: int) -> Column:
     return F.transform(words_of(F.lower(text)), lambda w: F.pmod(F.xxhash64(w), F.lit(buckets)).cast("int"))
 
 
-def fit_classifier(docs: DataFrame, labelled: DataFrame, domain_col: str, id_col: str, text_col: str, per_domain: int, most: int, buckets: int) -> tuple[list, list[float], list[list[float]]]:
+def fit_classifier(docs: DataFrame, labelled: DataFrame, domain_col: str, id_col: str, text_col: str, per_domain: int, buckets: int) -> tuple[list, list[float], list[list[float]]]:
     """Domains, their log shares, and a log probability per domain and bucket."""
-    ids = sample_ids(labelled.where(F.col(domain_col).isNotNull()).select(id_col, domain_col), domain_col, per_domain, most, id_col)
-    # At most per_domain x most narrow rows.
-    rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_t")).join(F.broadcast(ids), id_col)
-    seen = rows.select(domain_col, F.explode(_buckets(F.col("_t"), buckets)).alias("b")).groupBy(domain_col, "b").count().collect()
+    ids = sample_ids(labelled.where(F.col(domain_col).isNotNull()).select(id_col, domain_col), domain_col, per_domain, None, id_col)
+    # At most per_domain narrow rows of each domain.
+    rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_t")).join(broadcast_if_small(ids), id_col)
+    seen = rows.select(F.col(domain_col).alias("_domain"), F.explode(_buckets(F.col("_t"), buckets)).alias("_b")).groupBy("_domain", "_b").count().collect()
     domains = sorted({r[0] for r in seen})
     counts = {d: [0] * buckets for d in domains}
     for domain, b, n in seen:
@@ -60,13 +65,13 @@ def _evidence(logs: list[float]) -> Column:
     return F.aggregate("_b", F.lit(0.0), lambda a, b: a + F.get(weights, b))
 
 
-def with_posteriors(docs: DataFrame, model: tuple, id_col: str, text_col: str, buckets: int, keep: list[str]) -> DataFrame:
-    """``keep`` columns, ``_tokens`` and one posterior column ``_p<k>`` per domain."""
+def with_posteriors(docs: DataFrame, model: tuple, id_col: str, text_col: str, buckets: int, carry: Sequence[str] = ()) -> DataFrame:
+    """``_id``, ``carry`` as ``_x0``, ``_x1``, ..., ``_tokens`` and one posterior column ``_p<k>`` per domain."""
     domains, priors, logs = model
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], _buckets(F.col(text_col).cast("string"), buckets).alias("_b"))
+    kept = [F.col("_id"), *[F.col(f"_x{i}") for i in range(len(carry))]]
+    rows = docs.select(F.col(f"`{id_col}`").alias("_id"), *carried(docs, list(carry))[0], _buckets(F.col(f"`{text_col}`").cast("string"), buckets).alias("_b"))
     rows = rows.withColumn("_n", F.size("_b"))
     scale = F.least(F.lit(1.0), F.lit(float(EVIDENCE)) / F.greatest(F.col("_n"), F.lit(1)))
-    kept = [F.col(f"`{c}`") for c in keep]
     scored = rows.select(
         *kept, F.col("_n").cast("double").alias("_tokens"),
         *[(F.lit(priors[k]) + scale * _evidence(logs[k])).alias(f"_l{k}") for k in range(len(domains))],
@@ -128,28 +133,36 @@ def mix(
     at_least: int = 0,
     id_col: str = "doc_id",
     text_col: str = "text",
-    keep: list[str] | None = None,
+    carry: Sequence[str] = (),
     per_domain: int = PER_DOMAIN,
-    most_domains: int = MOST_DOMAINS,
     buckets: int = BUCKETS,
 ) -> DataFrame:
-    """Per row: the ``keep`` columns (the id), ``n_tokens``, ``posterior`` by domain, ``rate`` and ``copies``.
+    """Per row: the id, ``n_tokens``, ``posterior`` by domain, ``rate`` and ``copies``; ``carry`` adds columns as ``_x0``, ``_x1``, ...
 
-    ``targets`` maps domains to weights; domains it leaves out get none.
+    ``targets`` maps domains to weights; learnt domains it leaves out get none, and a weight for a domain without
+    labelled rows is an error. Totals that stay more than ``MISSED`` of the mass from their target are reported
+    in a warning: rows whose posteriors never favour a domain cannot fill it.
     """
-    keep = [id_col] if keep is None else keep
     labelled = docs.select(id_col, domain_col).join(labels.select(id_col).where(F.col(id_col).isNotNull()).distinct(), id_col, "left_semi")
-    model = fit_classifier(docs, labelled, domain_col, id_col, text_col, per_domain, most_domains, buckets)
+    model = fit_classifier(docs, labelled, domain_col, id_col, text_col, per_domain, buckets)
     domains = model[0]
-    kept = [F.col(f"`{c}`") for c in keep]
+    if targets is not None:
+        unknown = sorted(str(d) for d, w in targets.items() if w > 0 and d not in domains)
+        if unknown:
+            raise ValueError(f"targets for domains without labelled rows: {', '.join(unknown)}")
+    more = [F.col(f"_x{i}") for i in range(len(carry))]
     if not domains:
         empty = F.create_map().cast("map<string,double>")
-        return docs.select(*kept, F.size(words_of(F.col(text_col))).cast("bigint").alias("n_tokens"), empty.alias("posterior"), F.lit(1.0).alias("rate"), F.lit(1).alias("copies"))
-    rows = materialise(with_posteriors(docs, model, id_col, text_col, buckets, keep), "mixing")
-    steps, _, _ = fit_rates(rows, None if targets is None else [float(targets.get(d, 0.0)) for d in domains], len(domains), power)
-    chance = F.pmod(F.xxhash64(F.col(id_col), F.lit("copies")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+        tokens = F.size(words_of(F.col(f"`{text_col}`"))).cast("bigint")
+        return docs.select(F.col(f"`{id_col}`").alias(id_col), tokens.alias("n_tokens"), empty.alias("posterior"), F.lit(1.0).alias("rate"), F.lit(1).alias("copies"), *carried(docs, list(carry))[0])
+    rows = materialise(with_posteriors(docs, model, id_col, text_col, buckets, carry), "mixing")
+    steps, wanted, reached = fit_rates(rows, None if targets is None else [float(targets.get(d, 0.0)) for d in domains], len(domains), power)
+    missed = {str(d): (round(r), round(t)) for d, r, t in zip(domains, reached, wanted) if abs(r - t) > MISSED * sum(reached)}
+    if missed:
+        warnings.warn(f"token totals (reached, target) off by more than {MISSED:.0%} of the mass: {missed}", stacklevel=2)
+    chance = F.pmod(F.xxhash64(F.col("_id"), F.lit("copies")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     posterior = F.map_from_arrays(F.array(*[F.lit(str(d)) for d in domains]), F.array(*[F.col(f"_p{k}") for k in range(len(domains))]))
-    out = rows.select(*kept, F.col("_tokens").cast("bigint").alias("n_tokens"), posterior.alias("posterior"), rate_after(steps).alias("rate"), chance.alias("_u"))
+    out = rows.select("_id", *more, F.col("_tokens").cast("bigint").alias("n_tokens"), posterior.alias("posterior"), rate_after(steps).alias("rate"), chance.alias("_u"))
     whole = F.floor("rate")
     copies = F.greatest(F.lit(at_least), whole + F.when(F.col("_u") < F.col("rate") - whole, 1).otherwise(0)).cast("int")
-    return out.select(*kept, "n_tokens", "posterior", "rate", copies.alias("copies"))
+    return out.select(F.col("_id").alias(id_col), "n_tokens", "posterior", "rate", copies.alias("copies"), *more)

@@ -17,7 +17,8 @@
   and only what is left over meets the rest.
 
 Null, empty and blank texts have no shingles, are linked with nothing and keep themselves. Rows
-with a null id form no links and are kept. Rows that share an id are one document as far as links go.
+with a null id form no links and are kept. Rows that share an id are one document as far as links go. Of a very
+long text, words and signature are made slice by slice; held whole are its bytes and one hash per shingle.
 """
 
 from __future__ import annotations
@@ -51,15 +52,19 @@ def super_minhash(sets: list[np.ndarray], slots: int = SLOTS) -> np.ndarray:
         while end < len(order) and (end == at or total + len(sets[order[end]]) <= _DRAW):
             total += len(sets[order[end]])
             end += 1
-        out[order[at:end]] = _draw([sets[i] for i in order[at:end]], slots)
+        some = [sets[i] for i in order[at:end]]
+        best = np.full(len(some) * slots, np.iinfo(np.uint64).max, np.uint64)
+        hashes, owner = np.concatenate(some), np.repeat(np.arange(len(some)), [len(s) for s in some])
+        # A minimum may be taken slice by slice: a set of any size needs the memory of one slice.
+        for k in range(0, len(hashes), _DRAW):
+            _draw(hashes[k : k + _DRAW], owner[k : k + _DRAW], best, slots)
+        out[order[at:end]] = best.reshape(-1, slots)
         at = end
     return out
 
 
-def _draw(sets: list[np.ndarray], slots: int) -> np.ndarray:
-    hashes = np.concatenate(sets)
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    best = np.full(len(sets) * slots, np.iinfo(np.uint64).max, np.uint64)
+def _draw(hashes: np.ndarray, owner: np.ndarray, best: np.ndarray, slots: int) -> None:
+    """Lower ``best`` by the offers of these elements, level by level, until no slot can change any more."""
     place = np.tile(np.arange(slots, dtype=np.uint16), (len(hashes), 1))
     element = np.arange(len(hashes))
     for level in range(slots):
@@ -70,13 +75,12 @@ def _draw(sets: list[np.ndarray], slots: int) -> np.ndarray:
         np.minimum.at(best, owner * slots + slot, (_U(level) << _U(32)) | (drawn >> _U(32)))
         most = best.reshape(-1, slots).max(axis=1)
         going = most >= _U((level + 1) << 32)
-        if not going.any():
+        left = going[owner]
+        if not left.any():
             break
-        if going.mean() < 0.5:
-            left = going[owner]
+        if left.mean() < 0.5:
             hashes, owner, place = hashes[left], owner[left], place[left]
             element = np.arange(len(hashes))
-    return best.reshape(-1, slots)
 
 
 def band_rows(similarity: float, slots: int = SLOTS, miss: float = MISS) -> int:

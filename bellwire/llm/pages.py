@@ -4,21 +4,24 @@ A tokenizer, a tree builder with implied tags, and a renderer:
 
 * **Tree.** Void elements, end tags that the next tag implies (``p``, ``li``, ``dt``/``dd``, table parts,
   ``option``), elements that end at their parent's end tag, raw text in ``script``/``style`` and the like. A stray end tag is dropped.
-* **Visibility.** Nothing below ``head``, ``script``, ``style``, ``template`` and the like, below an element
-  with ``hidden``, or with ``display:none`` or ``visibility:hidden`` in its style. All other text is kept,
-  navigation and footers included.
+* **Visibility.** Nothing below the elements of ``UNSEEN`` (``head``, ``script``, ``style``, ``template``, embedded
+  media), below an element with ``hidden``, or with ``display:none`` or ``visibility:hidden`` in its style. All other text
+  is kept: navigation and footers, options, formulas, labels of drawings (but not what ``UNSEEN_FOREIGN`` names
+  there), and ``noscript``, as no script runs here.
 * **Layout.** White space folds except in ``pre`` and ``textarea``. Blocks stand on their own lines, paragraphs and headings
   with an empty line between; ``br`` breaks a line; list items get a dash or their number, indented by depth;
   table rows are lines whose cells are padded to the width of their column.
 
 A null page gives a null text; an empty one, or one without visible text, an empty text. Depth is not
-limited by recursion. Unknown elements are inline.
+limited by recursion. Unknown elements are inline. Repeated rows give repeated results; other columns are not read.
+A page of any length is read in one go; the work of a tag does not grow with the number of open elements.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,7 +32,9 @@ from pyspark.sql import functions as F
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes".split())
 PLAIN_TEXT = frozenset("textarea title".split())
-UNSEEN = frozenset("head script style template noscript title noembed noframes iframe datalist audio video canvas object svg math select".split())
+UNSEEN = frozenset("head script style template title noembed noframes iframe datalist audio video canvas object".split())
+#: Not shown inside drawings and formulas.
+UNSEEN_FOREIGN = frozenset("desc defs metadata annotation annotation-xml".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure hr fieldset details".split())
 BLOCK = SPACED | frozenset("html body div section article aside header footer nav main address li dt dd figcaption form legend summary tr thead tbody tfoot caption center dir menu hgroup search optgroup option".split())
 #: A start tag of the key ends an open element of the values, looked for up to the scope.
@@ -60,10 +65,40 @@ class Element:
         self.name, self.seen, self.children, self.number = name, seen, [], number
 
 
+class Stack(list):
+    """The open elements, with the places of each name, so that no tag walks the whole stack."""
+
+    def __init__(self, root: Element):
+        super().__init__([root])
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    def push(self, element: Element) -> None:
+        self.places.setdefault(element.name, []).append(len(self))
+        if element.name in WALLS or element.name in BLOCK:
+            self.blocks.append(len(self))
+        self.append(element)
+
+    def cut(self, at: int) -> None:
+        while len(self) > at:
+            self.places[self.pop().name].pop()
+        while self.blocks and self.blocks[-1] >= at:
+            self.blocks.pop()
+
+    def top(self, names) -> int:
+        """The highest place of these names, or 0."""
+        return max((self.places[n][-1] for n in names if self.places.get(n)), default=0)
+
+    def lowest(self, names, above: int) -> int | None:
+        """The lowest place of these names above a place."""
+        found = [held[k] for n in names if (held := self.places.get(n)) and (k := bisect_right(held, above)) < len(held)]
+        return min(found, default=None)
+
+
 def build(page: str) -> Element:
     """The tree of a page; text children are strings."""
     root = Element("#page", True)
-    stack = [root]
+    stack = Stack(root)
     at, n = 0, len(page)
     while at < n:
         m = TOKEN.match(page, at)
@@ -78,7 +113,8 @@ def build(page: str) -> Element:
                 continue
             _imply(stack, name)
             attributes = _attributes(inside) if inside and not inside.isspace() else {}
-            seen = stack[-1].seen and name not in UNSEEN and "hidden" not in attributes and not HIDDEN.search(attributes.get("style", ""))
+            foreign = stack.places.get("svg") or stack.places.get("math")
+            seen = stack[-1].seen and name not in UNSEEN and not (foreign and name in UNSEEN_FOREIGN) and "hidden" not in attributes and not HIDDEN.search(attributes.get("style", ""))
             start = attributes.get("value" if name == "li" else "start", "")
             element = Element(name, seen, int(start) if start.isdecimal() and len(start) < 10 else None)
             stack[-1].children.append(element)
@@ -87,8 +123,8 @@ def build(page: str) -> Element:
                 content = page[at : closing.start() if closing else n]
                 element.children.append(html.unescape(content) if name in PLAIN_TEXT else content)
                 at = closing.end() if closing else n
-            elif name not in VOID:
-                stack.append(element)
+            elif name not in VOID and not (foreign and inside.endswith("/")):
+                stack.push(element)
     return root
 
 
@@ -96,33 +132,21 @@ def _attributes(inside: str) -> dict[str, str]:
     return {k.lower(): html.unescape(a or b or c or "") for k, a, b, c in ATTRIBUTE.findall(inside)}
 
 
-def _close(stack: list[Element], name: str) -> None:
-    for i in range(len(stack) - 1, 0, -1):
-        if stack[i].name == name:
-            del stack[i:]
-            return
-        if stack[i].name in WALLS and name not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html", "template"):
-            return
+def _close(stack: Stack, name: str) -> None:
+    at = stack.top([name])
+    crosses = name in ("table", "tr", "tbody", "thead", "tfoot", "body", "html", "template")
+    if at and (crosses or at >= stack.top(WALLS)):
+        stack.cut(at)
 
 
-def _imply(stack: list[Element], name: str) -> None:
-    if name in ENDS_P:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].name == "p":
-                del stack[i:]
-                break
-            if stack[i].name in WALLS or stack[i].name in BLOCK:
-                break
+def _imply(stack: Stack, name: str) -> None:
+    if name in ENDS_P and stack.blocks and stack[stack.blocks[-1]].name == "p":
+        stack.cut(stack.blocks[-1])
     ends, scope = IMPLIED.get(name, (None, None))
     if ends:
-        lowest = None
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].name in scope:
-                break
-            if stack[i].name in ends:
-                lowest = i
+        lowest = stack.lowest(ends, stack.top(scope))
         if lowest is not None:
-            del stack[lowest:]
+            stack.cut(lowest)
 
 
 class Lines:

@@ -76,6 +76,22 @@ def word_hashes(data: np.ndarray, ends: np.ndarray, lower: bool = True) -> tuple
     return hashes, counts
 
 
+def _long_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``word_hashes`` of one long text, in slices cut at blanks."""
+    parts, at = [], 0
+    while at < len(data):
+        end = min(at + BLOCK_BYTES, len(data))
+        while end < len(data):
+            gap = np.flatnonzero(_BLANK[data[end : end + BLOCK_BYTES]])
+            end += int(gap[0]) + 1 if len(gap) else min(BLOCK_BYTES, len(data) - end)
+            if len(gap):
+                break
+        parts.append(word_hashes(data[at:end], np.array([end - at]))[0])
+        at = end
+    words = np.concatenate(parts)
+    return words, np.array([len(words)])
+
+
 def shingle_sets(texts: pa.Array, width: int = 3) -> Iterator[np.ndarray]:
     """Per text, the sorted distinct hashes of its ``width``-word shingles.
 
@@ -83,7 +99,7 @@ def shingle_sets(texts: pa.Array, width: int = 3) -> Iterator[np.ndarray]:
     """
     factors = [mix(np.array([i + 1], np.uint64) * _ODD)[0] | _U(1) for i in range(width)]
     for _, _, data, ends in text_blocks(texts):
-        words, counts = word_hashes(data, ends)
+        words, counts = word_hashes(data, ends) if len(ends) > 1 or len(data) <= 2 * BLOCK_BYTES else _long_words(data)
         full = max(0, len(words) - width + 1)
         rolled = np.zeros(full, np.uint64)
         for i, f in enumerate(factors):
