@@ -41,8 +41,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats rows at their fitted rate; every document stays at least once."""
-    mixed = mixing.mix(docs, table(spark, sf_dir, "labels"), keep=docs.columns, at_least=1)
-    return mixed.withColumn("_nth", F.explode(F.sequence(F.lit(1), "copies"))).select(*docs.columns)
+    mixed = mixing.mix(docs, table(spark, sf_dir, "labels"), carry=docs.columns, at_least=1)
+    return mixed.withColumn("_nth", F.explode(F.sequence(F.lit(1), "copies"))).select(*restored(docs.columns))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
