@@ -8,7 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from bellwire.operators.features import select_source_columns
-from bellwire.plans.models import Fitted, fit_family, run_side_by_side
+from bellwire.plans.models import Fitted, fit_family
+from bellwire.plans.parallel import run_side_by_side
 
 # The sentiment columns the runs are made for, by scorer.
 SCORERS = {

@@ -13,9 +13,8 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from datetime import date, timedelta
 from itertools import product
-from multiprocessing.pool import ThreadPool
 
-from pyspark import StorageLevel, inheritable_thread_target
+from pyspark import StorageLevel
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import (
     GBTClassifier,
@@ -35,6 +34,7 @@ from bellwire.operators.stats import auc_by_rank, auc_per_group, metrics_binary,
 from bellwire.plans import forests
 from bellwire.plans.logistic import Problem, fit_many, positioned, scores
 from bellwire.plans.networks import Network, refit_scores
+from bellwire.plans.parallel import run_side_by_side
 from bellwire.session import materialise, work_path
 
 SEED = 42
@@ -187,17 +187,6 @@ def sized(df: DataFrame, rows_per_partition: int = ROWS_PER_PARTITION) -> DataFr
     return df.coalesce(parts).persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def run_side_by_side(spark: SparkSession, tasks: Sequence[Callable], parallelism: int) -> list:
-    """Run Spark jobs from a few driver threads, results in task order."""
-    if parallelism <= 1 or len(tasks) <= 1:
-        return [t() for t in tasks]
-    pool = ThreadPool(min(parallelism, len(tasks)))
-    try:
-        return pool.map(lambda t: t(), [inheritable_thread_target(spark)(t) for t in tasks])
-    finally:
-        pool.close()
-
-
 def _auc(model: Model, rows: DataFrame) -> float:
     """Area under the curve over all thresholds."""
     scorer = BinaryClassificationEvaluator(labelCol=LABEL, rawPredictionCol="rawPrediction", numBins=0)

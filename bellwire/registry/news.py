@@ -8,6 +8,7 @@ from bellwire import fixtures as fx
 from bellwire.functions import replies, text, timez
 from bellwire.functions.numbers import integer_id, numeric
 from bellwire.operators import dedup, maintenance as mt, scoring as sc, sessions as ss
+from bellwire.operators.ledger import lexicon_job
 from bellwire.plans.prepare import prepare_headlines
 from bellwire.registry.base import NY, entry, plain, r6, sql_r6, sql_text
 from bellwire.functions.text import BLANKS, WORD
@@ -204,12 +205,12 @@ def lm_sentiment(spark, sf):
 
 
 def resume_scoring(spark, sf):
-    """A first run over the English headlines is stored; the restart scores only the others."""
+    """A first run over the English headlines commits its chunks; the restart scores only the others."""
     news, words = _clean(spark, sf), fx.lexicon(spark)
-    done = materialise(sc.score_lexicon(news.where("lang = 'en'"), words), "scores")
+    folder = work_path(spark, "lexicon-job")
+    done = lexicon_job(news.where("lang = 'en'"), words, folder)
     todo = mt.pending(sc.unscored(news, done).withColumn("lm_sentiment_score", F.lit(None).cast("double")), "title_clean", "lm_sentiment_score")
-    more = sc.score_lexicon(todo, words)
-    return done.withColumn("run", F.lit(1)).unionByName(more.withColumn("run", F.lit(2))).select("id", "run", "lm_sentiment_score")
+    return lexicon_job(todo, words, folder).select("id", "run", "lm_sentiment_score")
 
 
 def score_batches(spark, sf):
