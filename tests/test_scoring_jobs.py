@@ -66,23 +66,26 @@ def test_lexicon_and_classifier_jobs_equal_one_pass(spark, tmp_path):
     assert sorted(map(str, job.collect())) == sorted(map(str, sc.score_batches(rows).collect()))
 
 
-def slow_client():
-    """Replies with the most calls it has seen in flight and the times of all attempts at a prompt."""
-    lock, state, attempts = threading.Lock(), {"now": 0, "most": 0}, {}
+def make_slow():
+    def slow_client():
+        """Replies with the most calls it has seen in flight and the times of all attempts at a prompt."""
+        lock, state, attempts = threading.Lock(), {"now": 0, "most": 0}, {}
 
-    def ask(prompt):
-        with lock:
-            state["now"] += 1
-            state["most"] = max(state["most"], state["now"])
-            attempts.setdefault(prompt, []).append(time.monotonic())
-        time.sleep(0.05)
-        with lock:
-            state["now"] -= 1
-            if len(attempts[prompt]) == 1 and len(prompt) % 2:
-                raise RuntimeError("busy")
-            return f"{state['most']} " + " ".join(f"{t:.4f}" for t in attempts[prompt])
+        def ask(prompt):
+            with lock:
+                state["now"] += 1
+                state["most"] = max(state["most"], state["now"])
+                attempts.setdefault(prompt, []).append(time.monotonic())
+            time.sleep(0.05)
+            with lock:
+                state["now"] -= 1
+                if len(attempts[prompt]) == 1 and len(prompt) % 2:
+                    raise RuntimeError("busy")
+                return f"{state['most']} " + " ".join(f"{t:.4f}" for t in attempts[prompt])
 
-    return ask
+        return ask
+
+    return slow_client
 
 
 def replies(frame):
@@ -95,13 +98,13 @@ def titles(spark, n):
 
 def test_calls_run_side_by_side(spark):
     start = time.monotonic()
-    got = replies(sc.score_remote(titles(spark, 60), slow_client, backoff=0.0, in_flight=6))
+    got = replies(sc.score_remote(titles(spark, 60), make_slow(), backoff=0.0, in_flight=6))
     assert len(got) == 60 and max(g[0] for g in got) == 6
     assert max(g[-1] for g in got) - min(g[1] for g in got) < 60 * 1.5 * 0.05 / 2 and time.monotonic() > start
 
 
 def test_retries_count_against_the_cap(spark):
-    got = replies(sc.score_remote(titles(spark, 24), slow_client, backoff=0.0, requests_per_minute=1200, workers=1, in_flight=10))
+    got = replies(sc.score_remote(titles(spark, 24), make_slow(), backoff=0.0, requests_per_minute=1200, workers=1, in_flight=10))
     times = sorted(t for g in got for t in g[1:])
     assert len(times) == 36 and max(g[0] for g in got) > 1
     # 1,200 a minute are 20 a second: 36 attempts need 35 intervals.
