@@ -52,13 +52,20 @@ class PieceModel:
     """Piece probabilities per language (pieces x languages)."""
 
     def __init__(self, pieces: dict[str, int], languages: list[str], probs: np.ndarray):
-        self.pieces, self.languages, self.probs = pieces, languages, probs
+        self.pieces, self.languages = pieces, languages
+        sizes = np.ones(len(probs))
+        sizes[list(pieces.values())] = [len(p) for p in pieces]
+        self.lift = _LIFT ** sizes[:, None]
+        self.teach(probs)
         self.longest = max(map(len, pieces), default=1)
         # Every beginning of a piece, with the number of the piece or -1.
         self.beginnings = {p[:n]: -1 for p in pieces for n in range(1, len(p))} | pieces
         self.numbers: dict[str, int] = {}
         self.table = np.zeros((1024, len(languages)))
 
+    def teach(self, probs: np.ndarray) -> None:
+        self.probs, self.lifted = probs, probs * self.lift
+
     def _grid(self, words: list[str], size: int) -> np.ndarray:
         """Piece number of every stretch (end, length - 1, word); -1 where there is none."""
         get = self.beginnings.get
@@ -89,7 +96,7 @@ class PieceModel:
                 at = grid[end, length - 1]
                 has = np.flatnonzero(at >= 0)
                 if len(has):
-                    out[end, has] += out[end - length, has] * (self.probs[at[has]] * _LIFT**length)
+                    out[end, has] += out[end - length, has] * self.lifted[at[has]]
         return out
 
     def expected(self, grid: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -103,7 +110,7 @@ class PieceModel:
                 at = grid[end, length - 1]
                 has = np.flatnonzero(at >= 0)
                 if len(has):
-                    back[end - length, has] += back[end, has] * (self.probs[at[has]] * _LIFT**length)
+                    back[end - length, has] += back[end, has] * self.lifted[at[has]]
         share = weight / ahead[-1]
         out = np.zeros_like(self.probs)
         for end in range(1, ends):
@@ -111,7 +118,7 @@ class PieceModel:
                 at = grid[end, length - 1]
                 has = np.flatnonzero(at >= 0)
                 if len(has):
-                    np.add.at(out, at[has], ahead[end - length, has] * (self.probs[at[has]] * _LIFT**length) * back[end, has] * share[has])
+                    np.add.at(out, at[has], ahead[end - length, has] * self.lifted[at[has]] * back[end, has] * share[has])
         return out
 
     def log_probs(self, words: list[str]) -> np.ndarray:
@@ -180,7 +187,7 @@ def fit(counts: dict[str, dict[str, int]], pieces: dict[str, int], rounds: int =
     grids = [(model._grid(list(w), size), np.array(list(w.values()))) for size, w in sizes.items()]
     for _ in range(rounds):
         seen = sum((model.expected(g, weight) for g, weight in grids), np.zeros_like(start)) + 0.01
-        model.probs = seen / seen.sum(axis=0)
+        model.teach(seen / seen.sum(axis=0))
     return model
 
 
