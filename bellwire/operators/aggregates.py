@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -148,27 +150,42 @@ def top_norms(df: DataFrame, group: str, id_col: str, vec: str, n: int = 3) -> D
     return top.groupBy(group).agg(padded.alias("top_norms"))
 
 
+def _softmax_state(rows: DataFrame, group: str, score: str) -> DataFrame:
+    """(_g, _top, _z) per group: the largest score, and the sum of exp(score - largest).
+
+    One pass over the rows makes a state (largest, scaled sum) per group and batch; only those are shuffled, and a
+    group's states are brought to its overall maximum before they are added.
+    """
+    schema = rows.select(F.col(group).alias("_g"), F.col(score).alias("_m"), F.col(score).alias("_z")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                keys = batch.column(0).dictionary_encode("encode")
+                at, value = keys.indices.to_numpy(), batch.column(1).to_numpy()
+                top = np.full(len(keys.dictionary), -np.inf)
+                np.maximum.at(top, at, value)
+                # Equal infinities weigh the same, as equal scores do.
+                sums = np.bincount(at, np.exp(np.where(value == top[at], 0.0, value - top[at])), len(top))
+                yield pa.RecordBatch.from_arrays([keys.dictionary.cast(batch.schema.field(0).type), pa.array(top), pa.array(sums)], names=["_g", "_m", "_z"])
+
+    states = materialise(rows.select(F.col(group).alias("_g"), F.col(score).alias("_m")).mapInArrow(run, schema), "softmax-states")
+    tops = states.groupBy("_g").agg(F.max("_m").alias("_top"))
+    scaled = F.when(F.col("_m") == F.col("_top"), F.col("_z")).otherwise(F.col("_z") * F.exp(F.col("_m") - F.col("_top")))
+    joined = states.join(tops.withColumnRenamed("_g", "_k"), F.col("_g").eqNullSafe(F.col("_k")))
+    return joined.groupBy("_g").agg(F.first("_top").alias("_top"), F.sum(scaled).alias("_z"))
+
+
 def softmax_weights(df: DataFrame, group: str, score: str, out: str = "weight") -> DataFrame:
     """Softmax of ``score`` within each group, shifted by the group maximum.
 
-    Both group statistics are pre-aggregated and joined back; no group is gathered in one task. Rows whose
-    score is NULL or NaN take no part.
+    The rows are read twice: for the group states, and to be joined with them. No group is gathered in one
+    task. Rows whose score is NULL or NaN, or whose group is NULL, take no part.
     """
-    rows = df.withColumn(score, numeric(score)).where(F.col(score).isNotNull())
-    tops = broadcast_if_small(
-        materialise(rows.groupBy(F.col(group).alias("_g")).agg(F.max(score).alias("_top")), "softmax-max")
-    )
-    shifted = rows.join(tops, F.col(group) == F.col("_g")).drop("_g").withColumn(
-        "_e", F.exp(F.col(score) - F.col("_top"))
-    )
-    sums = broadcast_if_small(
-        materialise(shifted.groupBy(F.col(group).alias("_g")).agg(F.sum("_e").alias("_z")), "softmax-sum")
-    )
-    return (
-        shifted.join(sums, F.col(group) == F.col("_g"))
-        .withColumn(out, F.col("_e") / F.col("_z"))
-        .drop("_g", "_top", "_e", "_z")
-    )
+    rows = df.withColumn(score, numeric(score)).where(F.col(score).isNotNull() & F.col(group).isNotNull())
+    state = broadcast_if_small(_softmax_state(rows, group, score))
+    shifted = F.when(F.col(score) == F.col("_top"), 1.0).otherwise(F.exp(F.col(score) - F.col("_top")))
+    return rows.join(state, F.col(group) == F.col("_g")).withColumn(out, shifted / F.col("_z")).drop("_g", "_top", "_z")
 
 
 def attention_pool(df: DataFrame, group: str, score: str, vec: str) -> DataFrame:

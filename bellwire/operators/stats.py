@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from itertools import combinations_with_replacement, product
+from collections.abc import Iterator, Sequence
+from functools import reduce
+from itertools import product
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
@@ -17,40 +22,77 @@ from bellwire.session import broadcast_if_small
 
 #: Fixed value: double precision epsilon, the bound log loss clips probabilities to.
 EPSILON = 2.220446049250313e-16
+#: Groups in which the states of tasks are merged before the last merge.
+_MERGE_GROUPS = 64
 
 
-def corr_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pairwise-complete Pearson correlations, long form (col_a, col_b, corr), in one pass.
+def _co_moments(x: np.ndarray, here: np.ndarray) -> np.ndarray:
+    """State of all column pairs over the rows where both are present: count, mean and square sum of the first, product sum.
 
-    Each row is laid out once per column pair and aggregated by pair: three small aggregates
-    compile to a tight loop, where one aggregate over all pairs is too large to. Partial
-    aggregation leaves one row per pair and task to shuffle. A constant column gives NULL.
+    Entry (i, j) of each part is about column i in the rows that also have j. Values are centred on a row of the
+    block before they are multiplied.
     """
-    names = [f"_x{i}" for i in range(len(columns))]
-    pairs = list(combinations_with_replacement(range(len(columns)), 2))
-    values = df.select(*[numeric(c).alias(n) for c, n in zip(columns, names)])
-    cells = F.array(
-        *[
-            F.struct(F.lit(k).alias("pair"), F.col(names[i]).alias("x"), F.col(names[j]).alias("y"))
-            for k, (i, j) in enumerate(pairs)
-        ]
-    )
-    both = F.col("x").isNotNull() & F.col("y").isNotNull()
-    laid_out = values.select(F.explode(cells).alias("_c")).select("_c.*")
-    joint = laid_out.select("pair", F.when(both, F.col("x")).alias("x"), F.when(both, F.col("y")).alias("y"))
-    r = joint.groupBy("pair").agg(
-        ratio(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y")).alias("corr")
-    )
+    centre = np.where(here, x, 0).sum(axis=0) / np.maximum(here.sum(axis=0), 1)
+    y, m = np.where(here, x - centre, 0.0), here.astype(float)
+    n = m.T @ m
+    sums = y.T @ m
+    mean = np.divide(sums, n, out=np.zeros_like(sums), where=n > 0)
+    return np.stack([n, centre[:, None] + mean, (y * y).T @ m - sums * mean, y.T @ y - sums * mean.T])
 
-    def cell(a: str, b: str) -> Column:
-        return F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"))
 
-    # Both (a, b) and (b, a) come out of one pair; the diagonal once.
-    places = F.array(
-        *[F.array(*[cell(columns[a], columns[b]) for a, b in sorted({(i, j), (j, i)})]) for i, j in pairs]
-    )
-    placed = r.select(F.explode(F.element_at(places, F.col("pair") + 1)).alias("_p"), "corr")
-    return placed.select("_p.*", "corr")
+def _merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The state of two sets of rows together."""
+    n = a[0] + b[0]
+    share = np.divide(b[0], n, out=np.zeros_like(n), where=n > 0)
+    gap = np.where((a[0] > 0) & (b[0] > 0), b[1] - a[1], 0.0)
+    mean = np.where(a[0] > 0, a[1] + gap * share, b[1])
+    return np.stack([n, mean, a[2] + b[2] + gap * gap * a[0] * share, a[3] + b[3] + gap * gap.T * a[0] * share])
+
+
+def corr_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Pairwise-complete Pearson correlations, long form (col_a, col_b, corr), in one pass.
+
+    Each task sums one state of co-moments of all pairs, so what is shuffled is one row per task, not one per
+    row or pair; states are merged in two rounds. Merging works on means and centred sums, which keeps small
+    differences between large values. A constant column, or a pair without a common row, gives NULL.
+    """
+    width, names = len(columns), list(columns)
+    values = df.select(*[numeric(c).alias(f"_x{i}") for i, c in enumerate(columns)])
+    schema = "part int, state array<double>"
+
+    def row(part: int, state: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([state.ravel()], pa.list_(pa.float64()))], names=["part", "state"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                here = np.stack([c.is_valid().to_numpy(zero_copy_only=False) for c in batch.columns], axis=1)
+                x = np.stack([c.fill_null(0.0).to_numpy(zero_copy_only=False) for c in batch.columns], axis=1)
+                state = _co_moments(x, here)
+                total = state if total is None else _merge(total, state)
+        if total is not None:
+            yield row(TaskContext.get().partitionId() % _MERGE_GROUPS, total)
+
+    def merged(group: pa.Table) -> np.ndarray:
+        states = [np.array(s).reshape(4, width, width) for s in group.column("state").to_pylist()]
+        return reduce(_merge, states)
+
+    def halfway(group: pa.Table) -> pa.Table:
+        return pa.Table.from_batches([row(0, merged(group))])
+
+    def finish(group: pa.Table) -> pa.Table:
+        n, _, square, product = merged(group)
+        spread = np.sqrt(square) * np.sqrt(square.T)
+        cells = [(a, b, float(product[i, j] / spread[i, j]) if spread[i, j] > 0 else None) for i, a in enumerate(names) for j, b in enumerate(names)]
+        columns = zip(zip(*cells), (pa.string(), pa.string(), pa.float64()))
+        return pa.table([pa.array(c, t) for c, t in columns], names=["col_a", "col_b", "corr"])
+
+    states = values.mapInArrow(run, schema).groupBy("part").applyInArrow(halfway, schema)
+    found = states.groupBy("part").applyInArrow(finish, "col_a string, col_b string, corr double")
+    # A table without rows has no states, but its pairs are answered all the same.
+    pairs = df.sparkSession.createDataFrame([(a, b) for a in names for b in names], "col_a string, col_b string")
+    return pairs.join(F.broadcast(found), ["col_a", "col_b"], "left")
 
 
 def linregress(df: DataFrame, x: str, y: str) -> DataFrame:

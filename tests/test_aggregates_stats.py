@@ -166,3 +166,47 @@ def test_nan_scores_take_no_part(spark):
     rows = spark.createDataFrame([("g", 0.0, [1.0, 3.0]), ("g", float("nan"), [9.0, 9.0]), ("g", 0.0, [3.0, 1.0])], "g string, s double, v array<double>")
     assert ag.attention_pool(rows, "g", "s", "v").first().pooled == [2.0, 2.0]
     assert [r.weight for r in ag.softmax_weights(rows, "g", "s").collect()] == [0.5, 0.5]
+
+
+def test_correlation_states_merge_to_the_whole_and_keep_small_differences(spark):
+    rng = np.random.default_rng(0)
+    x = rng.standard_normal((500, 3)) @ np.array([[1, 0.5, 0], [0, 1, 0.3], [0, 0, 1]])
+    here = rng.random(x.shape) < 0.8
+    states = [st._co_moments(np.where(h, p, 0), h) for p, h in zip(np.array_split(x, 7), np.array_split(here, 7))]
+    state = states[0]
+    for other in states[1:]:
+        state = st._merge(state, other)
+    assert np.allclose(state, st._co_moments(np.where(here, x, 0), here))
+    rows = [[float(v) + 1e9 if h else None for v, h in zip(*r)] for r in zip(x, here)] + [[None, None, None], [float("nan"), 1e9, None]]
+    df = spark.createDataFrame(rows, "a double, b double, c double").repartition(5)
+    got = {(r.col_a, r.col_b): r["corr"] for r in st.corr_matrix(df, ["a", "b", "c"]).collect()}
+    for i, a in enumerate("abc"):
+        for j, b in enumerate("abc"):
+            both = here[:, i] & here[:, j]
+            # About seven digits are left of values near 1e9 with a spread of 1.
+            assert got[a, b] == pytest.approx(np.corrcoef(x[both, i], x[both, j])[0, 1], abs=1e-6)
+    none = st.corr_matrix(df.where("false"), ["a", "b"]).collect()
+    assert len(none) == 4 and all(r["corr"] is None for r in none)
+
+
+def test_correlation_shuffles_one_row_per_task(spark):
+    df = spark.range(0, 4000, 1, 6).selectExpr("cast(id as double) a", "cast(id % 7 as double) b")
+    plan = st.corr_matrix(df, ["a", "b"])._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and plan.index("MapInArrow") > plan.index("FlatMapGroupsInArrow")
+
+
+def test_softmax_of_hot_groups_extremes_and_types(spark):
+    rows = [(1, i % 3 / 2.0, "x") for i in range(3000)] + [(2, 1000.0, "x"), (2, -1000.0, "x"), (3, float("-inf"), "x"), (3, float("-inf"), "x")]
+    rows += [(4, None, "x"), (4, float("nan"), "x"), (None, 1.0, "x"), (5, float("inf"), "x"), (5, 0.0, "x")]
+    df = spark.createDataFrame(rows, "g int, s double, _m string").repartition(7)
+    got = {}
+    for r in ag.softmax_weights(df, "g", "s").collect():
+        got.setdefault(r.g, []).append((r.s, r.weight))
+    assert set(got) == {1, 2, 3, 5} and all(sum(w for _, w in v) == pytest.approx(1) for v in got.values())
+    z = 1000 * sum(np.exp(k / 2) for k in range(3))
+    assert all(w == pytest.approx(np.exp(s) / z) for s, w in got[1])
+    assert sorted(got[2]) == [(-1000.0, 0.0), (1000.0, 1.0)] and sorted(got[5]) == [(0.0, 0.0), (float("inf"), 1.0)]
+    assert sorted(w for _, w in got[3]) == [0.5, 0.5]
+    named = df.withColumn("g", F.concat(F.lit("k"), F.col("g").cast("string")))
+    assert ag.softmax_weights(named, "g", "s").where("g = 'k2'").count() == 2
+    assert ag.softmax_weights(df.where("false"), "g", "s").count() == 0
