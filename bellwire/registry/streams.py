@@ -10,6 +10,7 @@ from bellwire.functions.text import clean_title
 from bellwire.operators import scoring as sc
 from bellwire.registry.base import entry, plain, rounded, sql_r6
 from bellwire.registry.news import LM_SQL
+from bellwire.session import work_path
 from bellwire.streaming import jobs
 
 
@@ -49,6 +50,17 @@ def stream_dedup(spark, sf):
     return jobs.stream_insert_or_ignore(docs, "url", "id")
 
 
+def stream_dedup_batches(spark, sf):
+    """The same ingest restarted twice: the ids arrive by their remainder, a micro-batch for each."""
+    news = fx.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), fx.url_column().alias("url"), "lang")
+    folder, sink, progress = (work_path(spark, f"stream-{label}") for label in ("parts", "sink", "progress"))
+    for part in range(3):
+        news.where(F.col("id") % 3 == part).write.parquet(f"{folder}/{part}")
+        arrived = spark.readStream.schema(news.schema).option("recursiveFileLookup", True).parquet(folder)
+        stored = jobs.stream_insert_or_ignore(arrived, "url", "id", sink, progress)
+    return stored
+
+
 def stream_dedup_bounded(spark, sf):
     """Users seen, with all repeats inside the delay, so the result equals the distinct users."""
     events = _stream(spark, sf, "events").select("user_id", "ts")
@@ -75,6 +87,11 @@ ENTRIES = {
         """select id, url, lang from (select *, row_number() over (partition by url order by id) as rn from fx_news)
            where rn = 1 or url is null""",
     ),
+    "stream_dedup_batches": entry(
+        stream_dedup_batches,
+        """select id, url, lang from (select *, row_number() over (partition by url order by id % 3, id) as rn from fx_news)
+           where rn = 1 or url is null""",
+    ),
     "stream_dedup_bounded": entry(stream_dedup_bounded, "select distinct user_id from events"),
     "stream_pre_market": entry(
         stream_pre_market,

@@ -2,7 +2,8 @@
 
 Every job takes a streaming DataFrame, drains what is available, and returns the batch read of its
 sink. Sinks are partitioned by micro-batch number, and a retried micro-batch overwrites its own
-partition, so a restart neither loses nor repeats rows.
+partition, so a restart neither loses nor repeats rows. Jobs that must know what is stored already keep
+their sink bucketed by key.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from bellwire.functions.numbers import numeric, ratio
 from bellwire.operators.dedup import insert_or_ignore
 from bellwire.operators.sessions import interval_join, keep_pre_market, session_windows
 from bellwire.session import work_path
+from bellwire.streaming.keyed import BUCKETS, KeyedSink, each_keyed_batch
 
 _BATCH = "batch_no"
 
@@ -78,14 +80,16 @@ def stream_score(
     id_col: str = "id",
     sink: str | None = None,
     checkpoint: str | None = None,
+    buckets: int = BUCKETS,
 ) -> DataFrame:
     """Score headlines as they arrive; an id already in the sink is not scored again."""
+    sink, checkpoint = _paths(stream.sparkSession, "stream-score", sink, checkpoint)
+    store = KeyedSink(stream.sparkSession, sink, schema, id_col, id_col, buckets)
 
-    def step(batch: DataFrame, stored: DataFrame) -> DataFrame:
-        fresh = insert_or_ignore(stored, batch, [id_col], id_col)
-        return score(fresh)
+    def step(batch: DataFrame, seen: DataFrame) -> DataFrame:
+        return score(insert_or_ignore(seen, batch, [id_col], id_col))
 
-    return each_batch(stream, schema, step, *_paths(stream.sparkSession, "stream-score", sink, checkpoint))
+    return each_keyed_batch(stream, store, step, _drain, checkpoint)
 
 
 def stream_insert_or_ignore(
@@ -94,14 +98,16 @@ def stream_insert_or_ignore(
     order: str,
     sink: str | None = None,
     checkpoint: str | None = None,
+    buckets: int = BUCKETS,
 ) -> DataFrame:
     """Unique-key ingest: first row of each key over all micro-batches; NULL keys all pass."""
+    sink, checkpoint = _paths(stream.sparkSession, "stream-dedup", sink, checkpoint)
+    store = KeyedSink(stream.sparkSession, sink, stream.schema, key, order, buckets)
 
-    def step(batch: DataFrame, stored: DataFrame) -> DataFrame:
-        return insert_or_ignore(stored, batch, [key], order)
+    def step(batch: DataFrame, seen: DataFrame) -> DataFrame:
+        return insert_or_ignore(seen, batch, [key], order)
 
-    paths = _paths(stream.sparkSession, "stream-dedup", sink, checkpoint)
-    return each_batch(stream, stream.schema, step, *paths)
+    return each_keyed_batch(stream, store, step, _drain, checkpoint)
 
 
 def stream_dedup_bounded(
