@@ -18,7 +18,8 @@ from pyspark.sql import types as T
 from bellwire.functions.numbers import ratio
 from bellwire.functions.replies import PROMPTS, format_prompt, parse_score
 from bellwire.functions.text import blank_if_null, tokens
-from bellwire.session import broadcast_if_small
+from bellwire.operators.lookup import salted_join
+from bellwire.session import broadcast_if_small, materialise
 from bellwire.sources.lexicon import positive_first
 
 CLASSES = ("pos", "neutral", "neg")
@@ -29,12 +30,17 @@ def lexicon_hits(news: DataFrame, lexicon: DataFrame, id_col: str, text: str) ->
 
     Only id and token travel. A headline's tokens leave one task, so the partial sums already
     shrink to one row per headline before the only shuffle; the outer explode and join keep
-    headlines without hits in the same pass.
+    headlines without hits in the same pass. The lexicon is stored once and counted: beyond the broadcast
+    limit a token with a large share of all tokens is spread over tasks by headline.
     """
     blank = F.coalesce(F.col(text), F.lit("")) == ""
     exploded = news.select(id_col, blank.alias("_blank"), F.explode_outer(tokens(text)).alias("_token"))
-    words = broadcast_if_small(positive_first(lexicon))
-    looked_up = exploded.join(words, F.col("_token") == F.col("word"), "left")
+    words = materialise(positive_first(lexicon), "lexicon")
+    side = broadcast_if_small(words)
+    if side is words:
+        looked_up = salted_join(exploded, words, "_token", "word", [id_col])
+    else:
+        looked_up = exploded.join(side, F.col("_token") == F.col("word"), "left")
     return looked_up.groupBy(id_col).agg(
         F.count_if(F.col("polarity") > 0).alias("n_pos"),
         F.count_if(F.col("polarity") < 0).alias("n_neg"),

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from bellwire.functions.timez import NEW_YORK, at_local_time, is_weekday, to_local
+from bellwire.operators.lookup import salted_join
 from bellwire.session import BROADCAST_MAX_ROWS, broadcast_if_small
 
 OPEN = (9, 30)
@@ -107,7 +108,12 @@ def _session_join(news, at, calendar, strict_weekdays, how, max_broadcast_rows):
     inside = (minute_of_day >= OPEN[0] * 60 + OPEN[1]) & (minute_of_day < CLOSE[0] * 60 + CLOSE[1])
     match = (F.to_date("_local") == F.col("_session_day")) & inside
     keyed = news.withColumn("_local", to_local(at))
-    return keyed.join(broadcast_if_small(sessions, max_broadcast_rows), match, how).drop("_local")
+    side = broadcast_if_small(sessions, max_broadcast_rows)
+    if side is sessions:
+        # Only rows inside the session hours of their day look the day up, spread within a hot day.
+        dated = keyed.withColumn("_day", F.when(inside, F.to_date("_local")))
+        return salted_join(dated, sessions, "_day", "_session_day", news.columns, how).drop("_local", "_day")
+    return keyed.join(side, match, how).drop("_local")
 
 
 def exclude_market_hours(

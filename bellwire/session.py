@@ -5,12 +5,18 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A side with at most this many (narrow) rows may be broadcast; above it joins shuffle and
 #: adaptive execution splits skewed partitions.
 BROADCAST_MAX_ROWS = 200_000
+#: And at most about this many bytes, for sides whose rows are wide.
+BROADCAST_MAX_BYTES = 128 << 20
+
+_NESTED_TYPES = (T.ArrayType, T.MapType, T.StructType)
+_LONG_TYPES = (T.StringType, T.BinaryType, *_NESTED_TYPES)
 
 _SQL_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -81,12 +87,21 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting that ``df`` has at most ``max_rows`` rows.
+def _row_bytes(df: DataFrame) -> Column:
+    """About the bytes of one row: fixed widths, plus the length of texts, binaries and nested values."""
+    fixed = sum(8 for f in df.schema if not isinstance(f.dataType, _LONG_TYPES))
+    texts = [F.octet_length(f"`{f.name}`") for f in df.schema if isinstance(f.dataType, (T.StringType, T.BinaryType))]
+    nested = [F.length(F.to_json(F.struct(f"`{f.name}`"))) for f in df.schema if isinstance(f.dataType, _NESTED_TYPES)]
+    return sum((F.coalesce(part, F.lit(0)) for part in texts + nested), F.lit(fixed + 16).cast("long"))
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+    """Hint a broadcast only after measuring that ``df`` has at most ``max_rows`` rows and about ``max_bytes``.
 
-    The count sends one row per task. A larger side keeps no hint: the join then shuffles on
-    its keys and adaptive execution splits the skewed partitions.
+    The count sends one row per task. A larger side is returned as it is, without a hint: the join then shuffles
+    on its keys and adaptive execution splits the skewed partitions.
     """
-    if df.count() > max_rows:
+    rows, size = df.agg(F.count("*"), F.sum(_row_bytes(df))).first()
+    if rows > max_rows or (size or 0) > max_bytes:
         return df
     return F.broadcast(df)
