@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from functools import reduce
 from itertools import product
+from operator import mul
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -118,12 +117,71 @@ def linregress(df: DataFrame, x: str, y: str) -> DataFrame:
     )
 
 
-def linregress_p_value(df: DataFrame, x: str, y: str) -> float:
-    """Two-sided p-value of the slope, from the normal-equation solver's summary."""
-    rows = df.select(numeric(x).alias("_x"), numeric(y).alias("label")).na.drop()
-    frame = VectorAssembler(inputCols=["_x"], outputCol="features").transform(rows)
-    model = LinearRegression(solver="normal", regParam=0.0).fit(frame)
-    return float(model.summary.pValues[0])
+def _half_gamma_ratio(a: Column, shift: int = 16) -> Column:
+    """Gamma(a + 1/2) / Gamma(a): the recurrence moves the argument up, where a short asymptotic series is exact."""
+    z = a + shift
+    series = 1 - 1 / (8 * z) + 1 / (128 * z**2) + 5 / (1024 * z**3) - 21 / (32768 * z**4) - 399 / (262144 * z**5)
+    steps = reduce(mul, [(a + k) / (a + k + 0.5) for k in range(shift)])
+    return F.sqrt(z) * series * steps
+
+
+def _beta_fraction(x: Column, a: Column, b: Column) -> Column:
+    """Continued fraction of the incomplete beta function, in the modified Lentz form.
+
+    It settles within about the square root of the larger parameter; every step is one turn of a higher-order function.
+    """
+    tiny = F.lit(1e-300)
+
+    def safe(value: Column) -> Column:
+        return F.when(F.abs(value) < tiny, tiny).otherwise(value)
+
+    def turn(state: Column, term: Column) -> Column:
+        d = 1 / safe(1 + term * state["d"])
+        c = safe(1 + term / state["c"])
+        return F.struct(d.alias("d"), c.alias("c"), (state["h"] * d * c).alias("h"))
+
+    def step(state: Column, k: Column) -> Column:
+        m = k.cast("double")
+        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        return turn(turn(state, even), odd)
+
+    first = 1 / safe(1 - (a + b) * x / (a + 1))
+    start = F.struct(first.alias("d"), F.lit(1.0).alias("c"), first.alias("h"))
+    turns = (60 + 6 * F.sqrt(F.greatest(a, b))).cast("int")
+    return F.aggregate(F.sequence(F.lit(1), turns), start, step)["h"]
+
+
+def t_two_sided(t: Column, freedom: Column) -> Column:
+    """P(|T| >= |t|) of Student's t with ``freedom`` degrees, as a column expression.
+
+    It is the regularised incomplete beta function I_x(freedom / 2, 1 / 2) at x = freedom / (freedom + t^2); the
+    side on which the continued fraction converges fast is taken. Without freedom, or for a NULL, it is NULL;
+    for an infinite t it is 0.
+    """
+    n, squared = freedom.cast("double"), t * t
+    a, x, y = n / 2, n / (n + squared), squared / (n + squared)
+    # x^a (1 - x)^(1/2) / B(a, 1/2), the power taken through log1p so that it holds for t near 0 and many degrees.
+    front = F.exp(-a * F.log1p(squared / n)) * F.sqrt(y) * _half_gamma_ratio(a) / math.sqrt(math.pi)
+    half = F.lit(0.5)
+    tail = F.when(x < (a + 1) / (a + 2.5), front / a * _beta_fraction(x, a, half))
+    tail = tail.otherwise(1 - front / half * _beta_fraction(y, half, a))
+    return F.when(n > 0, F.when(F.abs(t) == float("inf"), 0.0).when(t == 0, 1.0).otherwise(tail))
+
+
+def linregress_test(df: DataFrame, x: str, y: str) -> DataFrame:
+    """The row of ``linregress`` with the two-sided p-value of a zero slope; a perfect fit has 0.
+
+    With fewer than three rows, or a constant x or y, there is no test and the p-value is NULL.
+    """
+    fit = linregress(df, x, y)
+    t = F.when(F.col("stderr") > 0, F.col("slope") / F.col("stderr")).when(F.col("slope") != 0, float("inf"))
+    return fit.withColumn("p_value", F.when(F.col("r_value").isNotNull(), t_two_sided(t, F.col("n") - 2)))
+
+
+def linregress_p_value(df: DataFrame, x: str, y: str) -> float | None:
+    """Two-sided p-value of the slope."""
+    return linregress_test(df, x, y).first()["p_value"]
 
 
 def regression_points(df: DataFrame, x: str, y: str, keep: Sequence[str] = ()) -> DataFrame:

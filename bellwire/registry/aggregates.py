@@ -267,10 +267,10 @@ def linregress_points(spark, sf):
 
 
 def linregress_p_value(spark, sf):
-    """Slope test of sentiment against price change, joined to the exact regression row."""
+    """Slope test of sentiment against price change."""
     days = px.pct_change_close(fx.market(spark, sf))
-    p = st.linregress_p_value(days, "avg_sentiment", "percent_change_close")
-    return st.linregress(days, "avg_sentiment", "percent_change_close").withColumn("p_value", F.lit(p))
+    out = st.linregress_test(days, "avg_sentiment", "percent_change_close")
+    return rounded(out, *[c for c in out.columns if c != "n"])
 
 
 def class_weights(spark, sf):
@@ -505,7 +505,22 @@ ENTRIES = {
             f as (select regr_slope(y, x) as a, regr_intercept(y, x) as b from q)
             select cast(trade_date as varchar) as trade_date, {sql_r6('x')} as x, {sql_r6('y')} as y, {sql_r6('a * x + b')} as fitted from q, f""",
     ),
-    "linregress_p_value": entry(linregress_p_value),
+    # The tail of Student's t by Simpson's rule over the angle atan(t / sqrt(v)), without gamma functions.
+    "linregress_p_value": entry(
+        linregress_p_value,
+        f"""with p as (select avg_sentiment as x, (close_price - lag(close_price) over (order by trade_date))
+               / lag(close_price) over (order by trade_date) * 100 as y from fx_market),
+            q as (select * from p where x is not null and y is not null),
+            m as (select count(*) as n, regr_slope(y, x) as slope, regr_intercept(y, x) as intercept, corr(y, x) as r,
+              var_pop(x) as vx, var_pop(y) as vy from q),
+            e as (select *, sqrt((1 - r * r) * vy / vx / (n - 2)) as se, n - 2 as v from m),
+            a as (select v, atan(abs(slope / se) / sqrt(v)) as lo, pi() / 2 as hi, i,
+              case when i in (0, 40000) then 1 when i % 2 = 1 then 4 else 2 end as w from e, range(0, 40001) g(i)),
+            s as (select sum(w * pow(greatest(cos(lo + (hi - lo) * i / 40000), 0), v - 1)) * any_value(hi - lo)
+              / (sum(w * pow(greatest(cos(hi * i / 40000), 0), v - 1)) * any_value(hi)) as p_value from a)
+            select n, {sql_r6('slope')} as slope, {sql_r6('intercept')} as intercept, {sql_r6('r')} as r_value, {sql_r6('r * r')} as r_squared,
+              {sql_r6('se')} as stderr, {sql_r6('p_value')} as p_value from e, s""",
+    ),
     "class_weights": entry(
         class_weights,
         f"""select label, count(*) as n, {sql_r6('(select count(*) from fx_scored) / (2.0::double * count(*))')} as weight
