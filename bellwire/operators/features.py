@@ -134,6 +134,12 @@ class FeatureSpec:
 
 def feature_frame(daily: DataFrame, spec: FeatureSpec) -> tuple[DataFrame, list[str]]:
     """Model rows with ``trade_date``, ``increase``, ``split`` and the feature columns, and their names."""
+    frame, names, _ = fit_feature_frame(daily, spec)
+    return frame, names
+
+
+def fit_feature_frame(daily: DataFrame, spec: FeatureSpec) -> tuple[DataFrame, list[str], Imputation]:
+    """``feature_frame`` with the means it learnt for missing values."""
     need = ["trade_date", "increase", *spec.sentiment]
     need += ["daily_return"] if spec.lags_from == "returns" else ["open_price", "close_price"]
     df = require_columns(daily, need).where(F.col("increase").isNotNull())
@@ -146,11 +152,13 @@ def feature_frame(daily: DataFrame, spec: FeatureSpec) -> tuple[DataFrame, list[
     fill = list(spec.sentiment) + (lags if spec.lag_nulls == "impute" else [])
     if spec.lag_nulls == "drop":
         df = df.na.drop(subset=lags)
+    imputation = Imputation({})
     if fill:
         scope = F.col("split") == "train" if spec.impute_scope == "train" else None
-        df = fit_imputation(df, fill, scope).transform(df)
+        imputation = fit_imputation(df, fill, scope)
+        df = imputation.transform(df)
     names = [*spec.sentiment, *lags]
     if spec.with_interactions:
         df, added = interactions(df, spec.sentiment, lags)
         names += added
-    return df.select("trade_date", "increase", "split", *[_q(n) for n in names]), names
+    return df.select("trade_date", "increase", "split", *[_q(n) for n in names]), names, imputation

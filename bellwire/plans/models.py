@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 from bisect import bisect_left
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from datetime import date, timedelta
 from itertools import product
 
@@ -28,10 +28,11 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bellwire.operators.features import FeatureSpec, Scaling, feature_frame, fit_scaling
+from bellwire.operators.features import FeatureSpec, Scaling, fit_feature_frame, fit_scaling
 from bellwire.operators.sequence import number_rows, time_series_folds
 from bellwire.operators.stats import auc_by_rank, auc_per_group, metrics_binary, predicted_label
 from bellwire.plans import forests
+from bellwire.plans.artefacts import whole_pipeline
 from bellwire.plans.logistic import Problem, fit_many, positioned, scores
 from bellwire.plans.networks import Network, refit_scores
 from bellwire.plans.parallel import run_side_by_side
@@ -311,6 +312,8 @@ class Fitted:
     frame: DataFrame
     search: DataFrame | None = None
     cached: DataFrame | None = None
+    spec: FeatureSpec | None = None
+    means: dict[str, float | None] = field(default_factory=dict)
 
     @property
     def model(self) -> Model:
@@ -359,6 +362,13 @@ class Fitted:
         self.pipeline.write().overwrite().save(path)
         return path
 
+    def save_whole(self, path: str) -> str:
+        """The artefact with lags, imputation means and interactions before the scaling: it takes raw daily rows."""
+        if self.spec is None:
+            raise ValueError("the model was fitted on ready features")
+        whole_pipeline(self.spec, self.means, self.pipeline).write().overwrite().save(path)
+        return path
+
     def save_predictions(self, path: str) -> str:
         """Predictions as CSV with a header, in date order."""
         self.predict().orderBy("trade_date").write.option("header", True).csv(path)
@@ -411,7 +421,8 @@ def fit_family(
     """Prepare features, search the grid over time-ordered folds, refit the best on all train rows."""
     fam = FAMILIES[family]
     options = {**fam.spec[variant], **spec, "sentiment": tuple(sentiment)}
-    frame, names = feature_frame(daily, FeatureSpec(**options))
+    chosen = FeatureSpec(**options)
+    frame, names, imputation = fit_feature_frame(daily, chosen)
     frame = sized(materialise(frame, "features"))
     scaling = fit_scaling(frame, names, F.col("split") == "train") if fam.scale else None
     inputs = _inputs(names, scaling)
@@ -433,7 +444,7 @@ def fit_family(
     estimator = fam.build(params, weight_sum)
     model = forests.fit_forest(daily.sparkSession, rows, params, SEED, estimator, fit_rows) if nested else estimator.fit(fit_rows)
     train.unpersist()
-    return Fitted(PipelineModel([*inputs, model]), list(names), params, scaling, frame, search, frame)
+    return Fitted(PipelineModel([*inputs, model]), list(names), params, scaling, frame, search, frame, chosen, imputation.means)
 
 
 # -- walk-forward and day-vector models -----------------------------------------------------------

@@ -88,6 +88,17 @@ def model_roundtrip(spark, sf):
     return plain(both.select("trade_date", F.abs(F.col("predicted_proba") - F.col("reloaded")).alias("difference")))
 
 
+def model_roundtrip_raw(spark, sf):
+    """The reloaded artefact on raw daily rows, some without sentiment, against the model in memory on its features."""
+    gap = F.dayofmonth("trade_date") % 7 == 0
+    daily = materialise(fx.market(spark, sf).withColumn("avg_sentiment", F.when(~gap, F.col("avg_sentiment"))), "gaps")
+    fitted = ml.fit_family(daily, "gbt", "consolidated", ["avg_sentiment"], **_DATES)
+    path = fitted.save_whole(ml.artefact_path(spark, "gbt", "consolidated", "gaps", "whole"))
+    theirs = ml.load_model(path).transform(daily).select("trade_date", vector_to_array("probability")[1].alias("reloaded"))
+    both = fitted.predict().join(theirs, "trade_date")
+    return plain(both.select("trade_date", F.abs(F.col("predicted_proba") - F.col("reloaded")).alias("difference")))
+
+
 def experiment_matrix(spark, sf):
     """Every family, variant and scorer at the full grids; powers of the sentiment stand in for the scorers."""
     daily = _market(spark, sf)
@@ -160,6 +171,12 @@ ENTRIES = {
     "model_report": entry(model_report),
     "predictions_csv": entry(predictions_csv, _CHECKED_SQL),
     "model_roundtrip": entry(model_roundtrip, f"select cast(trade_date as varchar) as trade_date, 0.0::double as difference from ({_TEST_DAYS})"),
+    # Lags that are missing are imputed in this variant, so every test day with a label has a row.
+    "model_roundtrip_raw": entry(
+        model_roundtrip_raw,
+        f"""select cast(trade_date as varchar) as trade_date, 0.0::double as difference from fx_market
+            where increase is not null and trade_date between date '{_DATES["test"][0]}' and date '{_DATES["test"][1]}'""",
+    ),
     "experiment_matrix": entry(experiment_matrix),
     "walk_forward": entry(walk_forward),
     "embedding_forest": entry(embedding_forest),

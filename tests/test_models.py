@@ -61,6 +61,32 @@ def test_reloaded_model_predicts_the_same_from_unscaled_rows(daily, tmp_path):
     assert len(a) > 40 and a == b
 
 
+@pytest.mark.parametrize(
+    "family, grid, spec",
+    [
+        ("lr", {"C": [1.0], "l1_ratio": [0.0]}, {}),
+        ("lr", {"C": [1.0], "l1_ratio": [0.0]}, {"lags_from": "prices", "lag_nulls": "impute", "impute_scope": "all"}),
+        ("rf", {"n_estimators": [5], "max_depth": [3]}, {}),
+    ],
+)
+def test_whole_artefact_scores_raw_days_as_the_features_do(spark, daily, tmp_path, family, grid, spec):
+    """Missing sentiment, a zero open, a day without label, and the coming day."""
+    odd = daily.withColumn("open_price", F.when(F.dayofyear("trade_date") == 190, 0.0).otherwise(F.col("open_price")))
+    odd = odd.withColumn("close_price", F.when(F.dayofyear("trade_date") != 200, F.col("close_price")))
+    odd = add_returns(odd.select("trade_date", "open_price", "close_price", "avg_sentiment")).withColumn("extra", F.lit("x"))
+    fitted = ml.fit_family(odd, family, "consolidated", ["avg_sentiment"], grid=grid, **{**DATES, **spec})
+    again = ml.load_model(fitted.save_whole(str(tmp_path / "whole")))
+    coming = spark.createDataFrame([(date(2021, 1, 1),)], "trade_date date")
+    raw = odd.unionByName(coming, allowMissingColumns=True)
+    got = {r.trade_date: float(r.probability[1]) for r in again.transform(raw).collect()}
+    want = {r.trade_date: r.predicted_proba for r in fitted.predict().collect()}
+    assert len(want) > 40 and {d: got[d] for d in want} == want
+    assert 0 <= got[date(2021, 1, 1)] <= 1
+    features = again.stages[0].transform(raw).where("trade_date = date'2021-01-01'").first()
+    returns = [r.daily_return for r in odd.where("daily_return is not null").orderBy(F.desc("trade_date")).limit(3).collect()]
+    assert [features[f"prev_return_t-{k}"] for k in (1, 2, 3)] == pytest.approx(returns)
+
+
 def test_logistic_runs_use_five_lags(daily):
     for variant, spec in ml.FAMILIES["lr"].spec.items():
         names = feature_frame(daily, FeatureSpec(**{**spec, "sentiment": ("avg_sentiment",), **DATES}))[1]
