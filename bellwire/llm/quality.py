@@ -2,9 +2,9 @@
 
 Words are the stretches between the blanks 0x20 and 0x09-0x0D. Words and pairs of neighbouring words
 are hashed into a fixed number of buckets. Two multinomials over the buckets are counted in one pass:
-the raw one over every row, the trusted one over a bounded sample of the rows labelled good (at most
-``TRUSTED`` of them, chosen by hash). A text's verdict is the mean log ratio of trusted to raw
-over its buckets against a fixed threshold, so it does not depend on length or on other rows' scores.
+the raw one over every row, the trusted one over every row labelled good, so both grow with the input.
+A text's verdict is the mean log ratio of trusted to raw over its buckets against a fixed threshold, so it
+does not depend on length or on other rows' scores.
 
 Null texts have no words. A text without words has score 0 and fails the base rules. Without trusted
 rows every score is 0. Repeated rows are counted and judged like any other.
@@ -17,7 +17,11 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BUCKETS, TRUSTED, SMOOTH = 1 << 15, 20_000, 1.0
+from bellwire.session import broadcast_if_small, materialise
+
+BUCKETS, SMOOTH = 1 << 15, 1.0
+#: Trusted ids may be broadcast up to this many (12 bytes each); beyond, whole texts are shuffled to them.
+BROADCAST_IDS = 1_000_000
 #: Mean log ratio from which a text is kept.
 THRESHOLD = -0.18
 WINDOW = 8
@@ -49,18 +53,20 @@ def word_buckets(hashes: Column, buckets: int = BUCKETS) -> Column:
     return F.concat(single, pair)
 
 
-def hashed_words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, text, and the hash of every word in order."""
-    words = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("t"))
+def texts_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("t"))
+
+
+def hashed_words(words: DataFrame) -> DataFrame:
+    """The hash of every word of ``t`` in order, as another column."""
     return words.withColumn("hashes", F.transform(words_of(F.col("t")), lambda w: F.xxhash64(w)))
 
 
-def ratio_weights(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, trusted: int, buckets: int) -> list[float]:
+def ratio_weights(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, buckets: int) -> list[float]:
     """Log ratio of trusted to raw per bucket; one number per bucket comes to the driver."""
     good = labels.where((F.col(label_col) == 1) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id")).distinct()
-    some = good.orderBy(F.xxhash64("id"), "id").limit(trusted)
-    # At most ``trusted`` ids.
-    rows = hashed_words(docs, id_col, text_col).join(F.broadcast(some.withColumn("good", F.lit(1))), "id", "left")
+    good = broadcast_if_small(materialise(good.withColumn("good", F.lit(1)), "trusted"), BROADCAST_IDS)
+    rows = hashed_words(texts_of(docs, id_col, text_col).join(good, "id", "left"))
     seen = rows.select("good", F.explode(word_buckets(F.col("hashes"), buckets)).alias("b"))
     counts = {r.b: (r.raw, r.trusted or 0) for r in seen.groupBy("b").agg(F.count("*").alias("raw"), F.sum("good").alias("trusted")).collect()}
     raw, target = sum(x for x, _ in counts.values()), sum(y for _, y in counts.values())
@@ -81,11 +87,10 @@ def quality(
     text_col: str = "text",
     label_col: str = "quality",
     threshold: float = THRESHOLD,
-    trusted: int = TRUSTED,
     buckets: int = BUCKETS,
 ) -> DataFrame:
     """Per row: id, the counts, ``base_failed``, ``score`` and ``kept``."""
-    weights = literal_array(ratio_weights(docs, labels, id_col, text_col, label_col, trusted, buckets))
+    weights = literal_array(ratio_weights(docs, labels, id_col, text_col, label_col, buckets))
     text = F.coalesce(F.col("t"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: without(x, _BLANKS) != "")
     windows = F.when(
@@ -93,7 +98,7 @@ def quality(
         F.transform(F.sequence(F.lit(1), F.size("hashes") - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("hashes", i, WINDOW))),
     ).otherwise(F.expr("cast(array() as array<bigint>)"))
     # Arrays that a lambda looks into are columns of their own, so they are computed once per row.
-    rows = hashed_words(docs, id_col, text_col)
+    rows = hashed_words(texts_of(docs, id_col, text_col))
     rows = rows.select(
         "id",
         "hashes",
