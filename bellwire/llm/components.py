@@ -16,8 +16,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``node``, ``component`` (the smallest node reachable) for every node that has a link.
 
     Self-links, repeated links and nulls are ignored. Each node keeps one row per distinct smaller
-    neighbour while the stars shrink, so a hub with very many links is met by partial aggregation
-    and by joins that adaptive execution may split.
+    neighbour while the stars shrink. A hub with very many links is met by partial aggregation; the
+    smallest neighbours are written before they are joined, as adaptive execution splits a hub's rows in such
+    a join but not in one that shares its shuffle with the aggregation.
     """
     links = links.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).where("hi > lo").distinct()
     links = materialise(links, "links")
@@ -27,10 +28,12 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             links.select(F.col("lo").alias("n"), F.col("hi").alias("m"))
         )
         least = both.groupBy("n").agg(F.min("m").alias("least")).select("n", F.least("n", "least").alias("least"))
+        least = materialise(least, "least")
         large = both.where("m > n").join(least, "n").select(F.col("m").alias("hi"), F.col("least").alias("lo")).distinct()
         large = materialise(large, "links")
         # Small star: smaller neighbours and the node itself move to the smallest one.
         low = large.groupBy("hi").agg(F.min("lo").alias("least"), F.count("*").alias("k"))
+        low = materialise(low, "least")
         moved = large.join(low.where("k > 1"), "hi").where("lo > least").select(F.col("lo").alias("hi"), F.col("least").alias("lo"))
         small = materialise(low.select("hi", F.col("least").alias("lo")).unionByName(moved).distinct(), "links")
         # Settled once every node has one smaller neighbour and no such neighbour has one itself.
