@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bellwire.llm.sample import carried, remainder, sample_ids
-from bellwire.llm.state import per_worker
+from bellwire.llm.state import lean, per_worker
 from bellwire.session import broadcast_if_small
 
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -248,4 +248,4 @@ def predict(
 
     more, more_schema = carried(docs, list(carry))
     rows = docs.select(F.col(id_col).cast("bigint").alias(id_col), (remainder(id_col, 3) == 1).alias("held_out"), F.col(text_col).cast("string").alias(text_col), *more)
-    return rows.mapInArrow(run, f"{id_col} bigint, held_out boolean, lang_pred string, score double{more_schema}")
+    return rows.mapInArrow(lambda batches: lean(run(batches)), f"{id_col} bigint, held_out boolean, lang_pred string, score double{more_schema}")

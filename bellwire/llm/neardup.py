@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from bellwire.llm.components import components
 from bellwire.llm.shingles import _U, mix, shingle_sets
+from bellwire.llm.state import lean
 from bellwire.operators.sequence import number_rows
 from bellwire.session import materialise
 
@@ -116,7 +117,8 @@ def signature_table(docs: DataFrame, width: int, per_band: int, id_col: str, tex
             )
 
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return texts.mapInArrow(run, "id bigint, n bigint, f1 bigint, f2 bigint, bands array<bigint>")
+    # Tables of stages before would wait here unused.
+    return texts.mapInArrow(lambda batches: lean(run(batches), "tables"), "id bigint, n bigint, f1 bigint, f2 bigint, bands array<bigint>")
 
 
 def forest(sets: list[np.ndarray], known: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
@@ -172,7 +174,7 @@ def _verify(rows: DataFrame, tasks: DataFrame, num: int, den: int) -> DataFrame:
     sides = tasks.select("cluster", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
     # Tasks of one cluster are few per block; the number is salted by (i, j) already.
     joined = sides.join(rows, ["cluster", "block"]).select("cluster", "i", "j", "rep", "comp", "hashes")
-    return joined.groupBy("cluster", "i", "j").applyInArrow(lambda t: pa.Table.from_batches(list(run(t.to_batches()))), "a bigint, b bigint")
+    return joined.groupBy("cluster", "i", "j").applyInArrow(lambda t: pa.Table.from_batches(list(lean(run(t.to_batches())))), "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -214,7 +216,7 @@ def _verified_links(docs: DataFrame, classes: DataFrame, num: int, den: int, wid
             columns = [batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["rep", "cluster", "n", "hashes"]).filter(keep)
 
-    sets = wanted.select("rep", "cluster", "text").mapInArrow(run, "rep bigint, cluster bigint, n bigint, hashes binary")
+    sets = wanted.select("rep", "cluster", "text").mapInArrow(lambda batches: lean(run(batches), "tables"), "rep bigint, cluster bigint, n bigint, hashes binary")
     sets = materialise(sets, "sets")
 
     # First pass: blocks of similar size, each with itself and the next.

@@ -7,11 +7,15 @@ A worker that is lost or not reused just builds them again.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import sys
 import types
-from collections.abc import Callable, Hashable
+from collections.abc import Callable, Hashable, Iterator
 from typing import TypeVar
 
+import pyarrow as pa
+
 T = TypeVar("T")
 
 
@@ -27,3 +31,18 @@ def per_worker(key: Hashable, make: Callable[[], T], slot: str | None = None) ->
         held.pop(slot, None)
         held[slot] = (key, make())
     return held[slot][1]
+
+
+def lean(out: Iterator[T], *stale: str) -> Iterator[T]:
+    """``out``; before it the values of the ``stale`` slots go, after it free memory goes back to the system.
+
+    A worker waits for more tasks while other stages run, and keeps what its allocators hold until then.
+    """
+    held = sys.modules.setdefault("_bellwire_worker_state", types.ModuleType("_bellwire_worker_state")).__dict__
+    for slot in stale:
+        held.pop(slot, None)
+    yield from out
+    pa.default_memory_pool().release_unused()
+    # Only glibc has it; elsewhere memory goes back as the allocator likes.
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)

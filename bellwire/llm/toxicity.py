@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from bellwire.llm.bpe import Known
 from bellwire.llm.language import LETTERS
 from bellwire.llm.sample import carried, remainder, sample_ids
-from bellwire.llm.state import per_worker
+from bellwire.llm.state import lean, per_worker
 
 PER_CLASS, MARKS, VOTERS = 4000, 160, 12
 _STEMS = (4, 5)
@@ -144,7 +144,7 @@ def mine_marks(rows: DataFrame, sizes: dict[int, int], most: int = MARKS, suppor
         yield pa.RecordBatch.from_arrays([pa.array(others, pa.string()), pa.array([0] * len(others), pa.int64()), pa.array([seen[0][m] for m in others], pa.int64())], names=["mark", "one", "zero"])
 
     n1, n0 = float(sizes[1]), float(sizes[0])
-    counts = rows.mapInArrow(count, "mark string, one bigint, zero bigint").groupBy("mark").agg(F.sum("one").alias("a"), F.sum("zero").alias("b"))
+    counts = rows.mapInArrow(lambda batches: lean(count(batches)), "mark string, one bigint, zero bigint").groupBy("mark").agg(F.sum("one").alias("a"), F.sum("zero").alias("b"))
     a, b = F.col("a"), F.col("b")
     counts = counts.where((a >= support) & ((a / n1) > 4.0 * (b + 0.5) / n0))
     mean = (a + b) / (n1 + n0)
@@ -172,7 +172,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([m.tobytes() for m in made], pa.binary())], names=["toxic", "f"])
 
     # At most two classes of per_class rows with a few hundred numbers each.
-    got = rows.mapInArrow(features, "toxic int, f binary").orderBy("toxic", "f").collect()
+    got = rows.mapInArrow(lambda batches: lean(features(batches)), "toxic int, f binary").orderBy("toxic", "f").collect()
     gold = np.array([r.toxic for r in got])
     x = np.stack([np.frombuffer(r.f, np.float32) for r in got]).astype(np.float64)
     post, _ = label_model(votes(x, len(marks), gold))
@@ -197,5 +197,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     more, more_schema = carried(docs, list(carry))
     rows = docs.select(F.col(id_col).cast("bigint").alias(id_col), (remainder(id_col, 5) == 0).alias("held_out"), F.col(text_col).cast("string").alias(text_col), *more)
-    scored = rows.mapInArrow(run, f"{id_col} bigint, held_out boolean, score double{more_schema}")
+    scored = rows.mapInArrow(lambda batches: lean(run(batches)), f"{id_col} bigint, held_out boolean, score double{more_schema}")
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

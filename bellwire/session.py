@@ -28,6 +28,13 @@ _SQL_SETTINGS = {
     "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "4096",
 }
 
+#: Rows and bytes of a batch sent to Python where long texts are carried: a task holds few batches at a time, in the
+#: JVM and in Python, and texts come in again with the columns carried along.
+_SMALL_BATCHES = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20),
+}
+
 _local_base: str | None = None
 
 
@@ -39,6 +46,13 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Bound the batches that go to Python in this session; results do not depend on them."""
+    for key, value in _SMALL_BATCHES.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A local session for tests and benchmarks."""
     builder = (

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from bellwire.llm import bpe, language, mixing, neardup, toxicity
 from bellwire.llm.registry import table, tokenizer_path
 from bellwire.llm.sample import restored
-from bellwire.session import configure, materialise
+from bellwire.session import configure, materialise, small_batches
 
 #: Dropped ids may be broadcast up to this many (8 bytes each); beyond, the join shuffles.
 BROADCAST_IDS = 1_000_000
@@ -21,18 +21,21 @@ BROADCAST_IDS = 1_000_000
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps rows whose predicted label is 0."""
+    small_batches(spark)
     scored = toxicity.toxicity(docs, table(spark, sf_dir, "labels"), carry=tuple(docs.columns))
     return scored.where("predicted = 0").select(*restored(docs.columns))
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps rows with a letter whose best language has at least half of the posterior."""
+    small_batches(spark)
     named = language.predict(docs, tokenizer_path("piece_bpe_32k.model"), carry=tuple(docs.columns))
     return named.where("lang_pred <> 'und' and score >= 0.5").select(*restored(docs.columns))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group; rows with a null id stay."""
+    small_batches(spark)
     found = neardup.near_duplicates(docs, num=80, den=100, width=5)
     extra = materialise(found.where("not kept").select("doc_id").distinct(), "extra")
     small = extra.count() <= BROADCAST_IDS
@@ -41,12 +44,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats rows at their fitted rate; every document stays at least once."""
+    small_batches(spark)
     mixed = mixing.mix(docs, table(spark, sf_dir, "labels"), carry=docs.columns, at_least=1)
     return mixed.withColumn("_nth", F.explode(F.sequence(F.lit(1), "copies"))).select(*restored(docs.columns))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids and decoded text of every row, as counts and digests."""
+    small_batches(spark)
     return bpe.round_trip(docs, tokenizer_path())
 
 

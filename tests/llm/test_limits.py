@@ -167,3 +167,25 @@ def test_pipeline_of_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_send_small_batches_and_let_go_of_tables(spark, monkeypatch):
+    import corpus_pipeline
+    from bellwire.llm.state import lean, per_worker
+
+    keys = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
+    before = {k: spark.conf.get(k) for k in keys}
+    docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 2000).alias("text"), F.lit("en").alias("lang")).coalesce(1)
+    try:
+        corpus_pipeline.encode(spark, docs.limit(1), "")
+        sent = docs.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows], "size": [b.nbytes]}) for b in batches), "n long, size long").collect()
+        assert sum(r.n for r in sent) == 6000
+        assert max(r.n for r in sent) <= 1000 and max(r["size"] for r in sent) <= 5 << 20
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    per_worker("old tables", list, "tables")
+    assert list(lean(iter([1, 2]), "tables")) == [1, 2]
+    made = []
+    per_worker("old tables", lambda: made.append(1), "tables")
+    assert made == [1]
