@@ -12,7 +12,7 @@ from bellwire.operators.ledger import lexicon_job
 from bellwire.plans.prepare import prepare_headlines
 from bellwire.registry.base import NY, entry, plain, r6, sql_r6, sql_text
 from bellwire.functions.text import BLANKS, WORD
-from bellwire.session import materialise, work_path
+from bellwire.session import dealt_evenly, materialise, work_path
 from bellwire.sources import articles as ar
 from bellwire.sources import lexicon as lx
 
@@ -26,7 +26,8 @@ def _news(spark, sf):
 
 
 def _clean(spark, sf):
-    return _news(spark, sf).withColumn("title_clean", text.clean_title("title"))
+    # Cleaning whole texts costs far more than moving them once.
+    return dealt_evenly(_news(spark, sf)).withColumn("title_clean", text.clean_title("title"))
 
 
 # -- time ---------------------------------------------------------------------------------------

@@ -101,6 +101,13 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dealt_evenly(df: DataFrame) -> DataFrame:
+    """The same rows dealt out evenly before costly work on each: a scan has no more busy tasks than its files have
+    row groups. The number of partitions follows the cores, and the size of the files once these have more splits.
+    """
+    return df.repartition(max(2 * df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()))
+
+
 def _row_bytes(df: DataFrame) -> Column:
     """About the bytes of one row: fixed widths, plus the length of texts, binaries and nested values."""
     fixed = sum(8 for f in df.schema if not isinstance(f.dataType, _LONG_TYPES))

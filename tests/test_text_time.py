@@ -97,3 +97,15 @@ def test_numbers(spark):
     df = rows(spark, ["1.5", "NaN", "abc", None, " 2 ", "7.0", "8"])
     assert column(df, numbers.numeric("t")) == [1.5, None, None, None, 2.0, 7.0, 8.0]
     assert column(df, numbers.integer_id("t")) == [None, None, None, None, 2, 7, 8]
+
+
+def test_cleaning_is_dealt_evenly_whatever_the_row_groups(spark, tmp_path):
+    from bellwire.registry import news
+
+    made = F.concat(*[F.sha2((F.col("id") * 20 + k).cast("string"), 512) for k in range(20)])
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), made.alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(2560).cast("long").alias("n_chars"))
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    clean = news._clean(spark, str(tmp_path)).select("id", "title_clean", F.spark_partition_id().alias("part"))
+    found = clean.groupBy("part").agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids")).collect()
+    assert sum(r.n for r in found) == 4000 and sum(r.ids for r in found) == 4000
+    assert len(found) > 2 and max(r.n for r in found) < 3000
