@@ -23,6 +23,10 @@ from bellwire.operators.scoring import score_batches, score_lexicon
 from bellwire.plans.parallel import run_side_by_side
 
 CHUNK_ROWS = 100_000
+#: Rows per file of a chunk, about: a chunk is scored by as many tasks as it has files.
+FILE_ROWS = 5_000
+#: Chunks that the jobs below score at a time.
+SIDE_BY_SIDE = 4
 _RUNS = "run int, chunks int, path string"
 _ENTRIES = "run int, chunk int, path string"
 
@@ -60,14 +64,20 @@ class ScoringJob:
         return [(r.run, k, r.path) for r in sorted(self._rows("runs", _RUNS)) for k in range(r.chunks) if (r.run, k) not in done]
 
     def _cut(self, news: DataFrame, chunk_rows: int) -> None:
-        todo = self.pending(news)
+        # Stored before they are counted: what makes the rows may be costly.
+        pending = f"{self.folder}/pending-{uuid.uuid4().hex}"
+        self.pending(news).write.parquet(pending)
+        todo = self.spark.read.schema(_ddl(news)).parquet(pending)
         n = todo.count()
         if not n:
             return
         chunks = math.ceil(n / chunk_rows)
+        files = math.ceil(min(n, chunk_rows) / FILE_ROWS)
         path = f"{self.folder}/rows-{uuid.uuid4().hex}"
         chunk = F.pmod(F.xxhash64(F.col(self.id_col).cast("string")), F.lit(chunks)).cast("int")
-        todo.withColumn("_chunk", chunk).repartition("_chunk").write.partitionBy("_chunk").parquet(path)
+        file = F.pmod(F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in news.columns], F.lit("file")), F.lit(files))
+        placed = todo.withColumn("_chunk", chunk).repartition(chunks * files, F.col("_chunk"), file)
+        placed.write.partitionBy("_chunk").parquet(path)
         number = max((r.run for r in self._rows("runs", _RUNS)), default=0) + 1
         self._add("runs", _RUNS, (number, chunks, path))
 
@@ -104,7 +114,7 @@ def lexicon_job(news: DataFrame, lexicon: DataFrame, folder: str, id_col: str =
     """Lexicon scores as a resumable job: id, n_pos, n_neg, lm_sentiment_score, run."""
     id_type = news.schema[id_col].dataType.simpleString()
     job = ScoringJob(news.sparkSession, folder, f"{id_col} {id_type}, n_pos bigint, n_neg bigint, lm_sentiment_score double", id_col)
-    return job.run(news.select(id_col, text), lambda rows: score_lexicon(rows, lexicon, id_col, text), **options)
+    return job.run(news.select(id_col, text), lambda rows: score_lexicon(rows, lexicon, id_col, text), **{"parallelism": SIDE_BY_SIDE, **options})
 
 
 def classifier_job(news: DataFrame, folder: str, make_predict_fn: Callable | None = None, id_col: str = "id", text: str = "title_clean", **options) -> DataFrame:
@@ -112,4 +122,4 @@ def classifier_job(news: DataFrame, folder: str, make_predict_fn: Callable | Non
     id_type = news.schema[id_col].dataType.simpleString()
     columns = ", ".join(f"finbert_sentiment_{c} double" for c in ("pos", "neutral", "neg"))
     job = ScoringJob(news.sparkSession, folder, f"{id_col} {id_type}, {columns}", id_col)
-    return job.run(news.select(id_col, text), lambda rows: score_batches(rows, make_predict_fn, id_col, text), **options)
+    return job.run(news.select(id_col, text), lambda rows: score_batches(rows, make_predict_fn, id_col, text), **{"parallelism": SIDE_BY_SIDE, **options})

@@ -123,3 +123,19 @@ def test_plugged_in_embeddings(spark):
     got = {r.id: [round(x, 4) for x in r.embedding] for r in sc.embed_batches(rows, load).collect()}
     assert got == {1: [0.7071, 0.7071, 0.0], 2: [0.0, 0.0, 0.0], 3: [0.0, 0.0, 0.0]}
     assert re.match("array<double>", sc.embed_batches(rows, load).schema["embedding"].dataType.simpleString())
+
+
+def test_a_chunk_is_scored_by_many_tasks(spark, tmp_path, monkeypatch):
+    from bellwire.operators import ledger
+
+    monkeypatch.setattr(ledger, "FILE_ROWS", 100)
+    parts = []
+
+    def counted(rows):
+        parts.append(rows.select(F.input_file_name()).distinct().count())
+        return lengths(rows)
+
+    job = ScoringJob(spark, str(tmp_path), SCHEMA)
+    assert job.run(news(spark, 2000).coalesce(1), counted, chunk_rows=1000).count() == 2000
+    # Before, a chunk was one file.
+    assert len(parts) == 2 and min(parts) > 3
