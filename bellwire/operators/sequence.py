@@ -94,14 +94,14 @@ def resolve_row_id(df: DataFrame, id_col: str, order: Sequence[str], out: str =
     return number_rows(df, list(order), out=out)
 
 
-def time_series_folds(df: DataFrame, date_col: str, k: int = 5, tie_break: str | None = None) -> DataFrame:
+def time_series_folds(df: DataFrame, date_col: str, k: int = 5, tie_break: str | None = None, num_partitions: int | None = None) -> DataFrame:
     """Every row once per fold it belongs to, with ``fold`` 1..k and ``role`` train/test.
 
     n rows in date order, test size t = n // (k+1); fold i tests rows n-(k-i+1)t+1 .. n-(k-i)t
     and trains on every row before them.
     """
     order = [date_col] + ([tie_break] if tie_break else [])
-    seq = number_rows(df, order, out="row_no")
+    seq = number_rows(df, order, out="row_no", num_partitions=num_partitions)
     n = seq.select(F.count("*")).scalar()
     size = F.floor(n / F.lit(k + 1))
     test_start = n - (F.lit(k + 1) - F.col("fold")) * size

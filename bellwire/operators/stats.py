@@ -220,7 +220,7 @@ def class_ratio(df: DataFrame, label: str) -> DataFrame:
     return df.agg(neg.alias("n_neg"), pos.alias("n_pos"), ratio(neg, pos).alias("ratio"))
 
 
-def auc_by_rank(df: DataFrame, label: str, proba: str) -> DataFrame:
+def auc_by_rank(df: DataFrame, label: str, proba: str, num_partitions: int | None = None) -> DataFrame:
     """Exact ROC AUC with ties counted half.
 
     Rows collapse to counts per distinct score; negatives below each score come from running sums
@@ -234,7 +234,7 @@ def auc_by_rank(df: DataFrame, label: str, proba: str) -> DataFrame:
             F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).alias("neg"),
         )
     )
-    placed = running_sums(groups, [proba], {"neg_below": "neg"})
+    placed = running_sums(groups, [proba], {"neg_below": "neg"}, num_partitions)
     pos, neg = F.sum("pos"), F.sum("neg")
     wins = F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2.0))
     return placed.agg(

@@ -207,7 +207,7 @@ def _fold_parts(train: DataFrame, folds: int, weighting: str) -> tuple[DataFrame
 
     One aggregate counts the classes of all folds, so the fits need no counts of their own.
     """
-    placed = time_series_folds(train, "trade_date", folds)
+    placed = time_series_folds(train, "trade_date", folds, num_partitions=train.rdd.getNumPartitions())
     counts = {
         (r["fold"], r["role"]): (r["n0"], r["n1"])
         for r in placed.groupBy("fold", "role")
@@ -270,7 +270,8 @@ def _best(settings: Sequence[dict], table: list[tuple], folds: int, spark: Spark
 def logistic_search(train: DataFrame, width: int, settings: Sequence[dict], folds: int = 5, weighting: str = "balanced") -> tuple[dict, DataFrame]:
     """``ts_grid_search`` for elastic-net logistic models, all settings and folds in shared passes."""
     spark = train.sparkSession
-    numbered = sized(number_rows(train, ["trade_date"], out="_row"))
+    # As many ranges as the rows call for: those of the session would be mostly empty tasks and files.
+    numbered = sized(number_rows(train, ["trade_date"], out="_row", num_partitions=train.rdd.getNumPartitions()))
     n = numbered.count()
     rows = positioned(numbered, F.col("_row") - 1, LABEL)
     bounds = forests.fold_bounds(n, folds)
@@ -350,7 +351,7 @@ class Fitted:
         """One row: n, accuracy, log loss, AUC over the test rows."""
         preds = self.predict().persist(StorageLevel.MEMORY_AND_DISK)
         basic = metrics_binary(preds, "actual_increase", "predicted_proba")
-        auc = auc_by_rank(preds, "actual_increase", "predicted_proba").select("auc").scalar()
+        auc = auc_by_rank(preds, "actual_increase", "predicted_proba", preds.rdd.getNumPartitions()).select("auc").scalar()
         return basic.withColumn("auc", auc)
 
     def release(self) -> None:

@@ -303,3 +303,14 @@ def test_registered_model_queries_cut_nothing(spark, sf_dir, monkeypatch, name,
         for r in runs:
             assert r.variant == "baseline" or ex.SCORERS[r.scorer] in daily.columns
             assert r.variant != "sources" or len(registry.ft.select_source_columns(daily.columns, ex.SCORERS[r.scorer], sources)) == 5
+
+
+def test_numbering_of_a_short_series_makes_as_many_ranges_as_it_has_partitions(spark, daily, monkeypatch):
+    from bellwire.operators import sequence
+
+    seen = []
+    plain = sequence._range_placed
+    monkeypatch.setattr(sequence, "_range_placed", lambda df, order, n: seen.append(n) or plain(df, order, n))
+    ml.fit_family(daily, "lr", "baseline", grid={"C": [0.1, 1.0], "l1_ratio": [0.0]}, **DATES).metrics().collect()
+    # One for the folds and one for the AUC; before, both used the shuffle partitions of the session.
+    assert seen == [1, 1]
