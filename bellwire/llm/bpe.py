@@ -28,13 +28,17 @@ from __future__ import annotations
 import codecs
 import hashlib
 import json
+import re
 import struct
 import sys
 import unicodedata
+from array import array
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,10 +53,15 @@ KNOWN_WORDS = 1 << 18
 #: A word longer than this is streamed and not remembered.
 LONG_WORD = 2048
 
+#: Bytes of the texts that are cut into words together.
+RUN_BYTES = 1 << 23
+
 # str.split() also cuts at these four; the pattern of the file does not.
 _ODD_SPACE = regex.compile("[\x1c-\x1f]")
 _SPACE = regex.compile(r"[\s--\x1c-\x1f]+", regex.V1)
 _PLAIN = regex.compile("[\x21-\x7e\xa1-ɏ]*")
+#: Texts, as Arrow matches them, that hold other characters, other white space or perhaps a special token.
+_NOT_PLAIN = r"[^\t\n\r\x20-\x7e\x{a1}-\x{24f}]|<\|"
 
 
 def byte_alphabet() -> list[str]:
@@ -80,6 +89,11 @@ def _joining() -> frozenset[str]:
     return frozenset(chr(int(h[1], 16)) for h in halves if len(h) == 2 and h[0][0] != "<") | {chr(c) for c in range(0x1160, 0x1200)}
 
 
+def _class_of(category: str) -> str:
+    """What stands for \\p{L} or \\p{N} in a class of the plain library: the characters that lower-cased plain words may hold."""
+    return "".join(f"\\u{c:04x}" for c in range(0x21, 0x3000) if unicodedata.category(chr(c))[0] == category)
+
+
 def stretches(text: str) -> Iterator[list[str]]:
     """The words between white space, for one stretch of text after another."""
     at = 0
@@ -96,6 +110,16 @@ def stretches(text: str) -> Iterator[list[str]]:
         at = end
 
 
+def runs_by_bytes(texts: pa.Array, limit: int = RUN_BYTES) -> Iterator[pa.Array]:
+    """Parts of a string array with about ``limit`` bytes each, and at least one text."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, "right")))
+        yield texts.slice(at, end - at)
+        at = end
+
+
 def packed_ids(ids: Iterable[int]) -> bytes:
     """Ids as little-endian unsigned 32-bit integers."""
     ids = list(ids)
@@ -121,6 +145,14 @@ class Known(dict):
         return value
 
 
+class Numbers(dict):
+    """piece -> number, in the order they are met."""
+
+    def __missing__(self, piece):
+        self[piece] = n = len(self)
+        return n
+
+
 class MergeTransducer:
     """Symbols in, token ids out; holds at most ``lookahead + step`` symbols."""
 
@@ -222,15 +254,18 @@ class BpeCodec:
         self.bytes = byte_alphabet()
         self.transducer = MergeTransducer(model["vocab"], merges, model["end_of_word_suffix"])
         self.split = regex.compile(splits[0]["pattern"]["Regex"])
+        self.plain_split = re.compile("\n|" + splits[0]["pattern"]["Regex"].replace(r"\p{L}", _class_of("L")).replace(r"\p{N}", _class_of("N")))
         self.specials = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.special_at = regex.compile("|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True))) or "(?!)")
         self.token_text = {i: t for t, i in {**model["vocab"], **self.specials}.items()}
         self.bytewise = (spec.get("decoder") or {}).get("type") == "ByteLevel"
         if library_merges:
             tokenize = library.model.tokenize
-            self.pieces = Known(lambda symbols: packed_ids([t.id for t in tokenize(symbols)]))
+            self.ids_of = lambda symbols: [t.id for t in tokenize(symbols)]
         else:
-            self.pieces = Known(lambda symbols: packed_ids(self.transducer.piece(symbols)))
+            self.ids_of = self.transducer.piece
+        self.pieces = Known(lambda symbols: packed_ids(self.ids_of(symbols)))
+        self._forget()
         self.words = Known(self._word)
         self.latin = {b: c for b, c in enumerate(self.bytes) if chr(b) != c}
         self.spelling = self._spellings()
@@ -340,6 +375,45 @@ class BpeCodec:
     def encode(self, text: str | None) -> np.ndarray:
         return np.frombuffer(b"".join([b"".join(c) for c in self.chunks(text or "")]), "<u4")
 
+    def encode_batch(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text of a string array.
+
+        Plain texts are cut into words by Arrow, and each different word of the batch is split into pieces
+        once; pieces are remembered, up to a bound. All other texts go the way of :meth:`encode`.
+        """
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        plain = pc.invert(pc.match_substring_regex(texts, _NOT_PLAIN))
+        cut = pc.ascii_split_whitespace(pc.ascii_lower(texts.filter(plain)))
+        words = cut.flatten().dictionary_encode()
+        if (pc.max(pc.binary_length(words.dictionary)).as_py() or 0) > LONG_WORD:
+            return [self.encode(t) for t in texts.to_pylist()]
+        taken = self._ids_of_words(words.dictionary.to_numpy(zero_copy_only=False).tolist()).take(words.indices)
+        flat, ends = taken.values.to_numpy(zero_copy_only=False), taken.offsets.to_numpy()[cut.offsets.to_numpy()].tolist()
+        out, n = [], 0
+        for k, easy in enumerate(plain.to_pylist()):
+            out.append(flat[ends[n] : ends[n + 1]] if easy else self.encode(texts[k].as_py()))
+            n += easy
+        return out
+
+    def _ids_of_words(self, words: list[str]) -> pa.LargeListArray:
+        """The ids of plain words of moderate length, without special tokens."""
+        if len(self.numbers) > 2 * KNOWN_WORDS:
+            self._forget()
+        pieces, known = self.plain_split.findall(self._normal("\n".join([*words, ""]))), len(self.numbers)
+        numbers = np.fromiter(map(self.numbers.__getitem__, pieces), np.int64, len(pieces))
+        if len(self.numbers) > known:
+            new = "\n".join(islice(self.numbers, known, None)).encode()
+            for symbols in codecs.charmap_decode(new, "strict", "".join(self.bytes))[0].split(self.bytes[10]):
+                self.piece_ids.extend(self.ids_of(symbols))
+                self.piece_ends.append(len(self.piece_ids))
+        ids = pa.LargeListArray.from_arrays(pa.array(np.array(self.piece_ends)), pa.array(np.array(self.piece_ids))).take(pa.array(numbers))
+        ends = ids.offsets.to_numpy()[np.flatnonzero(numbers == 0)]
+        return pa.LargeListArray.from_arrays(pa.array(np.append(0, ends)), ids.values)
+
+    def _forget(self) -> None:
+        # Piece number 0 is the line end behind each word; it has no ids.
+        self.numbers, self.piece_ids, self.piece_ends = Numbers({"\n": 0}), array("I"), array("q", [0, 0])
+
     # Decoding
 
     def _spellings(self) -> list[bytes]:

@@ -26,6 +26,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from bellwire.llm.bpe import codec
+from bellwire.llm.bpe import codec, runs_by_bytes
 from bellwire.session import work_path
 
 MAGIC = b"RPG1"
@@ -43,6 +44,12 @@ _HEAD = "<4s5I"
 SHARD_IDS = 1 << 20
 #: A round replaces pairs that occur at least this part as often as the most frequent one.
 _SHARE = 2
+#: Rules of at most this many ids are expanded once for all their places.
+_SHORT = 64
+#: Documents decoded at once when a shard is read through.
+_TOGETHER = 64
+#: What stands at a place whose symbol went into a rule.
+_GONE = -1
 
 
 class Grammar:
@@ -57,13 +64,29 @@ class Grammar:
         out[high] = self.lengths[sequence[high] - self.base]
         return out
 
+    @cached_property
+    def _short(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All plain ids and the expansions of rules of at most ``_SHORT`` ids in one row; where each symbol's starts, and its length."""
+        lengths = np.concatenate([np.ones(self.base, np.int64), self.lengths])
+        firsts, flat = np.arange(len(lengths)), np.arange(self.base, dtype=np.uint32)
+        held = np.argsort(self.lengths, kind="stable")
+        ends = np.searchsorted(self.lengths[held], np.arange(2, _SHORT + 2), "left")
+        for n, lo, hi in zip(range(2, _SHORT + 1), ends, ends[1:]):
+            if lo < hi:
+                parts = self.rules[held[lo:hi]].ravel()
+                new = flat[_spread(firsts[parts], lengths[parts])]
+                firsts[self.base + held[lo:hi]] = len(flat) + n * np.arange(hi - lo)
+                flat = np.concatenate([flat, new])
+        return flat, firsts, lengths
+
     def expand(self, sequence: np.ndarray) -> np.ndarray:
-        """The ids below a stretch of symbols; one pass per level of the grammar."""
+        """The ids below a stretch of symbols; one pass per level of long rules, and one for all others."""
         seq = np.asarray(sequence, np.uint32)
+        flat, firsts, lengths = self._short
         while True:
-            high = seq >= self.base
+            high = lengths[seq] > _SHORT
             if not high.any():
-                return seq
+                return flat[_spread(firsts[seq], lengths[seq])]
             at = np.cumsum(1 + high) - 1 - high
             out = np.empty(len(seq) + int(high.sum()), np.uint32)
             out[at] = seq
@@ -74,66 +97,129 @@ class Grammar:
 
 
 def compress(ids: np.ndarray, end_id: int, min_count: int = 2) -> Grammar:
-    """Re-Pair until no pair occurs ``min_count`` times."""
-    seq = np.asarray(ids, np.uint32)
-    base = int(seq.max(initial=end_id)) + 1
+    """Re-Pair until no pair occurs ``min_count`` times.
+
+    The places of every pair are listed once. A replacement ends the pairs around it and makes pairs
+    with the new symbol, which no other place holds; so a round lists only those, and costs what it replaces.
+    """
+    size, base = len(ids), int(np.max(ids, initial=end_id)) + 1
+    # Narrow numbers where they fit: symbols, and three lists of places, are at most base + 3 * size.
+    kind = np.int32 if base + 3 * size < 1 << 31 else np.int64
+    sym = np.append(ids, end_id).astype(kind)
+    # Neighbours of each place; a replaced pair stays at its left place. One more place is the outside, an end.
+    after, before = np.arange(1, size + 2, dtype=kind), np.arange(-1, size, dtype=kind)
+    after[size], before[0] = size, size
     rules, lengths, n = [np.zeros((0, 2), np.uint32)], np.ones(base, np.int64), 0
-    while len(seq) > 1:
-        pairs = _frequent_pairs(seq, end_id, min_count, base + n)
-        if not len(pairs):
+    pair_at = np.full(size + 1, -1, kind)
+    # Each place makes one pair at first, and each replacement at most two; the room is used as it fills.
+    codes, found, first, places = (np.empty(3 * size + 1, t) for t in (np.uint64, kind, kind, kind))
+    known, filled = 0, 0
+    twins, fresh = np.zeros(0, kind), np.arange(size, dtype=kind)
+    while True:
+        # Pairs that are new in this round, and of those the ones that may become rules.
+        left, right = sym[fresh], sym[after[fresh]]
+        inner = (left != end_id) & (right != end_id)
+        twins = np.concatenate([twins, fresh[inner & (left == right)]])
+        inner &= left != right
+        new, starts, counts, order = _listed(left[inner], right[inner], fresh[inner], min_count)
+        more, filled_now = known + len(new), filled + len(order)
+        pair_at[order] = np.repeat(np.arange(known, more, dtype=kind), counts)
+        codes[known:more], found[known:more], first[known:more], places[filled:filled_now] = new, counts, starts + filled, order
+        known, filled = more, filled_now
+        first[known] = filled
+        # Pairs of one symbol with itself are counted anew, as those within a run depend on where it starts.
+        twins = np.sort(twins[(sym[twins] == sym[after[twins]]) & (sym[twins] != _GONE)])
+        twins = twins[np.append(True, twins[1:] != twins[:-1])] if len(twins) else twins
+        even = twins[~_odd(twins, after)]
+        same, times = np.unique(sym[even], return_counts=True)
+        most = max(found[:known].max(initial=0), times.max(initial=0))
+        if most < min_count:
             break
-        left, right = pairs[:, 0], pairs[:, 1]
-        rules.append(pairs)
-        lengths = np.concatenate([lengths, lengths[left] + lengths[right]])
-        starts, ends = np.zeros(base + n, bool), np.zeros(base + n, bool)
-        starts[left], ends[right] = True, True
-        at = np.flatnonzero(starts[seq[:-1]] & ends[seq[1:]])
-        order = np.argsort(_codes(left, right))
-        known = _codes(left, right)[order]
-        mine = _codes(seq[at], seq[at + 1])
-        place = np.minimum(np.searchsorted(known, mine), len(known) - 1)
-        hit = known[place] == mine
-        at, place = at[hit], place[hit]
-        even = ~_odd(seq)[at]
-        at, place = at[even], place[even]
-        seq = seq.copy()
-        seq[at] = (base + n + order[place]).astype(np.uint32)
-        keep = np.ones(len(seq), bool)
-        keep[at + 1] = False
-        seq = seq[keep]
+        least = max(min_count, -(-int(most) // _SHARE))
+        often, often_same = np.flatnonzero(found[:known] >= least), same[times >= least]
+        best = np.concatenate([codes[often], _codes(often_same, often_same)])
+        by_count = np.lexsort((best, -np.concatenate([found[often], times[times >= least]])))
+        pairs, chosen = _compatible(best[by_count], base + n)
+        chosen = by_count[chosen]
+        rules.append(pairs.astype(np.uint32))
+        lengths = np.concatenate([lengths, lengths[pairs[:, 0]] + lengths[pairs[:, 1]]])
+        # Where they still stand, and the symbols to put there.
+        mine, put = np.flatnonzero(chosen < len(often)), base + n + np.arange(len(chosen))
+        numbers = often[chosen[mine]]
+        each = first[numbers + 1] - first[numbers]
+        at = places[_spread(first[numbers], each)]
+        symbols = np.repeat(put[mine], each)
+        held = pair_at[at] == np.repeat(numbers, each)
+        at, symbols = at[held], symbols[held]
+        if len(mine) < len(chosen):
+            new_of = np.full(base + n, -1, np.int64)
+            new_of[pairs[chosen >= len(often), 0]] = put[chosen >= len(often)]
+            hit = even[new_of[sym[even]] >= 0]
+            at, symbols = np.concatenate([at, hit]), np.concatenate([symbols, new_of[sym[hit]]])
+        gone = after[at]
+        sym[at], sym[gone] = symbols, _GONE
+        behind = after[gone]
+        after[at], before[behind] = behind, at
+        prior = before[at]
+        prior = prior[(sym[prior] < base + n) & (prior < size)]
+        fresh = np.concatenate([at, prior])
+        ended = pair_at[np.concatenate([fresh, gone])]
+        found[:known] -= np.bincount(ended[ended >= 0], minlength=known)
+        pair_at[fresh], pair_at[gone] = -1, -1
         n += len(pairs)
-    return Grammar(base, np.concatenate(rules), lengths[base:].astype(np.uint32), seq)
+    return Grammar(base, np.concatenate(rules), lengths[base:].astype(np.uint32), sym[:-1][sym[:-1] != _GONE].astype(np.uint32))
 
 
 def _codes(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    return left.astype(np.uint64) << np.uint64(32) | right
-
-
-def _odd(seq: np.ndarray) -> np.ndarray:
-    """Places where a pair within a run a, a, a, ... overlaps the one counted before it."""
-    out = np.zeros(len(seq), bool)
-    same = seq[:-1] == seq[1:]
-    where = np.flatnonzero(same)
-    if len(where):
-        starts = np.flatnonzero(same & ~np.concatenate([[False], same[:-1]]))
-        out[where] = (where - starts[np.searchsorted(starts, where, "right") - 1]) % 2 == 1
-    return out
-
-
-def _frequent_pairs(seq: np.ndarray, end_id: int, min_count: int, symbols: int) -> np.ndarray:
-    """Pairs to replace now, the most frequent first; all pairs are counted."""
-    inner = seq != end_id
-    codes = np.sort(_codes(seq[:-1], seq[1:])[inner[:-1] & inner[1:] & ~_odd(seq)[:-1]])
-    first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]])) if len(codes) else np.zeros(0, np.int64)
-    found = np.diff(np.append(first, len(codes)))
-    if not len(found) or found.max() < min_count:
-        return np.zeros((0, 2), np.uint32)
-    often = np.flatnonzero(found >= max(min_count, -(-int(found.max()) // _SHARE)))
-    often = often[np.argsort(-found[often], kind="stable")]
-    best = codes[first[often]]
+    return left.astype(np.uint64) << np.uint64(32) | right.astype(np.uint64)
+
+
+def _spread(first: np.ndarray, each: np.ndarray) -> np.ndarray:
+    """``first``, ``first + 1``, ... for ``each`` steps, one stretch after another."""
+    ends = np.cumsum(each)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - ends + each, each)
+
+
+def _listed(left: np.ndarray, right: np.ndarray, at: np.ndarray, min_count: int) -> tuple[np.ndarray, ...]:
+    """Codes of the pairs with ``min_count`` places, where their places start, how many, and all these places."""
+    if not len(at):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), at
+    bits, low = int(max(left.max(), right.max())).bit_length(), int(at.max()).bit_length()
+    if 2 * bits + low <= 64:
+        # Pair and place in one number sort faster than by an order.
+        keys = left.astype(np.uint64)
+        for shift, more in ((bits, right), (low, at)):
+            keys <<= np.uint64(shift)
+            keys |= more.astype(np.uint64)
+        keys.sort()
+        at = (keys & np.uint64((1 << low) - 1)).astype(at.dtype)
+        keys >>= np.uint64(low)
+    else:
+        bits, keys = 32, _codes(left, right)
+        order = np.argsort(keys, kind="stable")
+        keys, at = keys[order], at[order]
+    starts = np.append(np.flatnonzero(np.append(True, keys[1:] != keys[:-1])), len(keys))
+    counts = np.diff(starts)
+    good = counts >= min_count
+    pairs, at, counts = keys[starts[:-1][good]], at[np.repeat(good, counts)], counts[good]
+    return _codes(pairs >> np.uint64(bits), pairs & np.uint64((1 << bits) - 1)), np.cumsum(counts) - counts, counts, at
+
+
+def _odd(twins: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Places (ascending) where a pair within a run a, a, a, ... overlaps the one counted before it."""
+    if not len(twins):
+        return np.zeros(0, bool)
+    starts = np.flatnonzero(np.concatenate([[True], after[twins[:-1]] != twins[1:]]))
+    each = np.diff(np.append(starts, len(twins)))
+    return (np.arange(len(twins)) - np.repeat(starts, each)) % 2 == 1
+
+
+def _compatible(best: np.ndarray, symbols: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs to replace now, the first ones first, and their places in ``best``."""
     # What a symbol is in this round: 1 starts pairs, 2 ends pairs, 3 is paired with itself.
     role, chosen = bytearray(symbols), []
-    for k, (left, right) in enumerate(zip((best >> np.uint64(32)).tolist(), (best & np.uint64(0xFFFFFFFF)).tolist())):
+    pairs = np.stack([best >> np.uint64(32), best & np.uint64(0xFFFFFFFF)], axis=1).astype(np.int64)
+    for k, (left, right) in enumerate(zip(pairs[:, 0].tolist(), pairs[:, 1].tolist())):
         if left == right:
             if not role[left]:
                 role[left] = 3
@@ -141,8 +227,7 @@ def _frequent_pairs(seq: np.ndarray, end_id: int, min_count: int, symbols: int)
         elif role[left] < 2 and role[right] in (0, 2):
             role[left], role[right] = 1, 2
             chosen.append(k)
-    best = best[chosen]
-    return np.stack([best >> np.uint64(32), best & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)
+    return pairs[chosen], np.array(chosen, np.int64)
 
 
 def pack_shard(doc_ids: list[int | None], texts_ids: list[np.ndarray], end_id: int) -> bytes:
@@ -187,6 +272,14 @@ class Shard:
     def ids(self, k: int) -> np.ndarray:
         return self.grammar.expand(self.grammar.sequence[self.starts[k] : self.starts[k + 1]])
 
+    def all_ids(self) -> Iterator[np.ndarray]:
+        """The ids of one document after another; stretches of documents are decoded at once."""
+        for lo in range(0, len(self.doc_ids), _TOGETHER):
+            hi = min(lo + _TOGETHER, len(self.doc_ids))
+            whole, places = self.grammar.expand(self.grammar.sequence[self.starts[lo] : self.starts[hi]]), self.places[lo : hi + 1]
+            for k in range(hi - lo):
+                yield whole[places[k] - places[0] : places[k + 1] - places[0]]
+
     def window(self, start: int, n: int) -> np.ndarray:
         """``n`` ids from place ``start`` of the shard, without expanding what stands before."""
         reached = np.cumsum(self.grammar.sizes(self.grammar.sequence))
@@ -214,12 +307,12 @@ def write_token_shards(docs: DataFrame, tokenizer: str, path: str, end_id: int =
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, types)], names=["part", "shard", "start", "n_ids", "data"])
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0), batch.column(1)):
-                encoded = own.encode(text.as_py())
+            encoded_texts = (x for some in runs_by_bytes(batch.column(1)) for x in own.encode_batch(some))
+            for doc_id, encoded in zip(batch.column(0).to_pylist(), encoded_texts):
                 if ids and size + len(encoded) >= shard_ids:
                     yield flush()
                     shard, start, size, ids, texts = shard + 1, start + size, 0, [], []
-                ids.append(doc_id.as_py())
+                ids.append(doc_id)
                 texts.append(encoded)
                 size += len(encoded) + 1
         if ids:
@@ -249,7 +342,7 @@ def read_token_shards(spark, path: str, with_ids: bool = False, id_col: str = "d
         for batch in batches:
             for before, data in zip(batch.column(0), batch.column(1)):
                 shard, before = Shard(data.as_py()), before.as_py()
-                decoded = [shard.ids(k) for k in range(len(shard.doc_ids))]
+                decoded = list(shard.all_ids())
                 columns = [shard.doc_ids, (before + shard.places[:-1]).tolist(), [len(x) for x in decoded], [zlib.crc32(x.astype("<u4").tobytes()) for x in decoded]]
                 arrays = [pa.array(c, pa.int64()) for c in columns]
                 if with_ids:

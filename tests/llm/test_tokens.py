@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -33,6 +34,30 @@ def test_codec_equals_the_library(library):
         assert own.decode(ids) == library.decode(ids, skip_special_tokens=False)
 
 
+def test_batches_encode_as_the_library_does(library, monkeypatch):
+    rng = random.Random(5)
+    signs = [chr(c) for c in range(0x20, 0x250)] + list("\n\t\r\x0b  'é") + ["'s", "'ll", "\u0307"]
+    texts = CASES + ["<|ENDOFTEXT|> a", " a ", "İİ ǅ Ⱥ Ɔ ² 1²a ½", "ab" * 1500] + [chr(c) + " a" + chr(c) + "b" for c in range(0x21, 0x250)]
+    texts += ["".join(rng.choice(signs) for _ in range(rng.randint(1, 60))) for _ in range(500)]
+    own = bpe.codec(PATH, library_merges=True)
+    for known in (bpe.KNOWN_WORDS, 20):
+        monkeypatch.setattr(bpe, "KNOWN_WORDS", known)
+        parts = list(bpe.runs_by_bytes(pa.array(texts, pa.string()), 2000))
+        assert len(parts) > 10
+        got = [ids for part in parts for ids in own.encode_batch(part)]
+        assert [x.tolist() for x in got] == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert own.encode_batch(pa.array([], pa.string())) == [] == list(bpe.runs_by_bytes(pa.array([], pa.string())))
+
+
+def test_a_piece_goes_to_the_library_once():
+    own, asked = bpe.BpeCodec.from_file(PATH, library_merges=True), []
+    ids_of = own.ids_of
+    own.ids_of = lambda symbols: asked.append(symbols) or ids_of(symbols)
+    for text in ("Street, street. STREET!", "(street) ***street, world's"):
+        own.encode_batch(pa.array([text] * 3))
+    assert len(asked) == len(set(asked)) == 9
+
+
 def test_stream_holds_a_bounded_window():
     t = bpe.codec(PATH).transducer
     run, most, out = bpe.PieceRun(t), 0, []
@@ -144,6 +169,65 @@ def test_repair_leaves_no_pair_twice():
     assert shard.grammar.lengths.max() >= 40000
 
 
+def plain_repair(ids, end_id):
+    """Rules and sequence with all pairs counted anew in each round, in plain Python."""
+    seq, base, rules = list(ids), max([*ids, end_id]) + 1, []
+    while True:
+        places, at = {}, 0
+        for at, pair in enumerate(zip(seq, seq[1:])):
+            held = places.setdefault(pair, [])
+            if end_id not in pair and (pair[0] != pair[1] or not held or held[-1] != at - 1):
+                held.append(at)
+        most = max(map(len, places.values()), default=0)
+        if most < 2:
+            return rules, seq
+        often = sorted((p for p in places if len(places[p]) >= max(2, -(-most // 2))), key=lambda p: (-len(places[p]), p))
+        starts, ends, twins, put = set(), set(), set(), {}
+        for a, b in often:
+            if a == b and a not in starts | ends | twins:
+                twins.add(a)
+            elif a != b and a not in ends | twins and b not in starts | twins:
+                starts.add(a)
+                ends.add(b)
+            else:
+                continue
+            put |= dict.fromkeys(places[a, b], base + len(rules))
+            rules.append((a, b))
+        seq = [put.get(at, x) for at, x in enumerate(seq) if at - 1 not in put]
+
+
+def test_repair_counts_every_pair_in_every_round():
+    rng = np.random.default_rng(7)
+    for k in range(150):
+        ids = rng.integers(0, rng.integers(2, 9), rng.integers(0, 250)).astype(np.uint32)
+        if k % 3 == 0:
+            ids = np.repeat(ids, rng.integers(1, 7, len(ids)))
+        for high in (0, 1 << 22):
+            grammar = repair.compress(ids + np.uint32(high) * (ids > 4), 2)
+            rules, seq = plain_repair((ids + np.uint32(high) * (ids > 4)).tolist(), 2)
+            assert list(map(tuple, grammar.rules.tolist())) == rules and grammar.sequence.tolist() == seq
+            if k > 10:
+                break
+
+
+def test_repair_lists_each_place_few_times(monkeypatch):
+    listed, inner = [], repair._listed
+    monkeypatch.setattr(repair, "_listed", lambda *x: listed.append(len(x[2])) or inner(*x))
+    words = [np.random.default_rng(k).integers(3, 900, 4) for k in range(400)]
+    ids = np.concatenate([words[k] for k in np.random.default_rng(1).zipf(1.3, 20000) % 400]).astype(np.uint32)
+    repair.compress(ids, 2)
+    assert len(listed) > 20 and sum(listed) <= 3 * len(ids)
+
+
+def test_shards_are_read_through(monkeypatch):
+    monkeypatch.setattr(repair, "_TOGETHER", 3)
+    passage = np.random.default_rng(2).permutation(np.arange(3, 900)).astype(np.uint32)
+    texts = [passage, passage[:0], passage, passage[100:300], np.full(700, 7, np.uint32), passage[:5], passage]
+    shard = repair.Shard(repair.pack_shard(list(range(7)), texts, 2))
+    assert shard.grammar.lengths.max() > repair._SHORT
+    assert [x.tolist() for x in shard.all_ids()] == [[*t.tolist(), 2] for t in texts]
+
+
 def test_token_shards(spark, library):
     rows = [(i * 7 % 31, t) for i, t in enumerate(CASES + ["shared words again and again"] * 12)]
     got = repair.token_shards(frame(spark, rows), PATH, shard_ids=2000, partitions=3).collect()
