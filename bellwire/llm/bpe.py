@@ -43,7 +43,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bellwire.llm.state import per_worker
+from bellwire.llm.state import Numbers, per_worker
 
 _NO_RANK = 1 << 30
 #: Characters of one stretch of text.
@@ -145,14 +145,6 @@ class Known(dict):
         return value
 
 
-class Numbers(dict):
-    """piece -> number, in the order they are met."""
-
-    def __missing__(self, piece):
-        self[piece] = n = len(self)
-        return n
-
-
 class MergeTransducer:
     """Symbols in, token ids out; holds at most ``lookahead + step`` symbols."""
 

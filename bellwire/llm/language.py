@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bellwire.llm.sample import carried, remainder, sample_ids
-from bellwire.llm.state import lean, per_worker
+from bellwire.llm.state import Numbers, lean, per_worker
 from bellwire.session import broadcast_if_small
 
 LETTERS = re.compile(r"[^\W\d_]+")
 PER_LANGUAGE, ROUNDS = 150, 4
-LONGEST, KNOWN = 40, 1 << 18
+LONGEST, KNOWN = 40, 1 << 19
 _START = "▁"
 #: Sums are kept times this to the power of the characters behind them: a stretch of LONGEST rare characters
 #: stays above the smallest double, and one long piece below the largest.
@@ -58,9 +59,16 @@ class PieceModel:
         self.lift = _LIFT ** sizes[:, None]
         self.teach(probs)
         self.longest = max(map(len, pieces), default=1)
-        # Every beginning of a piece, with the number of the piece or -1.
-        self.beginnings = {p[:n]: -1 for p in pieces for n in range(1, len(p))} | pieces
-        self.numbers: dict[str, int] = {}
+        # Every beginning of a piece is a node, the empty one number 0, with the number of the piece or -1.
+        nodes = {b: k for k, b in enumerate(dict.fromkeys(["", *(p[:n] for p in pieces for n in range(1, len(p) + 1))]))}
+        self.piece_of = np.array([pieces.get(b, -1) for b in nodes], np.int32)
+        self.letters = np.array(sorted({ord(c) for p in pieces for c in p}), np.uint32)
+        # A step from a node by a letter is one number; steps are sorted, with the node behind each.
+        ends = list(nodes)[1:]
+        steps = np.array([nodes[b[:-1]] for b in ends], np.int64) * len(self.letters) + np.searchsorted(self.letters, np.array([ord(b[-1]) for b in ends], np.uint32))
+        self.nodes = np.argsort(steps) + 1
+        self.steps = steps[self.nodes - 1]
+        self.numbers = Numbers()
         self.table = np.zeros((1024, len(languages)))
 
     def teach(self, probs: np.ndarray) -> None:
@@ -68,21 +76,25 @@ class PieceModel:
 
     def _grid(self, words: list[str], size: int) -> np.ndarray:
         """Piece number of every stretch (end, length - 1, word); -1 where there is none."""
-        get = self.beginnings.get
-        ends, lengths, owners, numbers = [], [], [], []
-        for w, word in enumerate(words):
-            for start in range(size):
-                for end in range(start + 1, size + 1):
-                    p = get(word[start:end])
-                    if p is None:
-                        break
-                    if p >= 0:
-                        ends.append(end)
-                        lengths.append(end - start - 1)
-                        owners.append(w)
-                        numbers.append(p)
         grid = np.full((size + 1, min(self.longest, size), len(words)), -1, np.int32)
-        grid[ends, lengths, owners] = numbers
+        if len(self.letters) and words:
+            chars = np.array(words, f"<U{size}").view(np.uint32).reshape(len(words), size)
+            letters = np.minimum(np.searchsorted(self.letters, chars), len(self.letters) - 1)
+            letters[self.letters[letters] != chars] = -1
+            # All stretches grow by one letter at a time, as long as they begin a piece.
+            owner, start = (x.ravel() for x in np.indices(chars.shape))
+            node = np.zeros(len(owner), np.int64)
+            for length in range(1, grid.shape[1] + 1):
+                inside = start + length <= size
+                owner, start, node = owner[inside], start[inside], node[inside]
+                letter = letters[owner, start + length - 1]
+                step = node * len(self.letters) + letter
+                at = np.minimum(np.searchsorted(self.steps, step), len(self.steps) - 1)
+                hit = (self.steps[at] == step) & (letter >= 0)
+                owner, start, node = owner[hit], start[hit], self.nodes[at[hit]]
+                number = self.piece_of[node]
+                has = number >= 0
+                grid[start[has] + length, length - 1, owner[has]] = number[has]
         grid[1:, 0] = np.maximum(grid[1:, 0], 0)
         return grid
 
@@ -139,24 +151,21 @@ class PieceModel:
     def texts(self, texts: list[str | None]) -> list[np.ndarray | None]:
         """Summed log probabilities of each text, or None for one without a letter."""
         words = [LETTERS.findall((t or "").lower()) for t in texts]
-        try:
-            rows = [list(map(self.numbers.__getitem__, w)) for w in words]
-        except KeyError:
-            self._learn([x for w in words for x in w])
-            rows = [list(map(self.numbers.__getitem__, w)) for w in words]
-        return [self.table[r].sum(axis=0) if r else None for r in rows]
-
-    def _learn(self, words: list[str]) -> None:
-        new = [w for w in dict.fromkeys(words) if w not in self.numbers]
-        if len(self.numbers) + len(new) > KNOWN:
-            self.numbers, new = {}, list(dict.fromkeys(words))
-        at = len(self.numbers)
-        if at + len(new) > len(self.table):
-            grown = np.zeros((max(2 * len(self.table), at + len(new)), len(self.languages)))
+        if len(self.numbers) > KNOWN:
+            self.numbers = Numbers()
+        known, ends = len(self.numbers), np.cumsum([0, *map(len, words)]).tolist()
+        rows = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(words)), np.int64, ends[-1])
+        self._learn(list(islice(self.numbers, known, None)))
+        return [self.table[rows[lo:hi]].sum(axis=0) if hi > lo else None for lo, hi in zip(ends, ends[1:])]
+
+    def _learn(self, new: list[str]) -> None:
+        """Puts the words numbered last into the table."""
+        at = len(self.numbers) - len(new)
+        if len(self.numbers) > len(self.table):
+            grown = np.zeros((max(2 * len(self.table), len(self.numbers)), len(self.languages)))
             grown[:at] = self.table[:at]
             self.table = grown
         self.table[at : at + len(new)] = self.log_probs(new)
-        self.numbers.update(zip(new, range(at, at + len(new))))
 
 
 def groups_by_size(texts: list[str | None], limit: int = 1 << 20) -> Iterator[list[str | None]]:

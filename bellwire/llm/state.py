@@ -19,6 +19,14 @@ import pyarrow as pa
 T = TypeVar("T")
 
 
+class Numbers(dict):
+    """word or piece -> number, in the order they are met."""
+
+    def __missing__(self, word):
+        self[word] = n = len(self)
+        return n
+
+
 def per_worker(key: Hashable, make: Callable[[], T], slot: str | None = None) -> T:
     """The value made first for ``key`` in this process.
 

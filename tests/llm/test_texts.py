@@ -161,6 +161,33 @@ def test_language_forward_sums_all_segmentations():
     assert np.exp(model.log_probs(["abc"]))[0, 0] == pytest.approx(want)
 
 
+def test_language_grid_finds_every_piece():
+    rng = np.random.default_rng(4)
+    words = ["".join(rng.choice(list("abcé𝒜"), 9)) for _ in range(200)]
+    for pieces in ({}, {"a": 1}, {p: k + 1 for k, p in enumerate(sorted({w[a : a + n] for w in words[:30] for a in range(5) for n in range(1, 5)}))}):
+        model = language.PieceModel(pieces, ["x"], np.full((len(pieces) + 1, 1), 0.1))
+        want = np.full((10, min(model.longest, 9), len(words)), -1)
+        for w, word in enumerate(words):
+            for end in range(1, 10):
+                for length in range(1, min(model.longest, end) + 1):
+                    want[end, length - 1, w] = pieces.get(word[end - length : end], 0 if length == 1 else -1)
+        assert (model._grid(words, 9) == want).all()
+
+
+def test_language_sums_a_word_once(monkeypatch):
+    model = language.PieceModel({"a": 1, "ab": 2}, ["x", "y"], np.array([[0.1, 0.2], [0.3, 0.4], [0.6, 0.4]]))
+    asked, inner = [], model.log_probs
+    model.log_probs = lambda words: asked.extend(words) or inner(words)
+    texts = ["Ab ba, ab!", None, "12", "ba abba"]
+    first = model.texts(texts)
+    assert sorted(asked) == ["ab", "abba", "ba"] and first[1] is first[2] is None
+    assert np.allclose(first[0], 2 * inner(["ab"])[0] + inner(["ba"])[0])
+    monkeypatch.setattr(language, "KNOWN", 2)
+    for _ in range(3):
+        assert all((a is b is None) or (a == b).all() for a, b in zip(model.texts(texts), first))
+    assert len(asked) == 12 and len(model.numbers) == 3
+
+
 def test_language_learns_and_names_und(spark):
     texts = {"en": "the thing with other words and then some", "de": "der die das und einer weiteren zeile", "fr": "les choses que nous avons dans une ville"}
     rows = [(i, texts[k] + f" {i}", k) for i, k in enumerate(list(texts) * 20)] + [(900, None, "en"), (901, "123 !", "de"), (902, "Die Zeile und der Rest " * 20000, None)]
