@@ -47,7 +47,7 @@ _SHARE = 2
 #: Rules of at most this many ids are expanded once for all their places.
 _SHORT = 64
 #: Documents decoded at once when a shard is read through.
-_TOGETHER = 64
+_TOGETHER = 32
 #: What stands at a place whose symbol went into a rule.
 _GONE = -1
 
@@ -68,15 +68,17 @@ class Grammar:
     def _short(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All plain ids and the expansions of rules of at most ``_SHORT`` ids in one row; where each symbol's starts, and its length."""
         lengths = np.concatenate([np.ones(self.base, np.int64), self.lengths])
-        firsts, flat = np.arange(len(lengths)), np.arange(self.base, dtype=np.uint32)
+        firsts, size = np.arange(len(lengths)), self.base
+        flat = np.empty(size + int(self.lengths[self.lengths <= _SHORT].sum()), np.uint32)
+        flat[:size] = np.arange(size)
         held = np.argsort(self.lengths, kind="stable")
         ends = np.searchsorted(self.lengths[held], np.arange(2, _SHORT + 2), "left")
         for n, lo, hi in zip(range(2, _SHORT + 1), ends, ends[1:]):
             if lo < hi:
                 parts = self.rules[held[lo:hi]].ravel()
-                new = flat[_spread(firsts[parts], lengths[parts])]
-                firsts[self.base + held[lo:hi]] = len(flat) + n * np.arange(hi - lo)
-                flat = np.concatenate([flat, new])
+                firsts[self.base + held[lo:hi]] = np.arange(size, size + n * (hi - lo), n)
+                flat[size : size + n * (hi - lo)] = flat[_spread(firsts[parts], lengths[parts])]
+                size += n * int(hi - lo)
         return flat, firsts, lengths
 
     def expand(self, sequence: np.ndarray) -> np.ndarray:
@@ -114,14 +116,12 @@ def compress(ids: np.ndarray, end_id: int, min_count: int = 2) -> Grammar:
     # Each place makes one pair at first, and each replacement at most two; the room is used as it fills.
     codes, found, first, places = (np.empty(3 * size + 1, t) for t in (np.uint64, kind, kind, kind))
     known, filled = 0, 0
-    twins, fresh = np.zeros(0, kind), np.arange(size, dtype=kind)
+    twins, fresh, left, right = np.zeros(0, kind), np.arange(size, dtype=kind), sym[:-1], sym[1:]
     while True:
         # Pairs that are new in this round, and of those the ones that may become rules.
-        left, right = sym[fresh], sym[after[fresh]]
-        inner = (left != end_id) & (right != end_id)
-        twins = np.concatenate([twins, fresh[inner & (left == right)]])
-        inner &= left != right
-        new, starts, counts, order = _listed(left[inner], right[inner], fresh[inner], min_count)
+        inner, same = (left != end_id) & (right != end_id), left == right
+        twins = np.concatenate([twins, fresh[inner & same]])
+        new, starts, counts, order = _listed(left, right, fresh, inner & ~same, min_count)
         more, filled_now = known + len(new), filled + len(order)
         pair_at[order] = np.repeat(np.arange(known, more, dtype=kind), counts)
         codes[known:more], found[known:more], first[known:more], places[filled:filled_now] = new, counts, starts + filled, order
@@ -144,7 +144,7 @@ def compress(ids: np.ndarray, end_id: int, min_count: int = 2) -> Grammar:
         rules.append(pairs.astype(np.uint32))
         lengths = np.concatenate([lengths, lengths[pairs[:, 0]] + lengths[pairs[:, 1]]])
         # Where they still stand, and the symbols to put there.
-        mine, put = np.flatnonzero(chosen < len(often)), base + n + np.arange(len(chosen))
+        mine, put = np.flatnonzero(chosen < len(often)), np.arange(base + n, base + n + len(chosen), dtype=kind)
         numbers = often[chosen[mine]]
         each = first[numbers + 1] - first[numbers]
         at = places[_spread(first[numbers], each)]
@@ -152,7 +152,7 @@ def compress(ids: np.ndarray, end_id: int, min_count: int = 2) -> Grammar:
         held = pair_at[at] == np.repeat(numbers, each)
         at, symbols = at[held], symbols[held]
         if len(mine) < len(chosen):
-            new_of = np.full(base + n, -1, np.int64)
+            new_of = np.full(base + n, -1, kind)
             new_of[pairs[chosen >= len(often), 0]] = put[chosen >= len(often)]
             hit = even[new_of[sym[even]] >= 0]
             at, symbols = np.concatenate([at, hit]), np.concatenate([symbols, new_of[sym[hit]]])
@@ -161,8 +161,10 @@ def compress(ids: np.ndarray, end_id: int, min_count: int = 2) -> Grammar:
         behind = after[gone]
         after[at], before[behind] = behind, at
         prior = before[at]
-        prior = prior[(sym[prior] < base + n) & (prior < size)]
-        fresh = np.concatenate([at, prior])
+        ahead = sym[prior]
+        other = (ahead < base + n) & (prior < size)
+        prior = prior[other]
+        fresh, left, right = np.concatenate([at, prior]), np.concatenate([symbols, ahead[other]]), np.concatenate([sym[behind], symbols[other]])
         ended = pair_at[np.concatenate([fresh, gone])]
         found[:known] -= np.bincount(ended[ended >= 0], minlength=known)
         pair_at[fresh], pair_at[gone] = -1, -1
@@ -180,10 +182,10 @@ def _spread(first: np.ndarray, each: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - ends + each, each)
 
 
-def _listed(left: np.ndarray, right: np.ndarray, at: np.ndarray, min_count: int) -> tuple[np.ndarray, ...]:
+def _listed(left: np.ndarray, right: np.ndarray, at: np.ndarray, those: np.ndarray, min_count: int) -> tuple[np.ndarray, ...]:
     """Codes of the pairs with ``min_count`` places, where their places start, how many, and all these places."""
-    if not len(at):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), at
+    if not those.any():
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), at[:0]
     bits, low = int(max(left.max(), right.max())).bit_length(), int(at.max()).bit_length()
     if 2 * bits + low <= 64:
         # Pair and place in one number sort faster than by an order.
@@ -191,11 +193,12 @@ def _listed(left: np.ndarray, right: np.ndarray, at: np.ndarray, min_count: int)
         for shift, more in ((bits, right), (low, at)):
             keys <<= np.uint64(shift)
             keys |= more.astype(np.uint64)
+        keys = keys[those]
         keys.sort()
         at = (keys & np.uint64((1 << low) - 1)).astype(at.dtype)
         keys >>= np.uint64(low)
     else:
-        bits, keys = 32, _codes(left, right)
+        bits, keys, at = 32, _codes(left[those], right[those]), at[those]
         order = np.argsort(keys, kind="stable")
         keys, at = keys[order], at[order]
     starts = np.append(np.flatnonzero(np.append(True, keys[1:] != keys[:-1])), len(keys))
@@ -343,7 +346,7 @@ def read_token_shards(spark, path: str, with_ids: bool = False, id_col: str = "d
             for before, data in zip(batch.column(0), batch.column(1)):
                 shard, before = Shard(data.as_py()), before.as_py()
                 decoded = list(shard.all_ids())
-                columns = [shard.doc_ids, (before + shard.places[:-1]).tolist(), [len(x) for x in decoded], [zlib.crc32(x.astype("<u4").tobytes()) for x in decoded]]
+                columns = [shard.doc_ids, (before + shard.places[:-1]).tolist(), [len(x) for x in decoded], [zlib.crc32(x.astype("<u4", copy=False)) for x in decoded]]
                 arrays = [pa.array(c, pa.int64()) for c in columns]
                 if with_ids:
                     arrays.append(pa.array([x.astype(np.int32) for x in decoded], pa.list_(pa.int32())))
