@@ -62,6 +62,9 @@ _SPACE = regex.compile(r"[\s--\x1c-\x1f]+", regex.V1)
 _PLAIN = regex.compile("[\x21-\x7e\xa1-ɏ]*")
 #: Texts, as Arrow matches them, that hold other characters, other white space or perhaps a special token.
 _NOT_PLAIN = r"[^\t\n\r\x20-\x7e\x{a1}-\x{24f}]|<\|"
+#: Plain words, as Arrow matches them, of letters with ASCII signs behind them: two pieces. An apostrophe may begin one
+#: more, and one letter (U+0130) becomes two characters in lower case.
+_LETTERS_SIGNS = r"^(?P<letters>[a-z\x{aa}\x{b5}\x{ba}\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{12f}\x{131}-\x{24f}]+)(?P<signs>[!-&(-/:-@\[-`{-~]*)$"
 
 
 def byte_alphabet() -> list[str]:
@@ -379,28 +382,50 @@ class BpeCodec:
         words = cut.flatten().dictionary_encode()
         if (pc.max(pc.binary_length(words.dictionary)).as_py() or 0) > LONG_WORD:
             return [self.encode(t) for t in texts.to_pylist()]
-        taken = self._ids_of_words(words.dictionary.to_numpy(zero_copy_only=False).tolist()).take(words.indices)
-        flat, ends = taken.values.to_numpy(zero_copy_only=False), taken.offsets.to_numpy()[cut.offsets.to_numpy()].tolist()
-        out, n = [], 0
+        ids, ends = self._ids_of_words(words.dictionary)
+        numbers = words.indices.to_numpy()
+        each = np.diff(ends, prepend=0)
+        sizes = each.take(numbers)
+        word_ends = np.append(0, np.cumsum(sizes))
+        at = np.repeat((ends - each).take(numbers) - word_ends[:-1], sizes)
+        at += np.arange(word_ends[-1])
+        flat = ids.take(at)
+        ends, out, n = word_ends[cut.offsets.to_numpy()].tolist(), [], 0
         for k, easy in enumerate(plain.to_pylist()):
             out.append(flat[ends[n] : ends[n + 1]] if easy else self.encode(texts[k].as_py()))
             n += easy
         return out
 
-    def _ids_of_words(self, words: list[str]) -> pa.LargeListArray:
-        """The ids of plain words of moderate length, without special tokens."""
+    def _ids_of_words(self, words: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of plain words of moderate length, without special tokens, one word after another, and where each word's end.
+
+        Letters with signs behind them need no pattern, and the same letters are looked up once.
+        """
         if len(self.numbers) > 2 * KNOWN_WORDS:
             self._forget()
-        pieces, known = self.plain_split.findall(self._normal("\n".join([*words, ""]))), len(self.numbers)
-        numbers = np.fromiter(map(self.numbers.__getitem__, pieces), np.int64, len(pieces))
+        known, cut = len(self.numbers), pc.extract_regex(words, _LETTERS_SIGNS)
+        easy = cut.is_valid().to_numpy(zero_copy_only=False)
+        letters, signs = (cut.field(k).filter(cut.is_valid()).dictionary_encode() for k in (0, 1))
+        of_letters = self._numbers(self._normal("\n".join(letters.dictionary.to_numpy(zero_copy_only=False))).split("\n") if len(letters) else [])
+        of_signs = self._numbers([x or "\n" for x in signs.dictionary.to_pylist()])
+        of_others = self._numbers(self.plain_split.findall(self._normal("\n".join([*words.filter(pc.invert(cut.is_valid())).to_pylist(), ""]))))
         if len(self.numbers) > known:
             new = "\n".join(islice(self.numbers, known, None)).encode()
             for symbols in codecs.charmap_decode(new, "strict", "".join(self.bytes))[0].split(self.bytes[10]):
                 self.piece_ids.extend(self.ids_of(symbols))
                 self.piece_ends.append(len(self.piece_ids))
+        # Pieces of a word: two, or all up to a line end.
+        pieces = np.full(len(words), 2)
+        pieces[~easy] = np.diff(np.flatnonzero(of_others == 0), prepend=-1)
+        others = np.repeat(~easy, pieces)
+        numbers = np.empty(len(others), np.int64)
+        numbers[others] = of_others
+        numbers[~others] = np.stack([of_letters.take(letters.indices), of_signs.take(signs.indices)], axis=1).ravel()
         ids = pa.LargeListArray.from_arrays(pa.array(np.array(self.piece_ends)), pa.array(np.array(self.piece_ids))).take(pa.array(numbers))
-        ends = ids.offsets.to_numpy()[np.flatnonzero(numbers == 0)]
-        return pa.LargeListArray.from_arrays(pa.array(np.append(0, ends)), ids.values)
+        return ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_numpy()[np.cumsum(pieces)]
+
+    def _numbers(self, pieces: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.numbers.__getitem__, pieces), np.int64, len(pieces))
 
     def _forget(self) -> None:
         # Piece number 0 is the line end behind each word; it has no ids.

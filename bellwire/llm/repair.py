@@ -45,7 +45,7 @@ SHARD_IDS = 1 << 20
 #: A round replaces pairs that occur at least this part as often as the most frequent one.
 _SHARE = 2
 #: Rules of at most this many ids are expanded once for all their places.
-_SHORT = 64
+_SHORT = 256
 #: Documents decoded at once when a shard is read through.
 _TOGETHER = 32
 #: What stands at a place whose symbol went into a rule.
@@ -83,18 +83,19 @@ class Grammar:
 
     def expand(self, sequence: np.ndarray) -> np.ndarray:
         """The ids below a stretch of symbols; one pass per level of long rules, and one for all others."""
-        seq = np.asarray(sequence, np.uint32)
+        seq = np.asarray(sequence).astype(np.int64)
         flat, firsts, lengths = self._short
         while True:
-            high = lengths[seq] > _SHORT
+            each = lengths.take(seq)
+            high = each > _SHORT
             if not high.any():
-                return flat[_spread(firsts[seq], lengths[seq])]
+                return flat.take(_spread(firsts.take(seq), each))
             at = np.cumsum(1 + high) - 1 - high
-            out = np.empty(len(seq) + int(high.sum()), np.uint32)
+            out = np.empty(len(seq) + int(high.sum()), np.int64)
             out[at] = seq
-            pairs = self.rules[seq[high] - self.base]
-            out[at[high]] = pairs[:, 0]
-            out[at[high] + 1] = pairs[:, 1]
+            high = np.flatnonzero(high)
+            pairs, at = self.rules.take(seq.take(high) - self.base, axis=0), at.take(high)
+            out[at], out[at + 1] = pairs[:, 0], pairs[:, 1]
             seq = out
 
 
@@ -115,12 +116,12 @@ def compress(ids: np.ndarray, end_id: int, min_count: int = 2) -> Grammar:
     pair_at = np.full(size + 1, -1, kind)
     # Each place makes one pair at first, and each replacement at most two; the room is used as it fills.
     codes, found, first, places = (np.empty(3 * size + 1, t) for t in (np.uint64, kind, kind, kind))
-    known, filled = 0, 0
-    twins, fresh, left, right = np.zeros(0, kind), np.arange(size, dtype=kind), sym[:-1], sym[1:]
+    known, filled, one = 0, 0, kind(1)
+    twins, fresh, left, right = np.zeros(0, np.int64), np.arange(size), sym[:-1], sym[1:]
     while True:
         # Pairs that are new in this round, and of those the ones that may become rules.
         inner, same = (left != end_id) & (right != end_id), left == right
-        twins = np.concatenate([twins, fresh[inner & same]])
+        more_twins = fresh.compress(inner & same)
         new, starts, counts, order = _listed(left, right, fresh, inner & ~same, min_count)
         more, filled_now = known + len(new), filled + len(order)
         pair_at[order] = np.repeat(np.arange(known, more, dtype=kind), counts)
@@ -128,45 +129,58 @@ def compress(ids: np.ndarray, end_id: int, min_count: int = 2) -> Grammar:
         known, filled = more, filled_now
         first[known] = filled
         # Pairs of one symbol with itself are counted anew, as those within a run depend on where it starts.
-        twins = np.sort(twins[(sym[twins] == sym[after[twins]]) & (sym[twins] != _GONE)])
-        twins = twins[np.append(True, twins[1:] != twins[:-1])] if len(twins) else twins
-        even = twins[~_odd(twins, after)]
-        same, times = np.unique(sym[even], return_counts=True)
+        twins = np.concatenate([twins, more_twins])
+        of = sym.take(twins)
+        twins = twins.compress((of == sym.take(after.take(twins))) & (of != _GONE))
+        twins.sort()
+        twins = twins.compress(np.append(True, twins[1:] != twins[:-1])) if len(twins) else twins
+        even = twins.compress(~_odd(twins, after))
+        even_sym, twin_sym = sym.take(even), sym.take(twins)
+        same, times = np.unique(even_sym, return_counts=True)
+        # No replacement makes more pairs of an old symbol with itself, so what is rare now is looked at no more.
+        twins = twins.compress(times.take(np.searchsorted(same, twin_sym)) >= min_count) if len(twins) else twins
         most = max(found[:known].max(initial=0), times.max(initial=0))
         if most < min_count:
             break
         least = max(min_count, -(-int(most) // _SHARE))
-        often, often_same = np.flatnonzero(found[:known] >= least), same[times >= least]
-        best = np.concatenate([codes[often], _codes(often_same, often_same)])
-        by_count = np.lexsort((best, -np.concatenate([found[often], times[times >= least]])))
-        pairs, chosen = _compatible(best[by_count], base + n)
-        chosen = by_count[chosen]
+        often, often_same = np.flatnonzero(found[:known] >= least), same.compress(times >= least)
+        best = np.concatenate([codes.take(often), _codes(often_same, often_same)])
+        by_count = np.lexsort((best, -np.concatenate([found.take(often), times.compress(times >= least)])))
+        pairs, chosen = _compatible(best.take(by_count), base + n)
+        chosen = by_count.take(chosen)
         rules.append(pairs.astype(np.uint32))
         lengths = np.concatenate([lengths, lengths[pairs[:, 0]] + lengths[pairs[:, 1]]])
         # Where they still stand, and the symbols to put there.
         mine, put = np.flatnonzero(chosen < len(often)), np.arange(base + n, base + n + len(chosen), dtype=kind)
-        numbers = often[chosen[mine]]
-        each = first[numbers + 1] - first[numbers]
-        at = places[_spread(first[numbers], each)]
-        symbols = np.repeat(put[mine], each)
-        held = pair_at[at] == np.repeat(numbers, each)
-        at, symbols = at[held], symbols[held]
+        numbers = often.take(chosen.take(mine))
+        number_of = np.full(len(chosen), -1, kind)
+        number_of[mine] = numbers
+        lo = first.take(numbers).astype(np.int64)
+        each = first.take(numbers + 1) - lo
+        # From the first place to the last, as neighbours then lie near each other in memory.
+        ordered = places.take(_spread(lo, each)).astype(np.uint64) << np.uint64(32) | np.repeat(mine.astype(np.uint64), each)
+        ordered.sort()
+        at, of = (ordered >> np.uint64(32)).astype(np.int64), (ordered & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        held = pair_at.take(at) == number_of.take(of)
+        at, symbols = at.compress(held), put.take(of.compress(held))
         if len(mine) < len(chosen):
             new_of = np.full(base + n, -1, kind)
             new_of[pairs[chosen >= len(often), 0]] = put[chosen >= len(often)]
-            hit = even[new_of[sym[even]] >= 0]
-            at, symbols = np.concatenate([at, hit]), np.concatenate([symbols, new_of[sym[hit]]])
-        gone = after[at]
+            hit = new_of.take(even_sym)
+            at, symbols = np.concatenate([at, even.compress(hit >= 0)]), np.concatenate([symbols, hit.compress(hit >= 0)])
+        gone = after.take(at).astype(np.int64)
         sym[at], sym[gone] = symbols, _GONE
-        behind = after[gone]
+        behind = after.take(gone).astype(np.int64)
         after[at], before[behind] = behind, at
-        prior = before[at]
-        ahead = sym[prior]
+        prior = before.take(at).astype(np.int64)
+        ahead = sym.take(prior)
         other = (ahead < base + n) & (prior < size)
-        prior = prior[other]
-        fresh, left, right = np.concatenate([at, prior]), np.concatenate([symbols, ahead[other]]), np.concatenate([sym[behind], symbols[other]])
-        ended = pair_at[np.concatenate([fresh, gone])]
-        found[:known] -= np.bincount(ended[ended >= 0], minlength=known)
+        prior = prior.compress(other)
+        fresh, left, right = np.concatenate([at, prior]), np.concatenate([symbols, ahead.compress(other)]), np.concatenate([sym.take(behind), symbols.compress(other)])
+        # A chosen pair ends at all its places; those around them end there only.
+        ended = np.concatenate([pair_at.take(prior), pair_at.take(gone)])
+        np.subtract.at(found, ended.compress(ended >= 0).astype(np.int64), one)
+        found[numbers] = 0
         pair_at[fresh], pair_at[gone] = -1, -1
         n += len(pairs)
     return Grammar(base, np.concatenate(rules), lengths[base:].astype(np.uint32), sym[:-1][sym[:-1] != _GONE].astype(np.uint32))
@@ -195,7 +209,7 @@ def _listed(left: np.ndarray, right: np.ndarray, at: np.ndarray, those: np.ndarr
             keys |= more.astype(np.uint64)
         keys = keys[those]
         keys.sort()
-        at = (keys & np.uint64((1 << low) - 1)).astype(at.dtype)
+        at = (keys & np.uint64((1 << low) - 1)).astype(np.int64)
         keys >>= np.uint64(low)
     else:
         bits, keys, at = 32, _codes(left[those], right[those]), at[those]
@@ -204,7 +218,7 @@ def _listed(left: np.ndarray, right: np.ndarray, at: np.ndarray, those: np.ndarr
     starts = np.append(np.flatnonzero(np.append(True, keys[1:] != keys[:-1])), len(keys))
     counts = np.diff(starts)
     good = counts >= min_count
-    pairs, at, counts = keys[starts[:-1][good]], at[np.repeat(good, counts)], counts[good]
+    pairs, at, counts = keys.take(starts[:-1].compress(good)), at[np.repeat(good, counts)], counts.compress(good)
     return _codes(pairs >> np.uint64(bits), pairs & np.uint64((1 << bits) - 1)), np.cumsum(counts) - counts, counts, at
 
 
@@ -220,17 +234,20 @@ def _odd(twins: np.ndarray, after: np.ndarray) -> np.ndarray:
 def _compatible(best: np.ndarray, symbols: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs to replace now, the first ones first, and their places in ``best``."""
     # What a symbol is in this round: 1 starts pairs, 2 ends pairs, 3 is paired with itself.
-    role, chosen = bytearray(symbols), []
-    pairs = np.stack([best >> np.uint64(32), best & np.uint64(0xFFFFFFFF)], axis=1).astype(np.int64)
-    for k, (left, right) in enumerate(zip(pairs[:, 0].tolist(), pairs[:, 1].tolist())):
-        if left == right:
-            if not role[left]:
-                role[left] = 3
-                chosen.append(k)
-        elif role[left] < 2 and role[right] in (0, 2):
-            role[left], role[right] = 1, 2
-            chosen.append(k)
-    return pairs[chosen], np.array(chosen, np.int64)
+    role, chosen = bytearray(symbols), bytearray(len(best))
+    left, right = (best >> np.uint64(32)).astype(np.int64), (best & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    for k, a, b in zip(range(len(best)), left.tolist(), right.tolist()):
+        if role[a] < 2:
+            if a == b:
+                if not role[a]:
+                    role[a] = 3
+                    chosen[k] = 1
+            elif role[b] in (0, 2):
+                role[a] = 1
+                role[b] = 2
+                chosen[k] = 1
+    chosen = np.flatnonzero(np.frombuffer(chosen, np.uint8))
+    return np.stack([left.take(chosen), right.take(chosen)], axis=1), chosen
 
 
 def pack_shard(doc_ids: list[int | None], texts_ids: list[np.ndarray], end_id: int) -> bytes:

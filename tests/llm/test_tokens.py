@@ -1,5 +1,6 @@
 import random
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +59,16 @@ def test_a_piece_goes_to_the_library_once():
     assert len(asked) == len(set(asked)) == 9
 
 
+def test_letters_with_signs_need_no_pattern(library):
+    own, asked = bpe.BpeCodec.from_file(PATH, library_merges=True), []
+    split = own.plain_split
+    own.plain_split = SimpleNamespace(findall=lambda text: asked.append(text) or split.findall(text))
+    texts = ["Street, street. ÉA!? ***", "(b) x1 word's İa café#*", "street"]
+    got = own.encode_batch(pa.array(texts))
+    assert [x.tolist() for x in got] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert sorted("".join(asked).split()) == sorted(["***", "(b)", "x1", "word's", "i\u0307a"])
+
+
 def test_stream_holds_a_bounded_window():
     t = bpe.codec(PATH).transducer
     run, most, out = bpe.PieceRun(t), 0, []
@@ -219,6 +230,16 @@ def test_repair_lists_each_place_few_times(monkeypatch):
     assert len(listed) > 20 and sum(listed) <= 3 * len(ids)
 
 
+def test_repair_looks_at_rare_runs_once(monkeypatch):
+    looked, inner = [], repair._odd
+    monkeypatch.setattr(repair, "_odd", lambda twins, after: looked.append(len(twins)) or inner(twins, after))
+    words = [np.random.default_rng(k).permutation(np.arange(3, 900))[:4] for k in range(400)]
+    often = [words[k] for k in np.random.default_rng(1).zipf(1.3, 5000) % 400]
+    rare = [np.array([k, k]) for k in range(1000, 4000)]
+    repair.compress(np.concatenate([x for pair in zip(often, rare) for x in pair]).astype(np.uint32), 2)
+    assert len(looked) > 20 and sum(looked) < 2 * len(rare)
+
+
 def test_shards_are_read_through(monkeypatch):
     monkeypatch.setattr(repair, "_TOGETHER", 3)
     passage = np.random.default_rng(2).permutation(np.arange(3, 900)).astype(np.uint32)
