@@ -153,16 +153,11 @@ def compress(ids: np.ndarray, end_id: int, min_count: int = 2) -> Grammar:
         # Where they still stand, and the symbols to put there.
         mine, put = np.flatnonzero(chosen < len(often)), np.arange(base + n, base + n + len(chosen), dtype=kind)
         numbers = often.take(chosen.take(mine))
-        number_of = np.full(len(chosen), -1, kind)
-        number_of[mine] = numbers
         lo = first.take(numbers).astype(np.int64)
         each = first.take(numbers + 1) - lo
-        # From the first place to the last, as neighbours then lie near each other in memory.
-        ordered = places.take(_spread(lo, each)).astype(np.uint64) << np.uint64(32) | np.repeat(mine.astype(np.uint64), each)
-        ordered.sort()
-        at, of = (ordered >> np.uint64(32)).astype(np.int64), (ordered & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        held = pair_at.take(at) == number_of.take(of)
-        at, symbols = at.compress(held), put.take(of.compress(held))
+        at = places.take(_spread(lo, each)).astype(np.int64)
+        held = pair_at.take(at) == np.repeat(numbers.astype(kind), each)
+        at, symbols = at.compress(held), np.repeat(put.take(mine), each).compress(held)
         if len(mine) < len(chosen):
             new_of = np.full(base + n, -1, kind)
             new_of[pairs[chosen >= len(often), 0]] = put[chosen >= len(often)]
