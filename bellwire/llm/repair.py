@@ -45,7 +45,7 @@ SHARD_IDS = 1 << 20
 #: A round replaces pairs that occur at least this part as often as the most frequent one.
 _SHARE = 2
 #: Rules of at most this many ids are expanded once for all their places.
-_SHORT = 256
+_SHORT = 64
 #: Documents decoded at once when a shard is read through.
 _TOGETHER = 32
 #: What stands at a place whose symbol went into a rule.
